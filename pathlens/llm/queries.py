@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import near_duplicates
+from .suffix import repeat_report
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +16,13 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of the bitmap that says which ids a later pass needs: 8 MB whatever the input's size.
@@ -31,12 +32,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def bitmap(ids: DataFrame, column: str):
-    """A broadcast bitmap that holds every value of a long column, of fixed size.
+def keep(df: DataFrame) -> DataFrame:
+    """Write df as Parquet to the shared checkpoint folder and read it back, for tables that several passes read in parts."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def bitmap(ids: DataFrame, column: str, at: Column | None = None):
+    """A broadcast bitmap that holds every value of a long column, of fixed size; `at` gives a value's slot.
 
     It only spares work: a value outside certainly isn't there, one inside has to be joined.
     """
-    at = slot(column) + 1  # Spark counts bitmap positions from 1
+    at = (slot(column) if at is None else at) + 1  # Spark counts bitmap positions from 1
     rows = ids.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
     whole = np.zeros(BITMAP_BITS // 8, np.uint8)
     for row in rows:
