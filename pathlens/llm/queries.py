@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .byte_bpe import round_trip
+from .lattice import lattice_scores
 from .minhash import near_duplicates
+from .stream_files import token_report
 from .suffix import repeat_report
 
 
@@ -12,16 +17,37 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _fold(modulus: int) -> Column:
+    """crc32 of the id as text modulo a number; null for a null id."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = F.coalesce(_fold(7) != 2, F.lit(True))
+    return lattice_scores(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), train)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_report(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(_documents(spark, sf_dir))
 
 
 QUERIES = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_lattice_lm": op4_lattice_lm,
+    "op5_token_files": op5_token_files,
+    "op7_byte_bpe": op7_byte_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
 }
 

@@ -107,12 +107,13 @@ def pieces(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, step: int =
 class Words:
     """Words of a column: `starts`, `lengths`, `names`, and `offsets` of each row's words.
 
-    A-Z is lower-cased; `table` says which bytes belong to words. Rows may be null or empty.
+    A-Z is lower-cased unless `lower` is false; `table` says which bytes belong to words.
+    Rows may be null or empty.
     """
 
-    def __init__(self, column: pa.Array, table: np.ndarray = BLANK_WORDS):
+    def __init__(self, column: pa.Array, table: np.ndarray = BLANK_WORDS, lower: bool = True):
         raw, rows = buffers(column)
-        self.data = LOWER[raw]
+        self.data = LOWER[raw] if lower else raw
         self.rows = rows
         starts, lengths, names = [], [], []
         for at, to in pieces(self.data, rows, table):
