@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import round_trip
+from .fingerprint import edit_report
 from .lattice import lattice_scores
+from .licenses import license_report
 from .minhash import near_duplicates
 from .stream_files import token_report
 from .suffix import repeat_report
@@ -39,16 +41,26 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_report(_documents(spark, sf_dir))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(_documents(spark, sf_dir))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(_documents(spark, sf_dir)).drop("spans")
+
+
 QUERIES = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_lattice_lm": op4_lattice_lm,
     "op5_token_files": op5_token_files,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_weighted_sampling": op8_weighted_sampling,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
