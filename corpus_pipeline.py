@@ -1,4 +1,64 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from raw documents to token ids, in stages that each work on what the one before kept."""
 
-STAGES: list = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pathlens.llm.byte_bpe import round_trip
+from pathlens.llm.language import UNDETERMINED, fitted, identified
+from pathlens.llm.minhash import near_duplicates
+from pathlens.llm.mixing import mix, repeated
+from pathlens.llm.shared import keep
+from pathlens.llm.suffix import remove_repeats
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no language that could be learned from the labelled ones go: those without text or letters."""
+    model = fitted(docs, F.col("lang").isNotNull())
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    return identified(docs, model).filter(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the smallest id; of rows that share an id, the first in order of text."""
+    ids = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy("text")
+    single = docs.filter("doc_id is not null").join(ids, "doc_id", "left_semi").withColumn("_place", F.row_number().over(first)).filter("_place = 1")
+    return single.select(*docs.columns).union(docs.filter("doc_id is null"))
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 100 bytes that occur earlier are cut out; documents that consist of them go."""
+    return remove_repeats(docs, "doc_id", "text", "n_chars")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of the sources takes it."""
+    return repeated(mix(docs, docs.columns), docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of each document's ids and of what they decode to."""
+    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("repeats", repeats),
+    ("mixture", mixture),
+    ("byte_bpe", byte_bpe),
+]
+
+#: No stage but the mixture could be said in SQL, and that draws by hash.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

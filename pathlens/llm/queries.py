@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import round_trip
+from .covertree import similar_vectors
 from .fingerprint import edit_report
+from .language import fitted, identified
 from .lattice import lattice_scores
 from .licenses import license_report
 from .minhash import near_duplicates
+from .mixing import mix
 from .stream_files import token_report
 from .suffix import repeat_report
 
@@ -24,6 +28,17 @@ def _fold(modulus: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
 
 
+def op1_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.98)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = fitted(docs, F.coalesce(_fold(3) != 1, F.lit(True)))
+    found = identified(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
@@ -37,6 +52,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_documents(spark, sf_dir), ["doc_id"]).drop("copies")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -54,13 +73,38 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_cover_tree": op1_cover_tree,
+    "op2_language_id": op2_language_id,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_lattice_lm": op4_lattice_lm,
     "op5_token_files": op5_token_files,
+    "op6_mixing": op6_mixing,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_weighted_sampling": op8_weighted_sampling,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_license_scan": op10_license_scan,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_cover_tree": """
+        with recursive v as (
+            select vec_id, label, embedding::double[] as e from embeddings
+            where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+              and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+              and len(list_filter(embedding, x -> x <> 0)) > 0
+        ),
+        links as (
+            select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
+            where list_cosine_similarity(a.e, b.e) >= 0.98
+        ),
+        reached as (select a, b from links union select r.a, l.b from reached r join links l on r.b = l.a),
+        counted as (select a, count(*) as n_links from links group by a),
+        named as (select a, min(b) as low from reached group by a)
+        select vec_id, coalesce(n_links, 0)::bigint as n_links, least(vec_id, coalesce(low, vec_id)) as component_id,
+               vec_id = least(vec_id, coalesce(low, vec_id)) as kept
+        from embeddings left join counted on counted.a = vec_id left join named on named.a = vec_id
+    """,
+}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
