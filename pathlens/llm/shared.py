@@ -84,7 +84,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
     labels = steps[-1].select("id", F.col("to").alias("component"))
     for up in reversed(steps[:-1]):
+        # an id that was hung on another lives on in later rounds as the place of those hung on it
         moved = up.join(labels.select(F.col("id").alias("to"), "component"), "to", "left").select("id", F.coalesce("component", "to").alias("component"))
-        labels = cut(moved.union(labels))
+        labels = cut(moved.union(labels.join(up, "id", "left_anti")))
     roots = labels.select(F.col("component").alias("id"), "component").distinct()
     return labels.union(roots)
