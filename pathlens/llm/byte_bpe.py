@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import UnitEncoder, ragged
-from .words import STEP, slices
+from .words import slices
 
 
 def byte_characters() -> dict[str, int]:
@@ -97,7 +97,7 @@ def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_colum
 
     def run(batches):
         encoder, decoder = UnitEncoder(path, leading=True), Decoder(path)
-        for batch in slices(batches, "text", 2 * STEP):
+        for batch in slices(batches, "text"):
             ids, rows = encoder.encode(batch.column(1))
             ids = ids.astype("<u4")
             each = [ids[a:b] for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]

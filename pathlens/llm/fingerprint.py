@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import STEP, U, Words, mix, slices
+from .words import U, Words, mix, slices
 
 SAMPLES = 64
 #: Each variate is one of so many quantiles of its distribution, chosen by 16 bits of a hash.
@@ -98,7 +98,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def run(batches):
         sampler = WeightedSampler(samples)
-        for batch in slices(batches, "text", 2 * STEP):
+        for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_hex(sampler.signatures(batch.column(1))))], ["doc_id", "fingerprint"])
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
@@ -150,7 +150,7 @@ def edit_report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     def run(batches):
         sampler = WeightedSampler(samples)
         ids, texts, ahead, signatures = [], [], [], np.zeros((0, samples), np.uint16)
-        for batch in slices(batches, "text", 2 * STEP):
+        for batch in slices(batches, "text"):
             ids = ids[-1:] + batch.column(0).to_pylist()
             texts = texts[-1:] + batch.column(1).to_pylist()
             ahead = ahead[-1:] + batch.column(2).to_pylist()

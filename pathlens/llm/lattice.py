@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import keep
-from .words import STEP, Words, slices
+from .words import TOGETHER, Words, slices
 
 MARK = "▁"  # stands before a word's first character in the vocabulary
 #: Words that make up at least this share of all training tokens: never more than 2**18.
@@ -81,7 +81,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """(name, word, count): all distinct words of `text`, and their number in training rows."""
 
     def run(batches):
-        for batch in slices(batches, "text", 8 * STEP):
+        for batch in slices(batches, "text", 4 * TOGETHER):
             words = Words(batch.column(0))
             train = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), np.diff(words.offsets))
             names, first, inverse = np.unique(words.names, return_index=True, return_inverse=True)
@@ -144,7 +144,7 @@ def lattice_scores(docs: DataFrame, model: str, train: Column, id_column: str =
     def look_up(batches):
         names, counts, lattices = frequent.value
         bases = np.log10(counts + 1.0) - log_total
-        for batch in slices(batches, "text", 2 * STEP):
+        for batch in slices(batches, "text"):
             words, n = Words(batch.column(1)), batch.num_rows
             name, row = words.names.view(np.int64), np.repeat(np.arange(n), np.diff(words.offsets))
             at = np.minimum(np.searchsorted(names, name), max(0, len(names) - 1))

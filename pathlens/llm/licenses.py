@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import ALNUM_WORDS, STEP, Words, slices
+from .words import ALNUM_WORDS, Words, slices
 
 # Phrases that carry a label wherever their words stand consecutively.
 PHRASES = {
@@ -173,7 +173,7 @@ def license_report(docs: DataFrame, id_column: str = "doc_id", text_column: str
     def run(batches):
         scanner = LicenseScanner(templates, phrases)
         shortest = min(LEAST_RUN, *scanner.sizes)
-        for batch in slices(batches, "text", 2 * STEP):
+        for batch in slices(batches, "text"):
             words = Words(batch.column(1), ALNUM_WORDS)
             number, offsets, n = scanner.numbers(words), words.offsets, batch.num_rows
             base = [[] for _ in range(n)]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .shared import checkpoint_dir
 from .tokens import UnitEncoder
-from .words import STEP, slices
+from .words import slices
 
 #: Ids of a sequence, and sequences of a record batch.
 LENGTH, BATCH = 2048, 128
@@ -101,7 +101,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_column: str =
         filesystem, path = fs.FileSystem.from_uri(name)
         writer = index = sink = None
         documents = 0
-        for batch in slices(batches, "text", 2 * STEP):
+        for batch in slices(batches, "text"):
             if writer is None:
                 filesystem.create_dir(folder_path(folder), recursive=True)
                 writer = SequenceWriter(filesystem, f"{path}.arrow", kind, length)

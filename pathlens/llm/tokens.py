@@ -12,7 +12,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from .words import Substrings, Words, buffers
+from .words import STEP, Substrings, Words, buffers
 
 #: Units whose ids a worker remembers before it forgets them all: some 100 MB.
 REMEMBERED = 400_000
@@ -110,7 +110,7 @@ def _places(text: bytes, what: bytes):
         at = text.find(what, at + 1)
 
 
-def _names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+def _names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = STEP) -> np.ndarray:
     """Names of spans in order, a piece of the data at a time."""
     out = []
     at = 0
