@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     linker = _Linker(docs, classes, id_column, text_column, shingle, numerator, denominator, size)
     lists = cut(rarest(classes, size))
-    links, labels = classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0), None
+    links, labels = classes.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b")), None
 
     def add(found: DataFrame | None) -> None:
         nonlocal links, labels
@@ -203,6 +203,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     if not loose.isEmpty():
         add(linker.verified(linker.by_prefix(loose, labels)))
 
-    named = components(members.union(links))
+    if filled.groupBy("id").count().filter("count > 1").isEmpty():  # each document is in one class
+        named = members.join(labels.withColumnRenamed("id", "b"), "b", "left").select(F.col("a").alias("id"), F.coalesce("component", "b").alias("component")).union(labels)
+    else:
+        named = components(members.union(links))
     out = drawn.select("id", "n").join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))

@@ -62,30 +62,42 @@ def in_bitmap(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
 
 
+#: Rows that may be broadcast (a few MB), and rows for which one partition is enough.
+FEW, PARTITION = 200_000, 50_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): for every id of an edge, the smallest id that it reaches.
 
     Each round hangs every id on its smallest neighbour and contracts the edges, so the
     graph shrinks by half at least and by far more where it has hubs. Only counts reach
-    the driver. Edges may repeat, be loops or have null ends, which link nothing.
+    the driver; while few edges are left, the rounds' tables are broadcast, else joined.
+    Edges may repeat, be loops or have null ends, which link nothing.
     """
-    left = cut(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter(F.col("a") < F.col("b")).distinct())
-    steps: list[DataFrame] = []
-    while not left.isEmpty():
+
+    def contracted(df: DataFrame) -> tuple[DataFrame, int]:
+        rows = cut(df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter(F.col("a") < F.col("b")).distinct())
+        n = rows.count()
+        return rows.coalesce(1 + n // PARTITION), n
+
+    left, n = contracted(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))
+    steps: list[tuple[DataFrame, int]] = []
+    while n:
+        few = F.broadcast if n <= FEW else lambda df: df
         both = left.select(F.col("b").alias("id"), F.col("a").alias("to")).union(left.select(F.col("a").alias("id"), F.col("b").alias("to")))
-        up = both.groupBy("id").agg(F.min("to").alias("to")).filter("to < id")
-        again = up.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        up = cut(up.join(again, "to", "left").select("id", F.coalesce("next", "to").alias("to")))
-        steps.append(up)
+        up = cut(both.groupBy("id").agg(F.min("to").alias("to")).filter("to < id")).coalesce(1 + n // PARTITION)
+        steps.append((up, n))
         for end in ("a", "b"):
-            left = left.join(up.select(F.col("id").alias(end), "to"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-        left = cut(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter(F.col("a") < F.col("b")).distinct())
+            left = left.join(few(up.select(F.col("id").alias(end), "to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        left, n = contracted(left)
     if not steps:
         return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    labels = steps[-1].select("id", F.col("to").alias("component"))
-    for up in reversed(steps[:-1]):
+    labels = steps[-1][0].select("id", F.col("to").alias("component"))
+    for i in range(len(steps) - 2, -1, -1):
+        up, n = steps[i]
+        few = F.broadcast if n <= FEW else lambda df: df
         # an id that was hung on another lives on in later rounds as the place of those hung on it
-        moved = up.join(labels.select(F.col("id").alias("to"), "component"), "to", "left").select("id", F.coalesce("component", "to").alias("component"))
-        labels = cut(moved.union(labels.join(up, "id", "left_anti")))
+        moved = up.join(few(labels.select(F.col("id").alias("to"), "component")), "to", "left").select("id", F.coalesce("component", "to").alias("component"))
+        labels = cut(moved.union(labels.join(few(up.select("id")), "id", "left_anti"))).coalesce(1 + n // PARTITION)
     roots = labels.select(F.col("component").alias("id"), "component").distinct()
     return labels.union(roots)
