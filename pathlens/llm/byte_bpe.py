@@ -3,36 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-import json
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import UnitEncoder, ragged
+from .tokens import byte_table, encoder, ragged
 from .words import slices
 
 
-def byte_characters() -> dict[str, int]:
-    """The character that stands for each byte in a byte-level vocabulary: printable bytes for
-    themselves, the others in ascending order for the characters from 256 on."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = [b for b in range(256) if b not in printable]
-    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
-def byte_table(path: str) -> list[bytes]:
-    """The bytes of each id of a byte-level vocabulary."""
-    table = byte_characters()
-    with open(path) as file:
-        vocabulary = json.load(file)["model"]["vocab"]
-    out = [b""] * (max(vocabulary.values()) + 1)
-    for piece, number in vocabulary.items():
-        out[number] = bytes(table[c] for c in piece) if all(c in table for c in piece) else piece.encode()
-    return out
-
-
 class Decoder:
     """Bytes of ids: a gather from one buffer that holds the bytes of all ids."""
 
@@ -62,9 +42,9 @@ def encoded(docs: DataFrame, path: str, id_column: str = "doc_id", text_column:
     """
 
     def run(batches):
-        encoder, decoder = UnitEncoder(path, leading=True), Decoder(path)
+        decoder = Decoder(path)
         for batch in slices(batches, "text"):
-            ids, rows = encoder.encode(batch.column(1))
+            ids, rows = encoder(path, True).encode(batch.column(1))
             arrays = [batch.column(0), pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids.astype(np.int32)))]
             if offsets:
                 parts = [decoder.decode(ids[a:b]) for a, b in zip(rows[:-1], rows[1:], strict=True)]
@@ -96,9 +76,9 @@ def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_colum
     32-bit integers, and the bytes that those ids decode to. As `encoded` for nulls, empty texts and other columns."""
 
     def run(batches):
-        encoder, decoder = UnitEncoder(path, leading=True), Decoder(path)
+        decoder = Decoder(path)
         for batch in slices(batches, "text"):
-            ids, rows = encoder.encode(batch.column(1))
+            ids, rows = encoder(path, True).encode(batch.column(1))
             ids = ids.astype("<u4")
             each = [ids[a:b] for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(

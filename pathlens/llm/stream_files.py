@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import checkpoint_dir
-from .tokens import UnitEncoder
+from .tokens import encoder
 from .words import slices
 
 #: Ids of a sequence, and sequences of a record batch.
@@ -96,8 +96,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_column: str =
     def run(batches):
         task = TaskContext.get()
         name = f"{folder}/{task.partitionId():06d}-{task.taskAttemptId()}"
-        encoder = UnitEncoder(tokenizer, leading=False)
-        kind = pa.uint16() if encoder.tokenizer.get_vocab_size() <= 1 << 16 else pa.uint32()
+        own = encoder(tokenizer, False)
+        kind = pa.uint16() if own.tokenizer.get_vocab_size() <= 1 << 16 else pa.uint32()
         filesystem, path = fs.FileSystem.from_uri(name)
         writer = index = sink = None
         documents = 0
@@ -107,7 +107,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_column: str =
                 writer = SequenceWriter(filesystem, f"{path}.arrow", kind, length)
                 sink = filesystem.open_output_stream(f"{path}-index.arrow")
                 index = ipc.new_file(sink, index_schema(batch))
-            ids, rows = encoder.encode(batch.column(1))
+            ids, rows = own.encode(batch.column(1))
             ends = rows[1:] + np.arange(1, len(rows))
             out = np.full(len(ids) + batch.num_rows, end_id, np.uint32)
             inside = np.ones(len(out), bool)

@@ -7,17 +7,32 @@ distinct units of its batches and puts the ids of whole texts together by their
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from array import array
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
-from .words import STEP, Substrings, Words, buffers
+from .words import STEP, Substrings, Words
 
-#: Units whose ids a worker remembers before it forgets them all: some 100 MB.
-REMEMBERED = 400_000
+#: Units whose ids a worker remembers before it forgets them all: some 60 MB.
+REMEMBERED = 300_000
+#: New units that are encoded in one go.
+JOINED = 4096
+#: What ends a word in a vocabulary that marks words' ends.
+WORD_END = "</w>"
 #: UTF-8 of the white space beyond ASCII (Unicode property White_Space), fixed values.
 WIDE_BLANKS = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+BLANKS = "\t\n\v\f\r "
+WIDE = re.compile("[" + "".join(blank.decode() for blank in WIDE_BLANKS) + "]")
+#: 1 for ASCII letters, 2 for ASCII digits and punctuation but the apostrophe, which begins matches with letters.
+KINDS = np.zeros(256, np.int8)
+KINDS[33:127] = 2
+KINDS[[*range(65, 91), *range(97, 123)]] = 1
+KINDS[39] = 0
 
 
 def load(path: str):
@@ -36,17 +51,92 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def byte_characters() -> dict[str, int]:
+    """The character that stands for each byte in a byte-level vocabulary: printable bytes for
+    themselves, the others in ascending order for the characters from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+@cache
+def pieces_of(path: str) -> list[str]:
+    """The vocabulary's piece of each id."""
+    with open(path) as file:
+        vocabulary = json.load(file)["model"]["vocab"]
+    out = [""] * (max(vocabulary.values()) + 1)
+    for piece, number in vocabulary.items():
+        out[number] = piece
+    return out
+
+
+@cache
+def byte_table(path: str) -> list[bytes]:
+    """The bytes of each id of a byte-level vocabulary."""
+    table = byte_characters()
+    return [bytes(table[c] for c in piece) if all(c in table for c in piece) else piece.encode() for piece in pieces_of(path)]
+
+
 class UnitEncoder:
-    """Ids of whole texts. `leading`: a unit is the blanks and the word after them, else the word alone."""
+    """Ids of whole texts. `leading`: a unit is the blanks and the word after them, else a word without the
+    ASCII punctuation and digits beside its letters, which are units of their own, and in lower case.
+
+    New units are joined for the tokenizer and its ids split again: by the bytes that they
+    stand for, or by the pieces that end a word. Units that this might not suit go one by one.
+    """
 
     def __init__(self, path: str, leading: bool):
         self.tokenizer, self.leading, self.known = load(path), leading, {}
+        if leading:
+            self.bytes_of = np.array([len(b) for b in byte_table(path)], np.int64)
+        else:
+            self.ends_word = np.array([piece.endswith(WORD_END) for piece in pieces_of(path)] + [False] * 64)
+
+    def _joinable(self, text: str) -> bool:
+        if self.leading:
+            return text[0] in BLANKS and text[-1] not in BLANKS and (text.isascii() or not WIDE.search(text))
+        return text.lower().isalpha()
+
+    def _split(self, ids: np.ndarray, texts: list[str]) -> np.ndarray | None:
+        """Where each joined text's ids end."""
+        if not self.leading:
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            return ends if len(ends) == len(texts) and ends[-1] == len(ids) else None
+        wanted = np.cumsum([len(t.encode()) for t in texts])
+        reached = np.cumsum(self.bytes_of[ids])
+        ends = np.searchsorted(reached, wanted) + 1
+        return ends if ends[-1] == len(ids) and (reached[ends - 1] == wanted).all() else None
+
+    def _encode_units(self, keys: list[int], texts: list[str]) -> None:
+        single: list[int] = []
+        joined = [i for i, text in enumerate(texts) if self._joinable(text)]
+        if len(joined) < len(texts):
+            chosen = set(joined)
+            single = [i for i in range(len(texts)) if i not in chosen]
+        for at in range(0, len(joined), JOINED):
+            part = joined[at : at + JOINED]
+            some = [texts[i] for i in part]
+            ids = array("I", self.tokenizer.encode_batch_fast([("" if self.leading else " ").join(some)], add_special_tokens=False)[0].ids)
+            ends = self._split(np.frombuffer(ids, np.uint32), some)
+            if ends is None:
+                single += part
+                continue
+            whole, start = ids.tobytes(), 0
+            for i, end in zip(part, ends.tolist(), strict=True):
+                self.known[keys[i]] = whole[4 * start : 4 * end]
+                start = end
+        for i, encoding in zip(single, self.tokenizer.encode_batch_fast([texts[i] for i in single], add_special_tokens=False), strict=True):
+            self.known[keys[i]] = array("I", encoding.ids).tobytes()
 
     def _units(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each unit, all of them in order."""
         starts, ends = words.starts, words.starts + words.lengths
         if not self.leading:
-            return starts, ends
+            kind = KINDS[words.data]
+            cuts = np.flatnonzero((kind[1:] + kind[:-1] == 3) & (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+            inside = np.searchsorted(starts, cuts, "right") - 1
+            cuts = cuts[(inside >= 0) & (cuts > starts[inside]) & (cuts < ends[inside])] if len(starts) else cuts[:0]
+            return np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
         rows = words.rows
         before = np.zeros(len(starts), np.int64)
         before[1:] = ends[:-1]
@@ -76,24 +166,17 @@ class UnitEncoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the column's texts one after the other, and the offsets of its rows."""
-        words = Words(column, lower=False)
+        words = Words(column, lower=not self.leading)
         data, rows = words.data, words.rows
         starts, ends = self._whole_rows(data, rows, *self._units(words))
-        if len(starts):
-            if self.leading:
-                names = _names(data, starts, ends)
-            else:
-                names = words.names
-            _, first, inverse = np.unique(names, return_index=True, return_inverse=True)
-        else:
-            first = inverse = np.zeros(0, np.int64)
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        keys = (names[first] if len(first) else np.zeros(0, np.uint64)).tolist()
+        names = _names(data, starts, ends)
+        _, first, inverse = np.unique(names, return_index=True, return_inverse=True)
+        keys = names[first].tolist()
         new = [i for i, key in enumerate(keys) if key not in self.known]
-        texts = [data[starts[first[i]] : ends[first[i]]].tobytes().decode() for i in new]
-        for i, encoding in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.known[keys[i]] = np.array(encoding.ids, np.uint32).tobytes()
+        whole = data.tobytes()
+        self._encode_units([keys[i] for i in new], [whole[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
         parts = [self.known[key] for key in keys]
         sizes = np.array([len(p) // 4 for p in parts], np.int64)
         flat = np.frombuffer(b"".join(parts), np.uint32)
@@ -119,10 +202,10 @@ def _names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = S
         low = starts[at]
         out.append(Substrings(data[low : ends[to - 1]]).names(starts[at:to] - low, ends[at:to] - low))
         at = to
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def texts_of(column: pa.Array) -> list[bytes]:
-    data, rows = buffers(column)
-    whole = data.tobytes()
-    return [whole[a:b] for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
+@cache
+def encoder(path: str, leading: bool) -> UnitEncoder:
+    """A worker's encoder, which goes on from task to task with what it remembers."""
+    return UnitEncoder(path, leading)
