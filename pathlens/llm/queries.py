@@ -91,8 +91,8 @@ ORACLE_SQL: dict[str, str] = {
         with recursive v as (
             select vec_id, label, embedding::double[] as e from embeddings
             where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
-              and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-              and len(list_filter(embedding, x -> x <> 0)) > 0
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+              and len(list_filter(embedding, lambda x: x <> 0)) > 0
         ),
         links as (
             select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
