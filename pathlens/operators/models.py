@@ -269,7 +269,7 @@ def parent_and_child(steps: DataFrame, supported: DataFrame) -> DataFrame:
 def failure_summary(models: DataFrame, holdout: DataFrame) -> DataFrame:
     """Unfitted origins by cause, with the holdout steps and entities they touch."""
     hit = holdout.groupBy("state").agg(F.count("*").alias("steps"), F.countDistinct("entity").alias("entities"))
-    rows = models.filter("fit_status <> 'ajustado'").join(hit, "state", "left").fillna(0, ["steps", "entities"])
+    rows = models.filter("fit_status <> 'ajustado'").select("state", "fit_status").join(hit, "state", "left").fillna(0, ["steps", "entities"])
     return rows.groupBy("fit_status").agg(F.count("*").alias("origins"), F.sum("steps").alias("holdout_steps"), F.sum("entities").alias("holdout_entities"))
 
 
