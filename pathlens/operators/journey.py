@@ -19,14 +19,21 @@ EXACT, INTERVAL, RIGHT, BARRIER = "exata", "intervalo", "direita", "origem_ambig
 SILENCE = "sem_acao"
 HIT, MISSED, CENSORED = "ALVO_OBSERVADO", "HORIZONTE_OBSERVADO_SEM_ALVO", "CENSURADO_ANTES_HORIZONTE"
 
-by_time = Window.partitionBy("entity").orderBy("ts")
-by_step = Window.partitionBy("entity").orderBy("step")
+
+def by_time():
+    return Window.partitionBy("entity").orderBy("ts")
+
+
+def by_step():
+    return Window.partitionBy("entity").orderBy("step")
+
+
 to_here = (Window.unboundedPreceding, Window.currentRow)
 
 
-def islands(df: DataFrame, starts: Column, name: str, order=by_time) -> DataFrame:
+def islands(df: DataFrame, starts: Column, name: str, order=None) -> DataFrame:
     """`name` counts the rows so far at which an island starts."""
-    return df.withColumn(name, F.sum(starts.cast("int")).over(order.rowsBetween(*to_here)))
+    return df.withColumn(name, F.sum(starts.cast("int")).over((order or by_time()).rowsBetween(*to_here)))
 
 
 def instants(events: DataFrame) -> DataFrame:
@@ -67,17 +74,17 @@ def imprecise_days(events: DataFrame, rows: DataFrame, cut: str) -> DataFrame:
 def sessions(rows: DataFrame, timeout: float) -> DataFrame:
     """Blocks of one state whose gaps, from the end of what was indefinite before, are within the timeout."""
     end = F.col("end_ts") if "end_ts" in rows.columns else F.col("ts")
-    gap = seconds_between(F.lag(end).over(by_time), "ts")
-    same = (F.col("state") == F.lag("state").over(by_time)) & ~F.col("ambiguous") & ~F.lag("ambiguous").over(by_time) & (gap <= timeout)
+    gap = seconds_between(F.lag(end).over(by_time()), "ts")
+    same = (F.col("state") == F.lag("state").over(by_time())) & ~F.col("ambiguous") & ~F.lag("ambiguous").over(by_time()) & (gap <= timeout)
     marked = islands(rows.withColumn("_end", end), ~F.coalesce(same, F.lit(False)), "block")
     return marked.groupBy("entity", "block").agg(F.min("ts").alias("start_ts"), F.max("_end").alias("last_ts"), F.max("state").alias("state"), F.max("ambiguous").alias("ambiguous"), F.count("*").alias("n_instants"))
 
 
 def debounced(rows: DataFrame, seconds: float) -> DataFrame:
     """Repeats of a state within so many seconds of the instant before, neither ambiguous, are one action, timed by its last instant."""
-    previous = F.lag("state").over(by_time)
-    quick = seconds_between(F.lag("ts").over(by_time), "ts") <= seconds
-    repeat = (F.col("state") == previous) & ~F.col("ambiguous") & ~F.coalesce(F.lag("ambiguous").over(by_time), F.lit(False)) & quick
+    previous = F.lag("state").over(by_time())
+    quick = seconds_between(F.lag("ts").over(by_time()), "ts") <= seconds
+    repeat = (F.col("state") == previous) & ~F.col("ambiguous") & ~F.coalesce(F.lag("ambiguous").over(by_time()), F.lit(False)) & quick
     bursts = islands(rows, ~F.coalesce(repeat, F.lit(False)), "step")
     return bursts.groupBy("entity", "step").agg(F.max("ts").alias("ts"), F.min("ts").alias("first_ts"), F.max("state").alias("state"), F.max("ambiguous").alias("ambiguous"), F.sum("n_events").alias("n_events"), F.count("*").alias("n_instants"))
 
@@ -142,8 +149,8 @@ def interval_censored(blocks: DataFrame, timeout: float, cut: str) -> DataFrame:
 
 def transitions(actions: DataFrame, cut: str) -> DataFrame:
     """C11: steps with destination and duration, exact or right-censored (no next action, or an ambiguous one)."""
-    following = F.lead("ts").over(by_time)
-    rows = actions.withColumn("_next", following).withColumn("_dest", F.lead("state").over(by_time)).withColumn("_barrier", F.lead("ambiguous").over(by_time))
+    following = F.lead("ts").over(by_time())
+    rows = actions.withColumn("_next", following).withColumn("_dest", F.lead("state").over(by_time())).withColumn("_barrier", F.lead("ambiguous").over(by_time()))
     kind = F.when(F.col("ambiguous"), BARRIER).when(F.col("_next").isNull() | F.col("_barrier"), RIGHT).otherwise(EXACT)
     rows = rows.withColumn("censoring", kind).withColumn("dur_min", seconds_between("ts", F.coalesce("_next", F.lit(cut).cast("timestamp"))))
     exact = F.col("censoring") == EXACT
@@ -196,10 +203,10 @@ def with_memory(steps: DataFrame, states: DataFrame, gap: bool = True) -> DataFr
     rows = steps.join(states.select("state", "funnel", "macro", "technical"), "state", "left")
     barrier = F.col("ambiguous") | F.col("state").isNull()
     rows = rows.withColumn("barrier", barrier)
-    broken = F.lag("step").over(by_step).isNull() | F.col("barrier") | F.coalesce(F.lag("barrier").over(by_step), F.lit(True))
+    broken = F.lag("step").over(by_step()).isNull() | F.col("barrier") | F.coalesce(F.lag("barrier").over(by_step()), F.lit(True))
     if gap:
-        broken = broken | (F.col("step") - F.lag("step").over(by_step) > 1)
-    rows = islands(rows, broken, "segment", by_step)
+        broken = broken | (F.col("step") - F.lag("step").over(by_step()) > 1)
+    rows = islands(rows, broken, "segment", by_step())
     evidence = F.when(~F.col("barrier") & F.col("funnel").isNotNull() & ~F.col("technical"), F.struct(F.col("funnel").alias("funnel"), F.col("step").alias("step"), F.col("ts").alias("ts")))
     prefix = Window.partitionBy("entity", "segment").orderBy("step").rowsBetween(*to_here)
     rows = rows.withColumn("_m", F.last(evidence, ignorenulls=True).over(prefix))
@@ -217,8 +224,8 @@ def with_weights(steps: DataFrame) -> DataFrame:
 
 def funnel_blocks(steps: DataFrame) -> DataFrame:
     """Runs of steps of one macro action, with the state that entered them."""
-    changed = ~F.coalesce(F.col("macro") == F.lag("macro").over(by_step), F.lit(False))
-    rows = islands(steps, changed, "block", by_step)
+    changed = ~F.coalesce(F.col("macro") == F.lag("macro").over(by_step()), F.lit(False))
+    rows = islands(steps, changed, "block", by_step())
     entry = F.min(F.struct("step", "state", "ts"))
     return rows.groupBy("entity", "block").agg(F.max("macro").alias("macro"), entry.alias("e"), F.count("*").alias("steps"), F.max("ts").alias("last_ts")).select("entity", "block", "macro", F.col("e.step").alias("first_step"), F.col("e.state").alias("entry_state"), F.col("e.ts").alias("start_ts"), "last_ts", "steps")
 
@@ -234,14 +241,14 @@ def trajectories(steps: DataFrame, tolerance: float = 1e-3) -> DataFrame:
     """`trajectory` numbers runs of steps that are linked: exact, consecutive, destination and duration as the next step has them."""
     linked = (
         (F.col("censoring") == EXACT)
-        & (F.lead("step").over(by_step) == F.col("step") + 1)
+        & (F.lead("step").over(by_step()) == F.col("step") + 1)
         & F.col("eligible")
-        & ~F.coalesce(F.lead("ambiguous").over(by_step), F.lit(True))
-        & F.col("dest").eqNullSafe(F.lead("state").over(by_step))
-        & (F.abs(seconds_between("ts", F.lead("ts").over(by_step)) - F.col("dur_min")) <= tolerance)
+        & ~F.coalesce(F.lead("ambiguous").over(by_step()), F.lit(True))
+        & F.col("dest").eqNullSafe(F.lead("state").over(by_step()))
+        & (F.abs(seconds_between("ts", F.lead("ts").over(by_step())) - F.col("dur_min")) <= tolerance)
     )
     rows = steps.withColumn("linked", F.coalesce(linked, F.lit(False)))
-    return islands(rows, ~F.coalesce(F.lag("linked").over(by_step), F.lit(False)), "trajectory", by_step)
+    return islands(rows, ~F.coalesce(F.lag("linked").over(by_step()), F.lit(False)), "trajectory", by_step())
 
 
 def first_target_labels(steps: DataFrame, targets: list[str], k: int, tolerance: float = 1e-3) -> DataFrame:
@@ -272,8 +279,8 @@ def step_hits(steps: DataFrame, is_target: Column, k: int, salt: str = "snapshot
     from ..functions.columns import hash_order
 
     rows = steps.withColumn("_t", is_target.cast("int"))
-    hits = [F.lead("_t", h).over(by_step) for h in range(1, k + 1)]
-    rows = rows.withColumn("known", F.lead("_t", k).over(by_step).isNotNull()).withColumn("hit_step", F.coalesce(*(F.when(x == 1, F.lit(h)) for h, x in enumerate(hits, 1))))
+    hits = [F.lead("_t", h).over(by_step()) for h in range(1, k + 1)]
+    rows = rows.withColumn("known", F.lead("_t", k).over(by_step()).isNotNull()).withColumn("hit_step", F.coalesce(*(F.when(x == 1, F.lit(h)) for h, x in enumerate(hits, 1))))
     rows = rows.filter("known").withColumn("hit", F.col("hit_step").isNotNull()).drop("_t", "known")
     chosen = Window.partitionBy("entity").orderBy(hash_order(salt, "entity", "step"), "step")
     return rows.withColumn("_n", F.row_number().over(chosen)).filter("_n = 1").drop("_n")
