@@ -157,7 +157,7 @@ def closed_nodes(edges: DataFrame, internal: Column) -> DataFrame:
 def macro_jumps(edges: DataFrame, macros: DataFrame, tolerance: float = 1e-9, most: int = 200, every: int = 5) -> DataFrame:
     """(src, dst, p, kind) of the first state in another macro action; steps within a macro cost nothing.
 
-    Internal edges are walked again and again until less than `tolerance` still moves. kind:
+    Internal edges are walked again and again until less than `tolerance` still leaves. kind:
     `jump`; `lost` for mass without model, `retained` for what never leaves.
     """
     side = lambda name: macros.select(F.col("node").alias(name), F.col("macro").alias(f"{name}_macro"))
@@ -166,7 +166,7 @@ def macro_jumps(edges: DataFrame, macros: DataFrame, tolerance: float = 1e-9, mo
     inner, outer = checkpointed(inner), checkpointed(outer)
     nodes = edges.select("src").distinct()
     moving = nodes.select(F.col("src").alias("start"), F.col("src").alias("node"), F.lit(1.0).alias("mass"))
-    landed = None
+    landed, before = None, 0.0
     lost_at = nodes.join(edges.groupBy("src").agg(F.sum("p").alias("total")), "src").select(F.col("src").alias("node"), F.greatest(1 - F.col("total"), F.lit(0.0)).alias("gap"))
     for i in range(most):
         out = moving.join(outer, moving.node == outer.src).select("start", "dst", (F.col("mass") * F.col("p")).alias("p"), F.lit("jump").alias("kind"))
@@ -176,8 +176,10 @@ def macro_jumps(edges: DataFrame, macros: DataFrame, tolerance: float = 1e-9, mo
         moving = moving.join(inner, moving.node == inner.src).groupBy("start", F.col("dst").alias("node")).agg(F.sum(F.col("mass") * F.col("p")).alias("mass"))
         if (i + 1) % every == 0:
             landed, moving = checkpointed(landed), checkpointed(moving)
-            if not (moving.agg(F.max("mass")).first()[0] or 0.0) > tolerance:
+            now = landed.agg(F.sum("p")).first()[0] or 0.0
+            if now - before <= tolerance:  # all has landed, but what closed components retain
                 break
+            before = now
     stuck = nodes.select(F.col("src").alias("start")).join(landed.groupBy("start").agg(F.sum("p").alias("done")), "start", "left")
     stuck = stuck.select("start", F.lit(None).cast("string").alias("dst"), F.greatest(1 - F.coalesce("done", F.lit(0.0)), F.lit(0.0)).alias("p"), F.lit("retained").alias("kind")).filter(F.col("p") > tolerance)
     return landed.union(stuck).withColumnRenamed("start", "src")
