@@ -51,7 +51,7 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
     total = int((sizes * counts).sum())
     if total == 0 or budget >= total:
         return counts.copy() if total else np.zeros_like(counts)
-    take = np.floor(counts * (budget / total)).astype(np.int64)
+    take = np.floor(counts * (budget / total)).astype(np.int64) if budget > LAST_WORDS else np.zeros_like(counts)
     left = int(budget) - int((take * sizes).sum())
     for i in np.argsort(-sizes, kind="stable"):
         if sizes[i] > 0 and left > LAST_WORDS:

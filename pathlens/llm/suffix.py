@@ -116,12 +116,18 @@ def _blocks(keyed: DataFrame, threshold: int, seed: int, bits=None) -> DataFrame
 
 
 def _ranked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rank positions by (core, block): what repeats an earlier block, and blocks that others share in part."""
-    classes = rows.groupBy("core", "block").agg(F.min(F.struct("did", "pos")).alias("first"))
-    several = classes.groupBy("core").agg(F.count("*").alias("blocks"))
-    marked = keep(rows.join(classes, ["core", "block"]).join(several, "core").withColumn("earliest", F.struct("did", "pos") == F.col("first")).filter("not earliest or blocks > 1").select("did", "pos", "shape", "earliest"))
+    """Rank positions by (core, block): what repeats an earlier block, and blocks that others share in part.
+
+    Ranks are written before they are joined back, so that both sides of the joins are dealt
+    out for them alone and Spark can split the many rows of a passage that is everywhere.
+    """
+    classes = keep(rows.groupBy("core", "block").agg(F.min(F.struct("did", "pos")).alias("first")))
+    several = cut(classes.groupBy("core").count().filter("count > 1").select("core"))
+    marked = rows.join(classes, ["core", "block"]).withColumn("earliest", F.struct("did", "pos") == F.col("first"))
     windows = F.col("shape").bitwiseAND(127)
-    return marked.filter("not earliest").select("did", "pos", windows.alias("windows")), marked.filter("earliest").select("did", "pos", "shape")
+    repeats = marked.filter("not earliest").select("did", "pos", windows.alias("windows"))
+    requests = marked.filter("earliest").join(several, "core", "left_semi").select("did", "pos", "shape")
+    return keep(repeats), keep(requests)
 
 
 def _by_document(rows: DataFrame, *what) -> DataFrame:
@@ -171,7 +177,6 @@ def _with_repeats(docs: DataFrame, id_column: str, text_column: str, threshold:
     for width in WIDTHS:
         more, requests = _ranked(keep(_split(keyed, requests, width, threshold, seed)))
         repeats = repeats.union(more)
-    repeats = keep(repeats)
     bits = bitmap(repeats, "did")
     out = [*columns, "_bytes"]
     spans = _by_document(repeats, "windows")
