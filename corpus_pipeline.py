@@ -10,12 +10,13 @@ from pathlens.llm.byte_bpe import round_trip
 from pathlens.llm.language import UNDETERMINED, fitted, identified
 from pathlens.llm.minhash import near_duplicates
 from pathlens.llm.mixing import mix, repeated
-from pathlens.llm.shared import keep
+from pathlens.llm.shared import keep, text_batches
 from pathlens.llm.suffix import remove_repeats
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language that could be learned from the labelled ones go: those without text or letters."""
+    text_batches(spark)
     model = fitted(docs, F.col("lang").isNotNull())
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
@@ -24,6 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the smallest id; of rows that share an id, the first in order of text."""
+    text_batches(spark)
     ids = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
     first = Window.partitionBy("doc_id").orderBy("text")
     single = docs.filter("doc_id is not null").join(ids, "doc_id", "left_semi").withColumn("_place", F.row_number().over(first)).filter("_place = 1")
@@ -32,16 +34,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 100 bytes that occur earlier are cut out; documents that consist of them go."""
+    text_batches(spark)
     return remove_repeats(docs, "doc_id", "text", "n_chars")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of the sources takes it."""
+    text_batches(spark)
     return repeated(mix(docs, docs.columns), docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of each document's ids and of what they decode to."""
+    text_batches(spark)
     return round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -15,11 +15,13 @@ from .lattice import lattice_scores
 from .licenses import license_report
 from .minhash import near_duplicates
 from .mixing import mix
+from .shared import text_batches
 from .stream_files import token_report
 from .suffix import repeat_report
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

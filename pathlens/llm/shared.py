@@ -26,6 +26,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of fewer rows than Spark's default, which keeps a worker's memory low; steps go by bytes anyway."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there."""
     checkpoint_dir(df.sparkSession)
