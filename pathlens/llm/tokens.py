@@ -18,8 +18,8 @@ import pyarrow as pa
 
 from .words import STEP, Substrings, Words
 
-#: Units whose ids a worker remembers before it forgets them all: some 60 MB.
-REMEMBERED = 300_000
+#: Units whose ids a worker remembers before it forgets them all: some 30 MB.
+REMEMBERED = 150_000
 #: New units that are encoded in one go.
 JOINED = 4096
 #: What ends a word in a vocabulary that marks words' ends.
