@@ -44,6 +44,22 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def distinct_ids(docs: DataFrame, id_column: str, text_column: str, name: str, nulls_first: bool = True) -> DataFrame:
+    """docs with a long `name` that no two rows share, in the order of the ids.
+
+    Where ids are neither null nor repeated they are taken as they are. Otherwise rows are
+    sorted by id, a hash of the text and their place in the input, and numbered as they are
+    written, so that every later read finds the same numbers. No group of rows meets in one
+    task: the place tells apart even rows that are equal.
+    """
+    own = F.col(id_column).cast("long")
+    if docs.groupBy(own.alias("id")).count().filter("count > 1 or id is null").isEmpty():
+        return docs.withColumn(name, own)
+    first = own.asc_nulls_first() if nulls_first else own.asc_nulls_last()
+    placed = docs.withColumn(name, F.monotonically_increasing_id())
+    return keep(placed.orderBy(first, F.xxhash64(text_column), name).withColumn(name, F.monotonically_increasing_id()))
+
+
 def bitmap(ids: DataFrame, column: str, at: Column | None = None):
     """A broadcast bitmap that holds every value of a long column, of fixed size; `at` gives a value's slot.
 

@@ -17,14 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BITMAP_BITS, bitmap, cut, in_bitmap, keep, slot
+from .shared import BITMAP_BITS, bitmap, cut, distinct_ids, in_bitmap, keep, slot
 from .words import STEP, Substrings, U, buffers, mix, slices
 
 THRESHOLD, SEED = 100, 32
 #: Windows that one rank decides together, from block to single window.
 WIDTHS = (9, 1)
-#: A row's place among rows of the same id is above these bits of a position.
-ROW_SHIFT = 40
 
 
 def doubled_names(data: np.ndarray, length: int) -> np.ndarray:
@@ -69,12 +67,9 @@ def anchors(data: np.ndarray, rows: np.ndarray, threshold: int, seed: int):
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """docs with `did`, `sub` and `bytes`: the id (null as the smallest) and what tells apart rows that share it."""
-    did = F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63)))
-    text = F.coalesce(F.col(text_column), F.lit("")).cast("binary")
-    repeated = not docs.groupBy(did.alias("did")).count().filter("count > 1").isEmpty()
-    sub = F.crc32(text).bitwiseAND((1 << 22) - 1) if repeated else F.lit(0).cast("long")
-    return docs.select("*", did.alias("_did"), sub.alias("_sub"), text.alias("_bytes"))
+    """docs with `_did`, which no two rows share (null ids come first), and `_bytes`."""
+    rows = distinct_ids(docs, id_column, text_column, "_did")
+    return rows.withColumn("_bytes", F.coalesce(F.col(text_column), F.lit("")).cast("binary"))
 
 
 def _chosen(keyed: DataFrame, bits, inside: bool, columns: list[str]) -> DataFrame:
@@ -94,24 +89,24 @@ def _blocks(keyed: DataFrame, threshold: int, seed: int, bits=None) -> DataFrame
 
     def seeds(batches):
         for batch in slices(batches, "_bytes"):
-            data, rows = buffers(batch.column(2))
+            data, rows = buffers(batch.column(1))
             for *_, name, _ in anchors(data, rows, threshold, seed):
                 yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64))], ["core"])
 
     def full(batches):
         for batch in slices(batches, "_bytes"):
-            data, rows = buffers(batch.column(2))
-            did, sub = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data, rows = buffers(batch.column(1))
+            did = batch.column(0).to_numpy()
             for row, start, back, count, name, block in anchors(data, rows, threshold, seed):
                 name = name.view(np.int64)
                 use = in_bitmap(bits.value, name & mask)
                 row, start, back, count = row[use], start[use], back[use], count[use]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(name[use]), pa.array(block[use].view(np.int64)), pa.array(did[row]), pa.array((sub[row] << ROW_SHIFT) + start), pa.array((back * 128 + count).astype(np.int32))],
+                    [pa.array(name[use]), pa.array(block[use].view(np.int64)), pa.array(did[row]), pa.array(start), pa.array((back * 128 + count).astype(np.int32))],
                     ["core", "block", "did", "pos", "shape"],
                 )
 
-    rows = keyed.select("_did", "_sub", "_bytes")
+    rows = keyed.select("_did", "_bytes")
     return rows.mapInArrow(seeds, "core long") if bits is None else rows.mapInArrow(full, "core long, block long, did long, pos long, shape int")
 
 
@@ -131,9 +126,7 @@ def _ranked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _by_document(rows: DataFrame, *what) -> DataFrame:
-    sub = F.shiftright("pos", ROW_SHIFT).alias("_sub")
-    at = F.col("pos").bitwiseAND((1 << ROW_SHIFT) - 1).alias("at")
-    return rows.select(F.col("did").alias("_did"), sub, F.struct(at, *what).alias("span")).distinct().groupBy("_did", "_sub").agg(F.collect_list("span").alias("_spans"))
+    return rows.select(F.col("did").alias("_did"), F.struct(F.col("pos").alias("at"), *what).alias("span")).distinct().groupBy("_did").agg(F.collect_list("span").alias("_spans"))
 
 
 def _split(keyed: DataFrame, requests: DataFrame, width: int, threshold: int, seed: int) -> DataFrame:
@@ -142,8 +135,8 @@ def _split(keyed: DataFrame, requests: DataFrame, width: int, threshold: int, se
 
     def run(batches):
         for batch in slices(batches, "_bytes", STEP):
-            data, rows = buffers(batch.column(2))
-            did, sub, spans = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            data, rows = buffers(batch.column(1))
+            did, spans = batch.column(0).to_numpy(), batch.column(2)
             row = np.repeat(np.arange(batch.num_rows), np.diff(spans.offsets.to_numpy()))
             left, shape = spans.flatten().field(0).to_numpy(), spans.flatten().field(1).to_numpy().astype(np.int64)
             back, count = shape >> 7, shape & 127
@@ -158,13 +151,13 @@ def _split(keyed: DataFrame, requests: DataFrame, width: int, threshold: int, se
             block = mix(names(anchor - far, anchor - near + threshold) + (far * 128 + near).astype(U))
             start = left + back - far
             yield pa.RecordBatch.from_arrays(
-                [pa.array(core.view(np.int64)), pa.array(block.view(np.int64)), pa.array(did[row]), pa.array((sub[row] << ROW_SHIFT) + start), pa.array((far * 128 + far - near + 1).astype(np.int32))],
+                [pa.array(core.view(np.int64)), pa.array(block.view(np.int64)), pa.array(did[row]), pa.array(start), pa.array((far * 128 + far - near + 1).astype(np.int32))],
                 ["core", "block", "did", "pos", "shape"],
             )
 
-    texts = _chosen(keyed, bitmap(requests, "did"), True, ["_did", "_sub", "_bytes"])
+    texts = _chosen(keyed, bitmap(requests, "did"), True, ["_did", "_bytes"])
     asked = _by_document(requests, "shape")
-    return texts.join(asked, ["_did", "_sub"]).select("_did", "_sub", "_bytes", "_spans").mapInArrow(run, "core long, block long, did long, pos long, shape int")
+    return texts.join(asked, "_did").select("_did", "_bytes", "_spans").mapInArrow(run, "core long, block long, did long, pos long, shape int")
 
 
 def _with_repeats(docs: DataFrame, id_column: str, text_column: str, threshold: int, seed: int, columns: list[str]) -> DataFrame:
@@ -180,8 +173,8 @@ def _with_repeats(docs: DataFrame, id_column: str, text_column: str, threshold:
     bits = bitmap(repeats, "did")
     out = [*columns, "_bytes"]
     spans = _by_document(repeats, "windows")
-    touched = _chosen(keyed, bits, True, [*out, "_did", "_sub"]).join(spans, ["_did", "_sub"], "left").select(*out, "_spans")
-    clean = _chosen(keyed, bits, False, [*out, "_did", "_sub"]).select(*out, F.lit(None).cast(spans.schema["_spans"].dataType).alias("_spans"))
+    touched = _chosen(keyed, bits, True, [*out, "_did"]).join(spans, "_did", "left").select(*out, "_spans")
+    clean = _chosen(keyed, bits, False, [*out, "_did"]).select(*out, F.lit(None).cast(spans.schema["_spans"].dataType).alias("_spans"))
     return touched.union(clean)
 
 
@@ -212,8 +205,9 @@ def repeat_report(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     A byte goes when a string of `threshold` bytes covers it that also starts earlier in the
     input (smaller id, or the same document and an earlier start); strings may overlap.
     Null texts are empty; texts shorter than the threshold lose nothing. A null id is the
-    smallest. Rows that share an id are ordered by a checksum of their text; rows equal in id
-    and text are one document listed twice. Other columns are ignored; no rows give none.
+    smallest. Rows that share an id, or have none, are documents of their own, in the order of
+    a hash of their text; of equal ones the first keeps it. Other columns are ignored; no rows
+    give none.
     """
 
     def run(batches):

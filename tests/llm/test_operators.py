@@ -140,6 +140,21 @@ def test_repeated_and_null_ids_do_not_crash(spark):
     assert byte_bpe.round_trip(df, tokenizers.path("byte_bpe_50k.json")).count() == 5
 
 
+def test_suffix_tells_apart_rows_that_share_an_id(spark):
+    rng = random.Random(3)
+    passage, other = ("".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(2))
+    low = lambda text: zlib.crc32(text.encode()) & ((1 << 22) - 1)
+    by_sum = {low(text): text for text in (f"{passage} {rng.random()}" for _ in range(8000))}
+    clean = next(text for text in (f"{other} {rng.random()}" for _ in range(8000)) if low(text) in by_sum)
+    copied, alone = by_sum[low(clean)], "".join(rng.choice("stuvwxyz ") for _ in range(200))
+    rows = [(1, passage), (2, copied), (2, clean), (2, clean), (None, alone), (None, alone)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffix.repeat_report(df).collect())
+    assert got == Counter([(1, 150, 0), (2, len(copied), 150), (2, len(clean), 0), (2, len(clean), len(clean)), (None, 200, 0), (None, 200, 200)])
+    left = Counter((r.doc_id, r.text) for r in suffix.remove_repeats(df).collect())
+    assert left == Counter([(1, passage), (2, copied[150:]), (2, clean), (None, alone)])
+
+
 def test_token_files(docs, texts, nothing):
     tokenizer = tokens.load(tokenizers.path("word_bpe_49k.json"))
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in stream_files.token_report(docs, tokenizers.path("word_bpe_49k.json"), length=16).collect()}
