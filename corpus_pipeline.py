@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathlens.llm.byte_bpe import round_trip
 from pathlens.llm.language import UNDETERMINED, fitted, identified
 from pathlens.llm.minhash import near_duplicates
 from pathlens.llm.mixing import mix, repeated
-from pathlens.llm.shared import keep, text_batches
+from pathlens.llm.shared import distinct_ids, keep, text_batches
 from pathlens.llm.suffix import remove_repeats
 
 
@@ -24,12 +24,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest id; of rows that share an id, the first in order of text."""
+    """One document of each group of near copies stays, that of the smallest id; every row is a document, whether its id is repeated or null (the largest)."""
     text_batches(spark)
-    ids = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    single = docs.filter("doc_id is not null").join(ids, "doc_id", "left_semi").withColumn("_place", F.row_number().over(first)).filter("_place = 1")
-    return single.select(*docs.columns).union(docs.filter("doc_id is null"))
+    rows = distinct_ids(docs, "doc_id", "text", "_row", nulls_first=False)
+    kept = near_duplicates(rows, "_row").filter("kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -342,6 +342,17 @@ def test_cover_tree_equals_brute_force(spark, monkeypatch):
     assert covertree.similar_vectors(df.limit(0)).count() == 0
 
 
+def test_near_copies_alone_go_where_ids_are_repeated_or_null(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    a, b, c, d, e = (" ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(30)) for _ in range(5))
+    rows = [(1, a), (2, a), (7, b), (7, c), (7, b), (7, None), (None, d), (None, d), (None, e), (9, e)]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert kept.columns == ["doc_id", "text"]
+    assert Counter(tuple(r) for r in kept.collect()) == Counter([(1, a), (7, b), (7, c), (7, None), (None, d), (9, e)])
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
