@@ -14,13 +14,22 @@ from pathlens.llm.shared import distinct_ids, keep, text_batches
 from pathlens.llm.suffix import remove_repeats
 
 
+#: A document goes when its calibrated score is less than this part of the way from 1 / languages (the score without any evidence) to 1.
+LEAST_EVIDENCE = 1 / 30
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language that could be learned from the labelled ones go: those without text or letters."""
+    """Documents go whose language the classifier cannot tell: those without text or letters, and those with a nearly uniform score.
+
+    Where no document is labelled, nothing is learned and letterless texts alone go.
+    """
     text_batches(spark)
     model = fitted(docs, F.col("lang").isNotNull())
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return identified(docs, model).filter(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    uniform = 1 / len(model.labels)
+    told = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= uniform + LEAST_EVIDENCE * (1 - uniform))
+    return identified(docs, model).filter(told).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -353,6 +353,17 @@ def test_near_copies_alone_go_where_ids_are_repeated_or_null(spark):
     assert Counter(tuple(r) for r in kept.collect()) == Counter([(1, a), (7, b), (7, c), (7, None), (None, d), (9, e)])
 
 
+def test_pipeline_drops_texts_that_the_classifier_cannot_tell(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(-1, "これは日本語の文章です", None), (-2, "Αυτό είναι ένα κείμενο στα ελληνικά που κανείς δεν έμαθε", None), (-3, "the of and in", None), (-4, "12 !?", None)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.union(odd), "").select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()} | {-3}
+    one = spark.createDataFrame([(i, "the of and in", "en") for i in range(8)], docs.schema)
+    assert corpus_pipeline.language(spark, one, "").count() == 8
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
