@@ -154,35 +154,46 @@ def closed_nodes(edges: DataFrame, internal: Column) -> DataFrame:
     return edges.select(F.col("src").alias("node")).distinct().join(free, "node", "left_anti")
 
 
-def macro_jumps(edges: DataFrame, macros: DataFrame, tolerance: float = 1e-9, most: int = 200, every: int = 5) -> DataFrame:
+def macro_jumps(edges: DataFrame, macros: DataFrame, tolerance: float = 1e-9, most: int = 60) -> DataFrame:
     """(src, dst, p, kind) of the first state in another macro action; steps within a macro cost nothing.
 
-    Internal edges are walked again and again until less than `tolerance` still leaves. kind:
-    `jump`; `lost` for mass without model, `retained` for what never leaves.
+    Internal steps are squared, so that each round walks twice as many, until less than
+    `tolerance` of any start is still on its way. kind: `jump`; `lost` for mass without model;
+    `retained` for what comes into closed nodes (L15), which nothing leaves; `unresolved` for
+    what is still on its way after `most` rounds or leads to a node without macro.
     """
     side = lambda name: macros.select(F.col("node").alias(name), F.col("macro").alias(f"{name}_macro"))
-    named = edges.join(side("src"), "src").join(side("dst"), "dst")
-    inner, outer = named.filter("src_macro = dst_macro").select("src", "dst", "p"), named.filter("src_macro <> dst_macro").select("src", "dst", "p")
-    inner, outer = checkpointed(inner), checkpointed(outer)
+    same = F.coalesce(F.col("src_macro") == F.col("dst_macro"), F.lit(False))
+    named = checkpointed(edges.filter("p > 0").join(side("src"), "src", "left").join(side("dst"), "dst", "left").select("src", "dst", "p", "src_macro", "dst_macro"))
+    closed = checkpointed(closed_nodes(named, same))
     nodes = edges.select("src").distinct()
-    moving = nodes.select(F.col("src").alias("start"), F.col("src").alias("node"), F.lit(1.0).alias("mass"))
-    landed, before = None, 0.0
-    lost_at = nodes.join(edges.groupBy("src").agg(F.sum("p").alias("total")), "src").select(F.col("src").alias("node"), F.greatest(1 - F.col("total"), F.lit(0.0)).alias("gap"))
-    for i in range(most):
-        out = moving.join(outer, moving.node == outer.src).select("start", "dst", (F.col("mass") * F.col("p")).alias("p"), F.lit("jump").alias("kind"))
-        gone = moving.join(lost_at, "node", "left").select("start", F.lit(None).cast("string").alias("dst"), (F.col("mass") * F.coalesce("gap", F.lit(1.0))).alias("p"), F.lit("lost").alias("kind"))
-        part = out.union(gone).filter("p > 0")
-        landed = (part if landed is None else landed.union(part)).groupBy("start", "dst", "kind").agg(F.sum("p").alias("p")).select("start", "dst", "p", "kind")
-        moving = moving.join(inner, moving.node == inner.src).groupBy("start", F.col("dst").alias("node")).agg(F.sum(F.col("mass") * F.col("p")).alias("mass"))
-        if (i + 1) % every == 0:
-            landed, moving = checkpointed(landed), checkpointed(moving)
-            now = landed.agg(F.sum("p")).first()[0] or 0.0
-            if now - before <= tolerance:  # all has landed, but what closed components retain
-                break
-            before = now
-    stuck = nodes.select(F.col("src").alias("start")).join(landed.groupBy("start").agg(F.sum("p").alias("done")), "start", "left")
-    stuck = stuck.select("start", F.lit(None).cast("string").alias("dst"), F.greatest(1 - F.coalesce("done", F.lit(0.0)), F.lit(0.0)).alias("p"), F.lit("retained").alias("kind")).filter(F.col("p") > tolerance)
-    return landed.union(stuck).withColumnRenamed("start", "src")
+    leaving = named.join(closed, named.src == closed.node, "left_anti")
+    inner = leaving.filter(same)
+    into = inner.join(closed, inner.dst == closed.node, "left_semi")
+    steps = inner.join(closed, inner.dst == closed.node, "left_anti").groupBy("src", "dst").agg(F.sum("p").alias("p"))
+    nowhere = F.lit(None).cast("string").alias("dst")
+    totals = named.groupBy("src").agg(F.sum("p").alias("total"))
+    known = nodes.union(inner.select("dst")).distinct().join(totals, "src", "left").join(closed, F.col("src") == F.col("node"), "left_anti")
+    parts = [
+        leaving.filter("src_macro <> dst_macro").select("src", "dst", F.lit("jump").alias("kind"), "p"),
+        into.select("src", nowhere, F.lit("retained").alias("kind"), "p"),
+        nodes.join(closed, F.col("src") == F.col("node"), "left_semi").select("src", nowhere, F.lit("retained").alias("kind"), F.lit(1.0).alias("p")),
+        known.select("src", nowhere, F.lit("lost").alias("kind"), F.greatest(1 - F.coalesce("total", F.lit(0.0)), F.lit(0.0)).alias("p")),
+    ]
+    summed = lambda df: checkpointed(df.filter("p > 0").groupBy("src", "dst", "kind").agg(F.sum("p").alias("p")))
+    landed, steps = summed(reduce(DataFrame.union, parts)), checkpointed(steps)
+    for _ in range(most):
+        onward = steps.select("src", F.col("dst").alias("via"), F.col("p").alias("q"))
+        after = landed.select(F.col("src").alias("via"), "dst", "kind", "p")
+        landed = summed(landed.union(onward.join(after, "via").select("src", "dst", "kind", (F.col("q") * F.col("p")).alias("p"))))
+        after = steps.select(F.col("src").alias("via"), "dst", "p")
+        steps = checkpointed(onward.join(after, "via").groupBy("src", "dst").agg(F.sum(F.col("q") * F.col("p")).alias("p")).filter("p > 0"))
+        if (steps.groupBy("src").agg(F.sum("p").alias("p")).agg(F.max("p")).first()[0] or 0.0) < tolerance:
+            break
+    landed = landed.join(nodes, "src", "left_semi").select("src", "dst", "p", "kind")
+    left = nodes.join(landed.groupBy("src").agg(F.sum("p").alias("done")), "src", "left")
+    left = left.select("src", nowhere, F.greatest(1 - F.coalesce("done", F.lit(0.0)), F.lit(0.0)).alias("p"), F.lit("unresolved").alias("kind")).filter(F.col("p") > tolerance)
+    return landed.union(left)
 
 
 def macro_scores(first_step: DataFrame, jumps: DataFrame, macros: DataFrame, case: list[str]) -> DataFrame:
@@ -201,7 +212,7 @@ def macro_scores(first_step: DataFrame, jumps: DataFrame, macros: DataFrame, cas
 def macro_first_passage(jumps: DataFrame, macros: DataFrame, targets: list[str], k: int) -> DataFrame:
     """(src, action, change, score) and residual masses over k macro changes: a target is taken on arrival.
 
-    Masses: no_model, retained, terminal (a node without outgoing edges), step_limit; with the scores they add up to 1.
+    Masses: no_model, retained, unresolved (see macro_jumps), terminal (a node without outgoing edges), step_limit; with the scores they add up to 1.
     """
     side = macros.select(F.col("node").alias("dst"), F.col("macro").alias("dst_macro"))
     moves = jumps.filter("kind = 'jump'").join(side, "dst", "left").withColumn("action", F.when(F.col("dst_macro").isin(targets), F.col("dst_macro"))).select("src", "dst", "p", "action")

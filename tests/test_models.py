@@ -72,6 +72,16 @@ def test_multistep_masses_close(spark):
     assert [r.node for r in L.closed_nodes(edges.join(macros.select(F.col("node").alias("src"), F.col("macro").alias("m")), "src").join(macros.select(F.col("node").alias("dst"), F.col("macro").alias("n")), "dst"), F.col("m") == F.col("n")).collect()] == ["b1"]
 
 
+def test_slow_leavers_are_not_retained(spark):
+    edges = spark.createDataFrame([("a1", "a1", 0.999), ("a1", "t1", 0.001), ("b1", "b2", 0.99), ("b2", "b1", 0.99), ("b1", "b3", 0.005), ("b1", "t1", 0.005), ("b2", "b3", 0.005), ("b2", "t1", 0.005), ("b3", "b3", 1.0), ("c1", "c2", 0.9), ("c1", "t1", 0.1)], EDGES)
+    macros = spark.createDataFrame([(n, n[0]) for n in ("a1", "b1", "b2", "b3", "c1", "c2", "t1")], "node string, macro string")
+    jumps = {(r.src, r.kind): r.p for r in L.macro_jumps(edges, macros).collect() if r.p > 1e-8}
+    expected = {("a1", "jump"): 1.0, ("b1", "jump"): 0.5, ("b1", "retained"): 0.5, ("b2", "jump"): 0.5, ("b2", "retained"): 0.5, ("b3", "retained"): 1.0, ("c1", "jump"): 0.1, ("c1", "lost"): 0.9}
+    assert jumps == pytest.approx(expected, abs=1e-8)
+    cut = {(r.src, r.kind): r.p for r in L.macro_jumps(edges, macros, most=1).filter("src = 'a1'").collect()}
+    assert cut["a1", "jump"] + cut["a1", "unresolved"] == pytest.approx(1.0) and ("a1", "retained") not in cut
+
+
 def test_lift_of_a_constant_score_is_one(spark):
     rows = spark.createDataFrame([(str(i), 0.3, int(i < 2)) for i in range(10)], "entity string, score double, y int")
     out = M.weighted_bands(rows, "score", F.lit(1.0), F.col("y"), [("top", 0, 0.1)]).first()
