@@ -420,7 +420,7 @@ def horizon_exit(spark, d):
 def competing_lognormal(spark, d):
     rows = S.steps(spark, d).filter("not holdout and state is not null")
     dests, _ = S.duration_groups(spark, d)
-    return K.fit_competing_lognormal(rows, dests, ["state"], iterations=10)
+    return K.fit_competing_lognormal(rows, dests, ["state"])
 
 
 @query()

@@ -1,5 +1,6 @@
 """Models, propagation, evaluation and propensity against values worked out by hand."""
 
+import inspect
 import math
 from datetime import datetime
 
@@ -53,6 +54,16 @@ def test_competing_lognormal_recovers_parameters_and_raises_the_likelihood(spark
     assert ll[1] >= ll[0]
 
 
+def test_competing_lognormal_query_iterates_as_often_as_the_operator(spark, monkeypatch):
+    from pathlens import queries
+
+    plain, calls = inspect.signature(K.fit_competing_lognormal), []
+    monkeypatch.setattr(K, "fit_competing_lognormal", lambda *a, **k: calls.append(plain.bind(*a, **k)))
+    queries.QUERIES["competing_lognormal"](spark, "/root/testdata/sf0.001")
+    calls[0].apply_defaults()
+    assert calls[0].arguments["iterations"] == 30
+
+
 def test_pure_timeout_atom(spark):
     steps = spark.createDataFrame([(str(i), "s", 1800.0, "exata", True) for i in range(300)], "entity string, state string, dur_min double, censoring string, eligible boolean")
     row = K.fit_timeout_atom(steps, ["state"], 1800.0).first()
