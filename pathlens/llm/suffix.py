@@ -1,11 +1,11 @@
 """Suffix-array dedup: byte strings of a given length that occur earlier are removed.
 
-Prefix doubling over (rank, position) pairs, thinned so that it stays linear in the input.
-Ranks are 64-bit names: the name of 2h bytes pairs the names of h bytes at offsets 0 and h.
+Winnowing with fingerprint grouping, not prefix doubling over (rank, position) pairs: names
+of 32 bytes are formed by doubling inside a task, longer ones are polynomial fingerprints.
 Only selected positions ("anchors", the least name of 32 bytes in each window of 100) are
-sorted; every window has one, and equal windows have it at the same place. Spark groups the
-pairs at a growing offset: positions whose rank is unique are dropped, the rest gets new
-ranks from a longer context, until whole blocks or single windows of 100 bytes are decided.
+grouped; every window has one, and equal windows have it at the same place. Spark groups
+the anchors by longer and longer contexts: what is unique is dropped, the rest is split,
+until whole blocks or single windows of 100 bytes are decided.
 """
 
 from __future__ import annotations
