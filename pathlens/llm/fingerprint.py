@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import distinct_ids
 from .words import U, Words, mix, slices
 
 SAMPLES = 64
@@ -54,7 +55,7 @@ class WeightedSampler:
         bits = least.view(np.uint32)  # floats in an order that unsigned integers have too
         bits = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(U)
         sampled = (draw >> U(48)) ^ (step.astype(np.int64).view(U) * U(40503)) & low
-        return (bits << U(32)) | sampled | U(1)
+        return (bits << U(32)) | sampled
 
     def signatures(self, column: pa.Array) -> np.ndarray:
         words = Words(column)
@@ -112,29 +113,28 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def neighbours(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(doc_id, text, ahead) dealt out in descending id order, each partition in order and ending with the row that comes next.
 
-    The partitions begin at ids found by a quantile sketch; the first row of each is also
-    dealt to the one before, and the very first row to the last. Null ids come last, rows that
-    share an id in order of their texts.
+    Rows have numbers in the order of their ids, one by one where ids repeat or are null. The
+    partitions begin at numbers found by a quantile sketch; the first row of each is also
+    dealt to the one before, and the very first row to the last.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    plain = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    rows = distinct_ids(plain, "doc_id", "text", "row")
     shares = F.array(*(F.lit(i / n) for i in range(1, n + 1)))
-    cuts = rows.agg(F.percentile_approx("doc_id", shares, 100 * n).alias("at"), F.max("doc_id").alias("top"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
+    cuts = rows.agg(F.percentile_approx("row", shares, 100 * n).alias("at"), F.max("row").alias("top")).first()
     starts = np.array(sorted({*(cuts.at or []), *([] if cuts.top is None else [cuts.top])}), np.int64)  # ascending
     count = max(1, len(starts))
 
     @F.pandas_udf("array<struct<part: int, ahead: boolean>>")
-    def places(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        value = ids.fillna(0).to_numpy(np.int64)
-        at = len(starts) - 1 - np.searchsorted(starts, value) if len(starts) else np.zeros(len(value), np.int64)
-        part = np.where(known & (len(starts) > 0), at, count - 1)
-        begins = known & np.isin(value, starts) if len(starts) else ~known
+    def places(numbers: pd.Series) -> pd.Series:
+        value = numbers.to_numpy(np.int64)
+        part = count - 1 - np.searchsorted(starts, value)
+        begins = np.isin(value, starts)
         return pd.Series([[(int(p), False), (int(p - 1) % count, True)] if b else [(int(p), False)] for p, b in zip(part, begins, strict=True)])
 
-    dealt = rows.withColumn("place", F.explode(places("doc_id"))).select("doc_id", "text", "place.part", "place.ahead")
-    return dealt.repartitionById(count, "part").sortWithinPartitions("ahead", F.desc_nulls_last("doc_id"), "text").select("doc_id", "text", "ahead")
+    dealt = rows.withColumn("place", F.explode(places("row"))).select("row", "doc_id", "text", "place.part", "place.ahead")
+    return dealt.repartitionById(count, "part").sortWithinPartitions("ahead", F.desc("row")).select("doc_id", "text", "ahead")
 
 
 def edit_report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, samples: int = SAMPLES) -> DataFrame:
@@ -143,8 +143,8 @@ def edit_report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     The edited text has its last third (rounded down) of code points replaced by the first as
     many (or all) of the next document's, in descending id order, the first after the last.
     A likeness is the share of equal samples. Null texts are empty; texts without words are
-    alike. Null ids come last; rows that share an id are in order of their texts. A table of
-    one row is its own next. Other columns are ignored; no rows give none.
+    alike. Null ids come last; rows that share an id, or have none, are in the order of a hash
+    of their texts. A table of one row is its own next. Other columns are ignored; no rows give none.
     """
 
     def run(batches):
@@ -154,13 +154,14 @@ def edit_report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             ids = ids[-1:] + batch.column(0).to_pylist()
             texts = texts[-1:] + batch.column(1).to_pylist()
             ahead = ahead[-1:] + batch.column(2).to_pylist()
-            signatures = np.concatenate([signatures[-1:], sampler.signatures(batch.column(1))])
             own = [i for i in range(len(ids) - 1) if not ahead[i]]
             edited = []
             for i in own:
                 third = len(texts[i]) // 3
                 edited.append(texts[i][: len(texts[i]) - third] + texts[i + 1][:third])
-            other = sampler.signatures(pa.array(edited, pa.string()))
+            # both at once: the words of an edited text are mostly those of its neighbours
+            both = sampler.signatures(pa.concat_arrays([batch.column(1).cast(pa.string()), pa.array(edited, pa.string())]))
+            signatures, other = np.concatenate([signatures[-1:], both[: batch.num_rows]]), both[batch.num_rows :]
             mine, following = signatures[own], signatures[[i + 1 for i in own]]
             yield pa.RecordBatch.from_arrays(
                 [

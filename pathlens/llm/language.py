@@ -6,6 +6,7 @@ sample, calibrated by a temperature on a part of the sample kept apart.
 
 from __future__ import annotations
 
+import math
 from functools import cache
 from typing import NamedTuple
 
@@ -13,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .words import STEP, U, buffers, slices
 
@@ -20,6 +22,8 @@ from .words import STEP, U, buffers, slices
 BITS, ORDERS = 16, (1, 2, 3)
 #: Bound of the sample: labelled documents of a language that are learned from; every fifth calibrates.
 PER_LANGUAGE, CALIBRATE = 500, 5
+#: Bound of the whole sample, whatever the number of languages.
+SAMPLE = 100_000
 #: Step size, its smoothing, the penalties on absolute values and on squares, passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-4, 1e-3, 6
 #: Frequencies are small; this makes the features' usual size about 1.
@@ -118,9 +122,25 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model | None:
 
 
 def sample(rows: DataFrame, per_language: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """Features of at most so many labelled texts of each language, drawn by a hash of id and text, in its order."""
+    """Features of at most so many labelled texts of each language, those of the smallest hashes of id and text, in their order.
+
+    The rows of each language are counted first, and a bound on the hash leaves few more than
+    are wanted before any text is shuffled, however many rows a language has. Languages are
+    few; where a column has very many labels, each gives fewer texts, so that all features
+    together stay below `SAMPLE`.
+    """
+    counts = {row.lang: row["count"] for row in rows.groupBy("lang").count().collect()}
+    if not counts:
+        return []
+    wanted = max(1, min(per_language, SAMPLE // len(counts)))
+    most = wanted + 8 * math.sqrt(wanted) + 16  # expected below the bound: fewer than wanted are below it once in 10**12 times
+    bound = F.lit(None).cast("long")
+    for n in sorted({c for c in counts.values() if c > most}):
+        names = [lang for lang, c in counts.items() if c == n]
+        bound = F.when(F.col("lang").isin(names), F.lit(int(most / n * 2**64) - 2**63)).otherwise(bound)
     by_draw = Window.partitionBy("lang").orderBy("draw")
-    drawn = rows.withColumn("draw", F.xxhash64("doc_id", "text")).withColumn("place", F.row_number().over(by_draw)).filter(F.col("place") <= per_language)
+    drawn = rows.withColumn("draw", F.xxhash64("doc_id", "text")).filter(F.coalesce(F.col("draw") < bound, F.lit(True)))
+    drawn = drawn.withColumn("place", F.row_number().over(by_draw)).filter(F.col("place") <= wanted)
 
     def run(batches):
         for batch in slices(batches, "text", STEP):
@@ -171,18 +191,18 @@ def fitted(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_colum
     return train(sample(rows.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang")), per_language))
 
 
-def identified(docs: DataFrame, model: Model | None, text_column: str = "text") -> DataFrame:
-    """docs with `lang_pred` and `score`, all columns kept.
+def identified(docs: DataFrame, model: Model | None, text_column: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the prediction and its score in two more columns, named by `names`; columns of docs that have these names give way.
 
     Null, empty and letterless texts are `und` with the score 0; so is all, if there was
     nothing to learn from. The score is the calibrated probability of the prediction.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(*names)
 
     def run(batches):
         for batch in slices(batches, text_column, STEP):
             labels, scores = predict(shared.value, batch.column(batch.schema.get_field_index(text_column)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, *names])
 
-    fields = [f"`{c}` {t}" for c, t in docs.dtypes]
-    return docs.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))

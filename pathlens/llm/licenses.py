@@ -2,7 +2,7 @@
 
 Texts stream through the automaton, which gives for each place the longest run of tokens that
 ends there and occurs in a template. Long runs are chained in the order of their template
-into covered spans.
+into covered spans. Phrases are sequences of the same automaton, found where they end a run.
 """
 
 from __future__ import annotations
@@ -36,6 +36,11 @@ TEMPLATES = [
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
 ]
 #: Runs that may be chained have so many tokens, or all of a shorter template; a template is found when
@@ -49,20 +54,36 @@ def tokens(text: str) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Of several token sequences. A state keeps every template's last place where its runs end."""
+    """Of several token sequences. A state keeps every template's last place where its runs end.
 
-    def __init__(self, sequences: list[list[int]]):
+    The last sequences, `whole` of them, count only where they stand as a whole: a state keeps
+    those that end its runs, with their length.
+    """
+
+    def __init__(self, sequences: list[list[int]], whole: int = 0):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         self.ends: list[dict[int, set[int]]] = [{}]
+        spoken: dict[int, list[int]] = {}
         for number, sequence in enumerate(sequences):
             last = 0
             for place, token in enumerate(sequence):
                 last = self._extend(last, token)
-                self.ends[last].setdefault(number, set()).add(place)
-        for state in sorted(range(1, len(self.length)), key=lambda s: -self.length[s]):
+                if number < len(sequences) - whole:
+                    self.ends[last].setdefault(number, set()).add(place)
+        by_length = sorted(range(1, len(self.length)), key=lambda s: self.length[s])
+        for state in reversed(by_length):
             for number, places in self.ends[state].items():
                 self.ends[self.link[state]].setdefault(number, set()).update(places)
+        for i, sequence in enumerate(sequences[len(sequences) - whole :]):
+            state = 0
+            for token in sequence:
+                state = self.next[state][token]
+            spoken.setdefault(state, []).append(i)
+        self.whole: list[tuple[tuple[int, int], ...]] = [()] * len(self.length)
+        for state in by_length:
+            own = tuple((i, len(sequences[len(sequences) - whole + i])) for i in spoken.get(state, ()))
+            self.whole[state] = own + self.whole[self.link[state]]
 
     def _state(self, length: int, edges: dict[int, int], link: int) -> int:
         self.next.append(edges)
@@ -95,22 +116,33 @@ class SuffixAutomaton:
             self.link[new] = self._split(state, token)
         return new
 
-    def runs(self, sequence: list[int]):
-        """Matching statistics, reduced to runs that can't be longer: (end, length, state)."""
+    def walk(self, sequence: list[int]):
+        """Matching statistics: at each place the state and the length of the longest run that ends there."""
         state, length = 0, 0
-        for place, token in enumerate(sequence):
-            before = length, state
+        for token in sequence:
             while state and token not in self.next[state]:
                 state = self.link[state]
                 length = self.length[state]
-            if before[0] > length or (before[0] and token not in self.next[state]):
-                yield place - 1, *before
             if token in self.next[state]:
                 state, length = self.next[state][token], length + 1
             else:
                 length = 0
-        if length:
-            yield len(sequence) - 1, length, state
+            yield state, length
+
+    def runs(self, sequence: list[int]):
+        """Matching statistics, reduced to runs that can't be longer: (end, length, state)."""
+        return longest(self.walk(sequence))
+
+
+def longest(statistics):
+    """The places of matching statistics after which the run isn't one longer."""
+    before, place = (0, 0), -1
+    for place, (state, length) in enumerate(statistics):
+        if before[1] and length <= before[1]:
+            yield place - 1, before[1], before[0]
+        before = state, length
+    if before[1]:
+        yield place, before[1], before[0]
 
 
 class LicenseScanner:
@@ -121,8 +153,9 @@ class LicenseScanner:
         vocabulary = sorted({t for s in [*sequences, *spoken] for t in s})
         number = {t: i for i, t in enumerate(vocabulary)}
         self.sizes = [len(s) for s in sequences]
-        self.automaton = SuffixAutomaton([[number[t] for t in s] for s in sequences])
-        self.phrases = [(label, np.array([number[t] for t in s])) for s, label in zip(spoken, phrases.values(), strict=True)]
+        self.phrases = list(phrases.values())
+        self.shortest = min(LEAST_RUN, *self.sizes, *(len(s) for s in spoken))
+        self.automaton = SuffixAutomaton([[number[t] for t in s] for s in [*sequences, *spoken]], len(spoken))
         names = Words(pa.array([b" ".join(vocabulary).decode()]), ALNUM_WORDS).names
         self.order = np.argsort(names)
         self.names = names[self.order]
@@ -132,31 +165,43 @@ class LicenseScanner:
         at = np.minimum(np.searchsorted(self.names, words.names), len(self.names) - 1)
         return np.where(self.names[at] == words.names, self.order[at], -1)
 
-    def covers(self, sequence: list[int], start: int = 0) -> list[tuple[int, float, int, int]]:
-        """(template, covered share, first word, last word) of the best chain of each template that is found."""
+    def scan(self, sequence: list[int], places: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, float, int, int]]]:
+        """(phrase, first word) of all phrases, and (template, covered share, first word, last word) of covered spans.
+
+        `sequence` holds the numbers of the words at `places`; words that are left out lie
+        within gaps that -1 stands for.
+        """
+        statistics = list(self.automaton.walk(sequence))
+        spoken = [(i, places[at] - n + 1) for at, (state, length) in enumerate(statistics) if length >= self.shortest for i, n in self.automaton.whole[state] if n <= length]
         by_template: dict[int, list[tuple[int, int, int]]] = {}
-        for end, length, state in self.automaton.runs(sequence):
-            for template, places in self.automaton.ends[state].items():
+        for end, length, state in longest(statistics):
+            for template, ends in self.automaton.ends[state].items():
                 if length >= min(LEAST_RUN, self.sizes[template]):
-                    by_template.setdefault(template, []).extend((end - length + 1, p - length + 1, length) for p in places)
+                    by_template.setdefault(template, []).extend((places[end] - length + 1, p - length + 1, length) for p in ends)
         out = []
         for template, found in by_template.items():
-            size = self.sizes[template]
-            best: list[tuple[int, int]] = []  # covered tokens, first word, of the best chain that ends with each run
-            top = (0, 0, 0)
-            for i, (word, place, length) in enumerate(found):
-                cover, first = length, word
-                for j in range(i - 1, -1, -1):
-                    w, p, n = found[j]
-                    if word - w > STRETCH * size:
-                        break
-                    if w + n <= word and p + n <= place and word + length - best[j][1] <= STRETCH * size and best[j][0] + length > cover:
-                        cover, first = best[j][0] + length, best[j][1]
-                best.append((cover, first))
-                top = max(top, (cover, -first, word + length - 1))
-            if top[0] >= LEAST_COVER * size:
-                out.append((template, top[0] / size, start - top[1], start + top[2]))
-        return out
+            found.sort()
+            while (chain := self._chain(found, self.sizes[template])) is not None:
+                cover, first, last = chain
+                out.append((template, cover / self.sizes[template], first, last))
+                found = [x for x in found if x[0] > last or x[0] + x[2] <= first]
+        return spoken, out
+
+    def _chain(self, found: list[tuple[int, int, int]], size: int) -> tuple[int, int, int] | None:
+        """The chain of runs (word, place in the template, length) that covers most of a template of that size, if it covers enough."""
+        best: list[tuple[int, int]] = []  # covered tokens and first word of the best chain that ends with each run
+        top = (0, 0, 0)
+        for i, (word, place, length) in enumerate(found):
+            cover, first = length, word
+            for j in range(i - 1, -1, -1):
+                w, p, n = found[j]
+                if word - w > STRETCH * size:
+                    break
+                if w + n <= word and p + n <= place and word + length - best[j][1] <= STRETCH * size and best[j][0] + length > cover:
+                    cover, first = best[j][0] + length, best[j][1]
+            best.append((cover, first))
+            top = max(top, (cover, -first, word + length - 1))
+        return (top[0], -top[1], top[2]) if top[0] >= LEAST_COVER * size else None
 
 
 def license_report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
@@ -172,43 +217,32 @@ def license_report(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     def run(batches):
         scanner = LicenseScanner(templates, phrases)
-        shortest = min(LEAST_RUN, *scanner.sizes)
         for batch in slices(batches, "text"):
             words = Words(batch.column(1), ALNUM_WORDS)
             number, offsets, n = scanner.numbers(words), words.offsets, batch.num_rows
-            base = [[] for _ in range(n)]
-            labels = [set() for _ in range(n)]
-            for label, phrase in scanner.phrases:
-                at = np.flatnonzero(number == phrase[0])
-                at = at[at + len(phrase) <= len(number)]
-                for j in range(1, len(phrase)):
-                    at = at[number[at + j] == phrase[j]]
-                row = np.searchsorted(offsets, at, "right") - 1
-                for i, r in zip(at.tolist(), row.tolist(), strict=True):
-                    if i + len(phrase) <= offsets[r + 1]:
-                        base[r].append(i - int(offsets[r]))
-                        labels[r].add(label)
-            base_labels = [",".join(sorted(x)) for x in labels]
-            score = [1.0 if x else 0.0 for x in labels]
-            spans = [[] for _ in range(n)]
-            # places in the vocabulary, with gaps of other words; rows never join
+            base, labels, spans = [[] for _ in range(n)], [set() for _ in range(n)], [[] for _ in range(n)]
+            # stretches of words of the vocabulary, as many as the shortest sequence has; rows never join
             inside = np.concatenate([[False], number >= 0, [False]])
             cut = np.zeros(len(number) + 1, bool)
             cut[offsets] = True
             begin = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
             end = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
+            long = end - begin >= scanner.shortest
+            begin, end = begin[long], end[long]
             rows = np.searchsorted(offsets, begin, "right") - 1
-            long = end - begin >= shortest
-            for r in np.unique(rows[long]).tolist():
-                mine = (rows == r) & long
+            bounds = np.searchsorted(rows, np.arange(n + 1))
+            for r in np.unique(rows).tolist():
                 sequence, places = [], []
-                for a, b in zip(begin[mine].tolist(), end[mine].tolist(), strict=True):
+                for a, b in zip(begin[bounds[r] : bounds[r + 1]].tolist(), end[bounds[r] : bounds[r + 1]].tolist(), strict=True):
                     sequence += [-1, *number[a:b].tolist()]
-                    places += [a, *range(a, b)]
-                for template, share, first, last in scanner.covers(sequence):
-                    labels[r].add(scanner.labels[template])
-                    score[r] = max(score[r], share)
-                    spans[r].append({"label": scanner.labels[template], "first": places[first] - int(offsets[r]), "last": places[last] - int(offsets[r]), "share": share})
+                    places += [a - int(offsets[r]), *range(a - int(offsets[r]), b - int(offsets[r]))]
+                spoken, covered = scanner.scan(sequence, places)
+                base[r] = [first for _, first in spoken]
+                labels[r] = {scanner.phrases[i] for i, _ in spoken}
+                spans[r] = [{"label": scanner.labels[template], "first": first, "last": last, "share": share} for template, share, first, last in covered]
+            base_labels = [",".join(sorted(x)) for x in labels]
+            score = [1.0 if x else max((s["share"] for s in y), default=0.0) for x, y in zip(labels, spans, strict=True)]
+            labels = [x | {s["label"] for s in y} for x, y in zip(labels, spans, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),

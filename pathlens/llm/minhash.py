@@ -51,7 +51,7 @@ def sketches(docs: DataFrame, id_column: str, text_column: str, shingle: int, si
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str, shingle: int) -> DataFrame:
     """(id, digest, items) for the documents of `wanted` (and a few others that share their bitmap slots)."""
-    bits = bitmap(wanted, "id")
+    bits, mask = bitmap(wanted, "id")
 
     def run(batches):
         for batch in batches:
@@ -68,7 +68,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: s
                 )
 
     chosen = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    return chosen.filter("id is not null").withColumn("slot", slot("id")).mapInArrow(run, "id long, digest binary, items array<long>")
+    return chosen.filter("id is not null").withColumn("slot", slot("id", mask)).mapInArrow(run, "id long, digest binary, items array<long>")
 
 
 def rarest(classes: DataFrame, size: int) -> DataFrame:

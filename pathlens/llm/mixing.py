@@ -47,18 +47,22 @@ def knapsack(sizes: Sequence[int], counts: Sequence[int], budget: int) -> dict[i
 
 
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
-    """Numbers to take of each size so that their words come as near to the budget as can be, from below."""
+    """Numbers to take of each size so that their words come as near to the budget as can be, from below.
+
+    Of the words before the last `LAST_WORDS` every size gives the same share, then the longest
+    that are left fill up; the last ones are fitted by dynamic programming.
+    """
     total = int((sizes * counts).sum())
     if total == 0 or budget >= total:
         return counts.copy() if total else np.zeros_like(counts)
-    take = np.floor(counts * (budget / total)).astype(np.int64) if budget > LAST_WORDS else np.zeros_like(counts)
+    take = np.floor(counts * (max(0.0, budget - LAST_WORDS) / total)).astype(np.int64)
     left = int(budget) - int((take * sizes).sum())
-    for i in np.argsort(-sizes, kind="stable"):
-        if sizes[i] > 0 and left > LAST_WORDS:
-            more = min(int(counts[i] - take[i]), (left - LAST_WORDS) // int(sizes[i]))
+    order = np.argsort(-sizes, kind="stable")
+    for i in order:
+        if sizes[i] > 0:
+            more = min(int(counts[i] - take[i]), max(0, left - LAST_WORDS) // int(sizes[i]))
             take[i] += more
             left -= more * int(sizes[i])
-    order = np.argsort(-sizes, kind="stable")
     last = knapsack(sizes[order].tolist(), (counts - take)[order].tolist(), max(0, left))
     return take + np.array([last.get(int(s), 0) for s in sizes], np.int64)
 
@@ -84,27 +88,38 @@ def targets(by_source: DataFrame, weights: Sequence[float], share: float, cap: f
     return rows.withColumn("target", F.least("limit", F.max("share").over(every) * F.col("weight"))).select("source", "known", "source_size", "target")
 
 
-def mix(docs: DataFrame, columns: Sequence[str] = ("doc_id",), text_column: str = "text", source_column: str = "source", id_column: str = "doc_id", *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, columns: Sequence[str] = ("doc_id",), text_column: str = "text", source_column: str = "source", id_column: str = "doc_id", **options) -> DataFrame:
     """The given columns of docs, with `size`, `source_size`, `target`, `taken` and `copies`, one row for each row.
 
     size counts words (0 for a null text); taken is size times copies, the number of times
     that the mix holds the document, at most `cap` rounded down. Null is a source of its own,
     the last. Documents without words are taken as often as the whole source is. Equal rows
     are drawn one by one. Draws depend on the seed, id and text alone, so reruns agree. An
-    empty table gives no rows. `columns` must not bear the names above.
+    empty table gives no rows. Columns that bear the names above give way to them.
+
+    options: weights=(5, 2, 1), share=1.5, cap=2.0, seed=17; see `targets`.
     """
+    rows = _mixed(docs, columns, text_column, source_column, id_column, **options)
+    return rows.select(*(F.col(f"own.`{c}`") for c in columns if c.lower() not in MEASURES), *MEASURES)
+
+
+MEASURES = ("size", "source_size", "target", "taken", "copies")
+
+
+def _mixed(docs: DataFrame, columns: Sequence[str], text_column: str, source_column: str, id_column: str, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
+    """(own, size, source_size, target, taken, copies): the given columns stand in a struct, where no name clashes."""
     rows = docs.select(
-        *columns,
-        F.coalesce(F.col(source_column), F.lit("")).alias("source_"),
-        F.col(source_column).isNotNull().alias("known_"),
+        F.struct(*columns).alias("own"),
+        F.coalesce(F.col(source_column), F.lit("")).alias("source"),
+        F.col(source_column).isNotNull().alias("known"),
         F.coalesce(F.regexp_count(text_column, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_column), F.col(text_column)).alias("draw_"),
-    ).withColumn("bucket_", F.pmod("draw_", F.lit(BUCKETS)))
-    key = ["source_", "known_", "size"]
-    buckets = keep(rows.groupBy(*key, "bucket_").agg(F.count("*").alias("held")))
+        F.xxhash64(F.lit(seed), F.col(id_column), F.col(text_column)).alias("draw"),
+    ).withColumn("bucket", F.pmod("draw", F.lit(BUCKETS)))
+    key = ["source", "known", "size"]
+    buckets = keep(rows.groupBy(*key, "bucket").agg(F.count("*").alias("held")))
     lengths = buckets.groupBy(*key).agg(F.sum("held").alias("held"))
-    sources = lengths.groupBy(F.col("source_").alias("source"), F.col("known_").alias("known")).agg(F.sum(F.col("size") * F.col("held")).alias("source_size"))
-    aims = targets(sources, weights, share, cap).select(F.col("source").alias("source_"), F.col("known").alias("known_"), "source_size", "target")
+    sources = lengths.groupBy("source", "known").agg(F.sum(F.col("size") * F.col("held")).alias("source_size"))
+    aims = targets(sources, weights, share, cap)
 
     def plan(group: pd.DataFrame) -> pd.DataFrame:
         total, target = int(group.source_size.iloc[0]), float(group.target.iloc[0])
@@ -112,15 +127,16 @@ def mix(docs: DataFrame, columns: Sequence[str] = ("doc_id",), text_column: str
         take = fit(group["size"].to_numpy(np.int64), group.held.to_numpy(np.int64), target - whole * total)
         return group.assign(whole=whole, take=take)
 
-    kind = "source_ string, known_ boolean, size long, held long, source_size long, target double"
-    planned = lengths.join(aims, ["source_", "known_"]).select("source_", "known_", "size", "held", "source_size", "target").groupBy("source_", "known_").applyInPandas(plan, f"{kind}, whole long, take long")
-    before = Window.partitionBy(*key).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
+    kind = "source string, known boolean, size long, held long, source_size long, target double"
+    planned = lengths.join(aims, ["source", "known"]).select("source", "known", "size", "held", "source_size", "target").groupBy("source", "known").applyInPandas(plan, f"{kind}, whole long, take long")
+    before = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     quota = buckets.join(planned.drop("held"), key).withColumn("quota", F.col("take") - F.coalesce(F.sum("held").over(before), F.lit(0)))
-    ranked = rows.join(quota.drop("take", "held"), [*key, "bucket_"]).withColumn("place", F.row_number().over(Window.partitionBy(*key, "bucket_").orderBy("draw_", *columns)))
+    ranked = rows.join(quota.drop("take", "held"), [*key, "bucket"]).withColumn("place", F.row_number().over(Window.partitionBy(*key, "bucket").orderBy("draw")))
     copies = F.col("whole") + (F.col("place") <= F.col("quota")).cast("long")
-    return ranked.withColumn("copies", copies).select(*columns, "size", "source_size", "target", (F.col("size") * copies).alias("taken"), "copies")
+    return ranked.withColumn("copies", copies).select("own", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), "copies")
 
 
-def repeated(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The mix itself: each row of `mix` as often as it says, with the given columns."""
-    return mixed.filter("copies > 0").select(*columns, F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(*columns)
+def repeated(docs: DataFrame, text_column: str = "text", source_column: str = "source", id_column: str = "doc_id", **options) -> DataFrame:
+    """The mix itself: each row of docs as often as `mix` takes it, with the columns of docs."""
+    mixed = _mixed(docs, docs.columns, text_column, source_column, id_column, **options).filter("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*(F.col(f"own.`{c}`") for c in docs.columns))

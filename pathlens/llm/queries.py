@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pipeline
 from .byte_bpe import round_trip
 from .covertree import similar_vectors
 from .fingerprint import edit_report
@@ -59,7 +59,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,7 @@ QUERIES = {
     "op8_weighted_sampling": op8_weighted_sampling,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_license_scan": op10_license_scan,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -108,5 +108,5 @@ ORACLE_SQL: dict[str, str] = {
         from embeddings left join counted on counted.a = vec_id left join named on named.a = vec_id
     """,
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+if pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = pipeline.ORACLE_SQL

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of the bitmap that says which ids a later pass needs: 8 MB whatever the input's size.
-BITMAP_BITS = 1 << 26
+#: A bitmap that says which ids a later pass needs has this many bits for each of them, within bounds: 128 MB at most.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 30
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -22,13 +23,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Hand texts to Python in batches of fewer rows than Spark's default, which keeps a worker's memory low; steps go by bytes anyway."""
+    """For queries over whole texts: hand them to Python in batches of a few MB, which keeps executors' memory low. The
+    setting counts when the query runs, after it was returned, so it stays; operators leave the session's as they find it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
+def fresh(name: str, columns: Iterable[str]) -> str:
+    """The name, lengthened until none of the columns has it, in capitals or not."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -60,23 +73,28 @@ def distinct_ids(docs: DataFrame, id_column: str, text_column: str, name: str, n
     return keep(placed.orderBy(first, F.xxhash64(text_column), name).withColumn(name, F.monotonically_increasing_id()))
 
 
-def bitmap(ids: DataFrame, column: str, at: Column | None = None):
-    """A broadcast bitmap that holds every value of a long column, of fixed size; `at` gives a value's slot.
+def bitmap(ids: DataFrame, column: str, spread: bool = True):
+    """A broadcast bitmap that holds every value of a long column, and the mask of its slots (see `slot`).
 
-    It only spares work: a value outside certainly isn't there, one inside has to be joined.
+    It grows with the number of ids to at most `MOST_BITS`. It only spares work: a value
+    outside certainly isn't there, one inside has to be joined, however full the bitmap is.
     """
-    at = (slot(column) if at is None else at) + 1  # Spark counts bitmap positions from 1
-    rows = ids.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    whole = np.zeros(BITMAP_BITS // 8, np.uint8)
+    bits = LEAST_BITS
+    wanted = ids.count() * BITS_EACH
+    while bits < min(wanted, MOST_BITS):
+        bits *= 2
+    at = slot(column, bits - 1, spread) + 1  # Spark counts bitmap positions from 1
+    rows = ids.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).toLocalIterator()
+    whole = np.zeros(bits // 8, np.uint8)
     for row in rows:
         part = np.frombuffer(bytes(row.bits), np.uint8)
         whole[(row.bucket - 1) * 4096 :][: len(part)] = part
-    return ids.sparkSession.sparkContext.broadcast(whole)
+    return ids.sparkSession.sparkContext.broadcast(whole), bits - 1
 
 
-def slot(column: str):
-    """The bitmap's slot of a value, handed to `in_bitmap` beside the row."""
-    return F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
+def slot(column: str, mask: int, spread: bool = True) -> Column:
+    """The bitmap's slot of a value: of its hash, or of the value itself if that is one."""
+    return (F.xxhash64(column) if spread else F.col(column)).bitwiseAND(F.lit(mask))
 
 
 def in_bitmap(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpoint_dir
+from .shared import checkpoint_dir, distinct_ids
 from .tokens import encoder
 from .words import slices
 
@@ -87,8 +87,9 @@ class SequenceReader:
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_column: str = "doc_id", text_column: str = "text", *, end_id: int = 2, length: int = LENGTH) -> list[dict]:
     """Write the ids of all texts in ascending id order; one entry for each file, in that order.
 
-    Every document ends with `end_id`; null and empty texts consist of it alone. A null id
-    comes first; rows that share an id are ordered by text. Other columns are ignored; an
+    Every document ends with `end_id`; null and empty texts consist of it alone. Null ids
+    come first; rows that share an id, or have none, are in order of a hash of their text, and
+    may be dealt to several files. Other columns are ignored; an
     empty table writes no file. A file's name holds the attempt that wrote it, and only files
     of successful attempts are named in the result, so a lost executor leaves nothing wrong.
     """
@@ -123,7 +124,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_column: str =
             yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()]), pa.array([f"{name}.arrow"]), pa.array([f"{name}-index.arrow"]), pa.array([documents]), pa.array([writer.count])], ["part", "file", "index", "documents", "tokens"])
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = distinct_ids(rows, "doc_id", "text", "row").repartitionByRange("row").sortWithinPartitions("row").select("doc_id", "text")
     files = rows.mapInArrow(run, "part long, file string, index string, documents long, tokens long").collect()
     return [row.asDict() for row in sorted(files, key=lambda row: row.part)]
 

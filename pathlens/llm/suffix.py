@@ -1,11 +1,12 @@
 """Suffix-array dedup: byte strings of a given length that occur earlier are removed.
 
 Winnowing with fingerprint grouping, not prefix doubling over (rank, position) pairs: names
-of 32 bytes are formed by doubling inside a task, longer ones are polynomial fingerprints.
+of 32 bytes are formed by doubling inside a task, longer ones are hashes of the whole string.
 Only selected positions ("anchors", the least name of 32 bytes in each window of 100) are
 grouped; every window has one, and equal windows have it at the same place. Spark groups
 the anchors by longer and longer contexts: what is unique is dropped, the rest is split,
-until whole blocks or single windows of 100 bytes are decided.
+until whole blocks or single windows of 100 bytes are decided. `doubled_repeats` is plain
+prefix doubling of every position, for which the README has figures.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import BITMAP_BITS, bitmap, cut, distinct_ids, in_bitmap, keep, slot
-from .words import STEP, Substrings, U, buffers, mix, slices
+from .shared import bitmap, cut, distinct_ids, in_bitmap, keep, slot
+from .words import STEP, U, buffers, mix, slices, span_names
 
 THRESHOLD, SEED = 100, 32
 #: Windows that one rank decides together, from block to single window.
@@ -63,38 +65,42 @@ def anchors(data: np.ndarray, rows: np.ndarray, threshold: int, seed: int):
         count = np.diff(np.append(first, len(start)))
         left, at = start[first], anchor[first]
         row = np.searchsorted(rows, left + begin, "right") - 1
-        yield row, left + begin - rows[row], at - left, count, names[at], Substrings(part).names(left, left + count - 1 + threshold)
+        yield row, left + begin - rows[row], at - left, count, names[at], span_names(part, left, left + count - 1 + threshold)
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """docs with `_did`, which no two rows share (null ids come first), and `_bytes`."""
-    rows = distinct_ids(docs, id_column, text_column, "_did")
-    return rows.withColumn("_bytes", F.coalesce(F.col(text_column), F.lit("")).cast("binary"))
+    """(did, text, own): the text's bytes with a number that no two rows share (null ids come first), and all columns but
+    the text in a struct, where no name clashes."""
+    others = [c for c in docs.columns if c != text_column]
+    plain = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.struct(*others).alias("own"))
+    rows = distinct_ids(plain, "id", "text", "did")
+    return rows.select("did", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), F.col("text").isNull().alias("empty"), "own")
 
 
-def _chosen(keyed: DataFrame, bits, inside: bool, columns: list[str]) -> DataFrame:
-    """The rows whose id is (or isn't) in the bitmap."""
+def _chosen(keyed: DataFrame, found, inside: bool, columns: list[str]) -> DataFrame:
+    """The rows whose number is (or isn't) in the bitmap."""
+    bits, mask = found
 
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(in_bitmap(bits.value, batch.column(batch.num_columns - 1).to_numpy()) == inside)).select(range(batch.num_columns - 1))
 
     rows = keyed.select(*columns)
-    return rows.withColumn("_slot", slot("_did")).mapInArrow(run, rows.schema)
+    return rows.withColumn("slot", slot("did", mask)).mapInArrow(run, rows.schema)
 
 
-def _blocks(keyed: DataFrame, threshold: int, seed: int, bits=None) -> DataFrame:
-    """(core, block, did, pos, shape) of all anchors, or of those whose seed is in the bitmap; core alone without one."""
-    mask = BITMAP_BITS - 1
+def _blocks(keyed: DataFrame, threshold: int, seed: int, found=None) -> DataFrame:
+    """(core, block, did, pos, shape) of all anchors whose seed is in the bitmap; core alone, of all anchors, without one."""
 
     def seeds(batches):
-        for batch in slices(batches, "_bytes"):
+        for batch in slices(batches, "text"):
             data, rows = buffers(batch.column(1))
             for *_, name, _ in anchors(data, rows, threshold, seed):
                 yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64))], ["core"])
 
     def full(batches):
-        for batch in slices(batches, "_bytes"):
+        bits, mask = found
+        for batch in slices(batches, "text"):
             data, rows = buffers(batch.column(1))
             did = batch.column(0).to_numpy()
             for row, start, back, count, name, block in anchors(data, rows, threshold, seed):
@@ -106,8 +112,8 @@ def _blocks(keyed: DataFrame, threshold: int, seed: int, bits=None) -> DataFrame
                     ["core", "block", "did", "pos", "shape"],
                 )
 
-    rows = keyed.select("_did", "_bytes")
-    return rows.mapInArrow(seeds, "core long") if bits is None else rows.mapInArrow(full, "core long, block long, did long, pos long, shape int")
+    rows = keyed.select("did", "text")
+    return rows.mapInArrow(seeds, "core long") if found is None else rows.mapInArrow(full, "core long, block long, did long, pos long, shape int")
 
 
 def _ranked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -126,7 +132,7 @@ def _ranked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _by_document(rows: DataFrame, *what) -> DataFrame:
-    return rows.select(F.col("did").alias("_did"), F.struct(F.col("pos").alias("at"), *what).alias("span")).distinct().groupBy("_did").agg(F.collect_list("span").alias("_spans"))
+    return rows.select("did", F.struct(F.col("pos").alias("at"), *what).alias("span")).distinct().groupBy("did").agg(F.collect_list("span").alias("spans"))
 
 
 def _split(keyed: DataFrame, requests: DataFrame, width: int, threshold: int, seed: int) -> DataFrame:
@@ -134,7 +140,7 @@ def _split(keyed: DataFrame, requests: DataFrame, width: int, threshold: int, se
     most = threshold - seed
 
     def run(batches):
-        for batch in slices(batches, "_bytes", STEP):
+        for batch in slices(batches, "text", STEP):
             data, rows = buffers(batch.column(1))
             did, spans = batch.column(0).to_numpy(), batch.column(2)
             row = np.repeat(np.arange(batch.num_rows), np.diff(spans.offsets.to_numpy()))
@@ -146,40 +152,78 @@ def _split(keyed: DataFrame, requests: DataFrame, width: int, threshold: int, se
             part = low + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
             far, near = np.minimum(back, part * width + width - 1), np.maximum(back - count + 1, part * width)
             anchor = rows[row] + left + back
-            names = Substrings(data).names
-            core = mix(names(anchor - part * width, anchor - np.minimum(part * width + width - 1, most) + threshold) + part.astype(U))
-            block = mix(names(anchor - far, anchor - near + threshold) + (far * 128 + near).astype(U))
+            core = mix(span_names(data, anchor - part * width, anchor - np.minimum(part * width + width - 1, most) + threshold) + part.astype(U))
+            block = mix(span_names(data, anchor - far, anchor - near + threshold) + (far * 128 + near).astype(U))
             start = left + back - far
             yield pa.RecordBatch.from_arrays(
                 [pa.array(core.view(np.int64)), pa.array(block.view(np.int64)), pa.array(did[row]), pa.array(start), pa.array((far * 128 + far - near + 1).astype(np.int32))],
                 ["core", "block", "did", "pos", "shape"],
             )
 
-    texts = _chosen(keyed, bitmap(requests, "did"), True, ["_did", "_bytes"])
+    texts = _chosen(keyed, bitmap(requests, "did"), True, ["did", "text"])
     asked = _by_document(requests, "shape")
-    return texts.join(asked, "_did").select("_did", "_bytes", "_spans").mapInArrow(run, "core long, block long, did long, pos long, shape int")
+    return texts.join(asked, "did").select("did", "text", "spans").mapInArrow(run, "core long, block long, did long, pos long, shape int")
 
 
-def _with_repeats(docs: DataFrame, id_column: str, text_column: str, threshold: int, seed: int, columns: list[str]) -> DataFrame:
-    """The given columns, `_bytes` last but one, and `_spans` (start, windows) of what repeats an earlier string; null where nothing does."""
-    keyed = _keyed(docs, id_column, text_column)
+def thinned_repeats(keyed: DataFrame, threshold: int, seed: int) -> DataFrame:
+    """(did, pos, windows): runs of strings of `threshold` bytes that also start earlier."""
     shared = cut(_blocks(keyed, threshold, seed).groupBy("core").count().filter("count > 1").select("core"))
-    bits = bitmap(shared, "core", F.col("core").bitwiseAND(BITMAP_BITS - 1))
-    rows = keep(_blocks(keyed, threshold, seed, bits).join(shared, "core", "left_semi"))
+    found = bitmap(shared, "core", spread=False)
+    rows = keep(_blocks(keyed, threshold, seed, found).join(shared, "core", "left_semi"))
     repeats, requests = _ranked(rows)
     for width in WIDTHS:
         more, requests = _ranked(keep(_split(keyed, requests, width, threshold, seed)))
         repeats = repeats.union(more)
-    bits = bitmap(repeats, "did")
-    out = [*columns, "_bytes"]
+    return repeats
+
+
+def doubled_repeats(keyed: DataFrame, threshold: int) -> DataFrame:
+    """The same by prefix doubling of every position, in Spark: a row a byte of the corpus in the first rounds.
+
+    The first ranks are strings of eight bytes. Each round joins a position's rank with the
+    one at the offset, sorts the pairs, and gives those that occur more than once their place
+    as the new rank; others go. The last offset is what lacks to the threshold.
+    """
+    length = min(8, threshold)
+
+    def first(batches):
+        for batch in slices(batches, "text"):
+            data, rows = buffers(batch.column(1))
+            whole = np.concatenate([data, np.zeros(8, np.uint8)])
+            ranks = np.ndarray(len(data), "<i8", whole, 0, (1,)) & ((1 << 8 * length) - 1 if length < 8 else -1)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(rows))
+            pos = np.arange(len(data)) - rows[row]
+            use = pos + length <= np.diff(rows)[row]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[use])), pa.array(pos[use]), pa.array(ranks[use])], ["did", "pos", "rank"])
+
+    ranked, groups = keyed.select("did", "text").mapInArrow(first, "did long, pos long, rank long"), None
+    while length < threshold:
+        offset = min(length, threshold - length)
+        second = ranked.select("did", (F.col("pos") - offset).alias("pos"), F.col("rank").alias("then"))
+        pairs = keep(ranked.join(second, ["did", "pos"]))
+        groups = pairs.groupBy("rank", "then").agg(F.count("*").alias("n"), F.min(F.struct("did", "pos")).alias("earliest")).filter("n > 1")
+        groups = keep(groups.orderBy("rank", "then").withColumn("place", F.monotonically_increasing_id()))
+        ranked = pairs.join(groups, ["rank", "then"]).select("did", "pos", F.col("place").alias("rank"), "earliest")
+        length += offset
+    if groups is None:
+        ranked = ranked.join(ranked.groupBy("rank").agg(F.min(F.struct("did", "pos")).alias("earliest")), "rank")
+    return ranked.filter(F.struct("did", "pos") != F.col("earliest")).select("did", "pos", F.lit(1).alias("windows"))
+
+
+def _with_repeats(docs: DataFrame, id_column: str, text_column: str, threshold: int, seed: int, every: bool) -> DataFrame:
+    """(own, empty, text, spans): `spans` (start, windows) of what repeats an earlier string; null where nothing does."""
+    keyed = _keyed(docs, id_column, text_column)
+    repeats = keep(doubled_repeats(keyed, threshold)) if every else thinned_repeats(keyed, threshold, seed)
+    found = bitmap(repeats, "did")
     spans = _by_document(repeats, "windows")
-    touched = _chosen(keyed, bits, True, [*out, "_did"]).join(spans, "_did", "left").select(*out, "_spans")
-    clean = _chosen(keyed, bits, False, [*out, "_did"]).select(*out, F.lit(None).cast(spans.schema["_spans"].dataType).alias("_spans"))
+    out = ["own", "empty", "text"]
+    touched = _chosen(keyed, found, True, [*out, "did"]).join(spans, "did", "left").select(*out, "spans")
+    clean = _chosen(keyed, found, False, [*out, "did"]).select(*out, F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
     return touched.union(clean)
 
 
 def _cut_out(batch: pa.RecordBatch, threshold: int):
-    """For each row of (..., bytes, spans): the text, and the runs of bytes to remove as start and end."""
+    """For each row of (..., text, spans): the text, and the runs of bytes to remove as start and end."""
     texts, spans = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1)
     for text, found in zip(texts, spans, strict=True):
         if not found.is_valid or not len(found.values):
@@ -199,7 +243,7 @@ def _kept(text: bytes, runs: np.ndarray) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def repeat_report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, threshold: int = THRESHOLD, seed: int = SEED) -> DataFrame:
+def repeat_report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, threshold: int = THRESHOLD, seed: int = SEED, every: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row for each row of `docs`.
 
     A byte goes when a string of `threshold` bytes covers it that also starts earlier in the
@@ -207,11 +251,11 @@ def repeat_report(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     Null texts are empty; texts shorter than the threshold lose nothing. A null id is the
     smallest. Rows that share an id, or have none, are documents of their own, in the order of
     a hash of their text; of equal ones the first keeps it. Other columns are ignored; no rows
-    give none.
+    give none. `every` doubles prefixes of every position (see `doubled_repeats`).
     """
 
     def run(batches):
-        for batch in slices(batches, "_bytes"):
+        for batch in slices(batches, "text"):
             out = [(len(text), runs, hashlib.sha256(_kept(text, runs)).hexdigest()) for text, runs in _cut_out(batch, threshold)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([int((x[1][:, 1] - x[1][:, 0]).sum()) for x in out], pa.int64()), pa.array([len(x[1]) for x in out], pa.int64()), pa.array([x[2] for x in out], pa.string())],
@@ -219,7 +263,8 @@ def repeat_report(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             )
 
     plain = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    return _with_repeats(plain, "doc_id", "text", threshold, seed, ["doc_id"]).mapInArrow(run, f"doc_id {docs.schema[id_column].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = _with_repeats(plain, "doc_id", "text", threshold, seed, every).select("own.doc_id", "text", "spans")
+    return found.mapInArrow(run, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _widened(text: bytes, runs: np.ndarray) -> np.ndarray:
@@ -233,27 +278,24 @@ def _widened(text: bytes, runs: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length_column: str | None = None, *, threshold: int = THRESHOLD, seed: int = SEED) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length_column: str | None = None, *, threshold: int = THRESHOLD, seed: int = SEED, every: bool = False) -> DataFrame:
     """docs with the repeated strings cut out of their texts, all columns kept.
 
     As `repeat_report`; characters that lose a byte go as a whole. Null texts stay null.
     `length_column`, if given, gets the new number of characters. Documents that had text
     and lose all of it go.
     """
-    others = [c for c in docs.columns if c != text_column]
 
     def run(batches):
-        for batch in slices(batches, "_bytes"):
+        for batch in slices(batches, "text"):
             texts = [_kept(text, _widened(text, runs)).decode("utf-8", "ignore") for text, runs in _cut_out(batch, threshold)]
-            columns = [batch.column(i) for i in range(len(others) + 1)]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column(len(others) + 1), pa.array(texts, pa.string())], [*others, "_null", "_bytes", text_column])
-
-    rows = docs.withColumn("_null", F.col(text_column).isNull())
-    found = _with_repeats(rows, id_column, text_column, threshold, seed, [*others, "_null"])
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    out = found.mapInArrow(run, f"{fields}{', ' * bool(others)}_null boolean, _bytes binary, `{text_column}` string")
-    out = out.filter((F.length(text_column) > 0) | (F.length("_bytes") == 0))
-    out = out.withColumn(text_column, F.when(~F.col("_null"), F.col(text_column)))
+            had = pa.array([len(text) for text in batch.column(2).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), had, pa.array(texts, pa.string())], ["own", "empty", "had", "left"])
+
+    found = _with_repeats(docs, id_column, text_column, threshold, seed, every).select("own", "empty", "text", "spans")
+    schema = T.StructType([found.schema["own"], found.schema["empty"]]).add("had", "long").add("left", "string")
+    out = found.mapInArrow(run, schema).filter((F.length("left") > 0) | (F.col("had") == 0))
+    values = {c: F.col(f"own.`{c}`") for c in docs.columns if c != text_column} | {text_column: F.when(~F.col("empty"), F.col("left"))}
     if length_column:
-        out = out.withColumn(length_column, F.length(text_column).cast(docs.schema[length_column].dataType))
-    return out.select(*docs.columns)
+        values[length_column] = F.length(values[text_column]).cast(docs.schema[length_column].dataType)
+    return out.select(*(values[c].alias(c) for c in docs.columns))

@@ -2,11 +2,13 @@
 
 A text falls into units that the tokenizer can't join: its matches never go past the place
 where a unit begins. Texts are mostly made of units seen before, so a worker encodes the
-distinct units of its batches and puts the ids of whole texts together by their names.
+distinct units of its batches and puts the ids of whole texts together. Units are told apart
+by their bytes.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import os
 import re
@@ -16,12 +18,14 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-from .words import STEP, Substrings, Words
+from .words import Words
 
 #: Units whose ids a worker remembers before it forgets them all: some 30 MB.
 REMEMBERED = 150_000
 #: New units that are encoded in one go.
 JOINED = 4096
+#: What the names of files of ranks end with.
+RANKS = ".tiktoken"
 #: What ends a word in a vocabulary that marks words' ends.
 WORD_END = "</w>"
 #: UTF-8 of the white space beyond ASCII (Unicode property White_Space), fixed values.
@@ -36,15 +40,42 @@ KINDS[39] = 0
 
 
 def load(path: str):
-    """The tokenizer of a file; special tokens' strings in a text are ordinary text."""
+    """The tokenizer of a file (JSON, or ranks of byte strings as tiktoken has them); special tokens' strings in a text are ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer = of_ranks(byte_table(path)) if path.endswith(RANKS) else Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     return tokenizer
 
 
+def of_ranks(table: list[bytes]):
+    """A byte-level tokenizer whose id is the rank: a byte string of more than one byte comes from the
+    two strings that the ranks below its own leave of it."""
+    import public_tokenizers
+    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+    character = {b: c for c, b in byte_characters().items()}
+    spelt = ["".join(character[b] for b in piece) for piece in table]
+    rank = {piece: i for i, piece in enumerate(table)}
+    merges = []
+    for i, piece in enumerate(table):
+        if len(piece) > 1:
+            a, b = _halves(piece, i, rank)
+            merges.append((spelt[rank[a]], spelt[rank[b]]))
+    tokenizer = Tokenizer(models.BPE({piece: i for i, piece in enumerate(spelt)}, merges))
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(public_tokenizers.PATTERN), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return tokenizer
+
+
+def _halves(piece: bytes, limit: int, rank: dict[bytes, int]) -> list[bytes]:
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while len(parts) > 2:
+        best = min(range(len(parts) - 1), key=lambda i: rank.get(parts[i] + parts[i + 1], limit))
+        parts[best : best + 2] = [parts[best] + parts[best + 1]]
+    return parts
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of all elements of runs that begin at `starts` and have `lengths`."""
     ends = np.cumsum(lengths)
@@ -73,6 +104,10 @@ def pieces_of(path: str) -> list[str]:
 @cache
 def byte_table(path: str) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary."""
+    if path.endswith(RANKS):
+        with open(path, "rb") as file:
+            ranks = {int(number): base64.b64decode(piece) for piece, number in map(bytes.split, file)}
+        return [ranks[i] for i in range(len(ranks))]
     table = byte_characters()
     return [bytes(table[c] for c in piece) if all(c in table for c in piece) else piece.encode() for piece in pieces_of(path)]
 
@@ -107,8 +142,9 @@ class UnitEncoder:
         ends = np.searchsorted(reached, wanted) + 1
         return ends if ends[-1] == len(ids) and (reached[ends - 1] == wanted).all() else None
 
-    def _encode_units(self, keys: list[int], texts: list[str]) -> None:
+    def _encode_units(self, keys: list[bytes]) -> None:
         single: list[int] = []
+        texts = [key.decode() for key in keys]
         joined = [i for i, text in enumerate(texts) if self._joinable(text)]
         if len(joined) < len(texts):
             chosen = set(joined)
@@ -171,12 +207,8 @@ class UnitEncoder:
         starts, ends = self._whole_rows(data, rows, *self._units(words))
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        names = _names(data, starts, ends)
-        _, first, inverse = np.unique(names, return_index=True, return_inverse=True)
-        keys = names[first].tolist()
-        new = [i for i, key in enumerate(keys) if key not in self.known]
-        whole = data.tobytes()
-        self._encode_units([keys[i] for i in new], [whole[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+        keys, inverse = _distinct(data, starts, ends)
+        self._encode_units([key for key in keys if key not in self.known])
         parts = [self.known[key] for key in keys]
         sizes = np.array([len(p) // 4 for p in parts], np.int64)
         flat = np.frombuffer(b"".join(parts), np.uint32)
@@ -193,16 +225,16 @@ def _places(text: bytes, what: bytes):
         at = text.find(what, at + 1)
 
 
-def _names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = STEP) -> np.ndarray:
-    """Names of spans in order, a piece of the data at a time."""
-    out = []
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + step, "right")))
-        low = starts[at]
-        out.append(Substrings(data[low : ends[to - 1]]).names(starts[at:to] - low, ends[at:to] - low))
-        at = to
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def _distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The different byte strings of spans in order (and of what lies between them), and the place of each span's."""
+    edges, step = np.stack([starts, ends], 1).reshape(-1), 2
+    if (ends[:-1] == starts[1:]).all():
+        edges, step = np.append(starts, ends[-1:]), 1
+    if not len(starts):
+        return [], np.zeros(0, np.int64)
+    spans = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)])
+    coded = spans.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy()[::step]
 
 
 @cache
