@@ -1,77 +1,5 @@
-"""The corpus pipeline: from raw documents to token ids, in stages that each work on what the one before kept."""
+"""The corpus pipeline's stages, where the driver looks for them; see `pathlens.llm.pipeline`."""
 
-from __future__ import annotations
+from pathlens.llm.pipeline import ORACLE_SQL, STAGES, byte_bpe, language, mixture, near_dedup, repeats, run
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from pathlens.llm.byte_bpe import round_trip
-from pathlens.llm.language import UNDETERMINED, fitted, identified
-from pathlens.llm.minhash import near_duplicates
-from pathlens.llm.mixing import mix, repeated
-from pathlens.llm.shared import distinct_ids, keep, text_batches
-from pathlens.llm.suffix import remove_repeats
-
-
-#: A document goes when its calibrated score is less than this part of the way from 1 / languages (the score without any evidence) to 1.
-LEAST_EVIDENCE = 1 / 30
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose language the classifier cannot tell: those without text or letters, and those with a nearly uniform score.
-
-    Where no document is labelled, nothing is learned and letterless texts alone go.
-    """
-    text_batches(spark)
-    model = fitted(docs, F.col("lang").isNotNull())
-    if model is None:
-        return docs.filter(F.col("text").rlike(r"\p{L}"))
-    uniform = 1 / len(model.labels)
-    told = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= uniform + LEAST_EVIDENCE * (1 - uniform))
-    return identified(docs, model).filter(told).select(*docs.columns)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest id; every row is a document, whether its id is repeated or null (the largest)."""
-    text_batches(spark)
-    rows = distinct_ids(docs, "doc_id", "text", "_row", nulls_first=False)
-    kept = near_duplicates(rows, "_row").filter("kept").select(F.col("doc_id").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
-
-
-def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 100 bytes that occur earlier are cut out; documents that consist of them go."""
-    text_batches(spark)
-    return remove_repeats(docs, "doc_id", "text", "n_chars")
-
-
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of the sources takes it."""
-    text_batches(spark)
-    return repeated(mix(docs, docs.columns), docs.columns)
-
-
-def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of each document's ids and of what they decode to."""
-    text_batches(spark)
-    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
-
-
-STAGES = [
-    ("language", language),
-    ("near_dedup", near_dedup),
-    ("repeats", repeats),
-    ("mixture", mixture),
-    ("byte_bpe", byte_bpe),
-]
-
-#: No stage but the mixture could be said in SQL, and that draws by hash.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "byte_bpe", "language", "mixture", "near_dedup", "repeats", "run"]
