@@ -200,7 +200,7 @@ def doubled_repeats(keyed: DataFrame, threshold: int) -> DataFrame:
     while length < threshold:
         offset = min(length, threshold - length)
         second = ranked.select("did", (F.col("pos") - offset).alias("pos"), F.col("rank").alias("then"))
-        pairs = keep(ranked.join(second, ["did", "pos"]))
+        pairs = keep(ranked.select("did", "pos", "rank").join(second, ["did", "pos"]))
         groups = pairs.groupBy("rank", "then").agg(F.count("*").alias("n"), F.min(F.struct("did", "pos")).alias("earliest")).filter("n > 1")
         groups = keep(groups.orderBy("rank", "then").withColumn("place", F.monotonically_increasing_id()))
         ranked = pairs.join(groups, ["rank", "then"]).select("did", "pos", F.col("place").alias("rank"), "earliest")
@@ -210,23 +210,34 @@ def doubled_repeats(keyed: DataFrame, threshold: int) -> DataFrame:
     return ranked.filter(F.struct("did", "pos") != F.col("earliest")).select("did", "pos", F.lit(1).alias("windows"))
 
 
-def _with_repeats(docs: DataFrame, id_column: str, text_column: str, threshold: int, seed: int, every: bool) -> DataFrame:
-    """(own, empty, text, spans): `spans` (start, windows) of what repeats an earlier string; null where nothing does."""
+def _with_repeats(docs: DataFrame, id_column: str, text_column: str, threshold: int, seed: int, every: bool, finish, columns: list[str], schema) -> DataFrame:
+    """What `finish` makes of record batches (columns, text, spans) of all rows: `spans` (start, windows) of what repeats an
+    earlier string, null where nothing does. Texts without repeats aren't shuffled and pass one Python worker only."""
     keyed = _keyed(docs, id_column, text_column)
     repeats = keep(doubled_repeats(keyed, threshold)) if every else thinned_repeats(keyed, threshold, seed)
-    found = bitmap(repeats, "did")
+    bits, mask = found = bitmap(repeats, "did")
     spans = _by_document(repeats, "windows")
-    out = ["own", "empty", "text"]
-    touched = _chosen(keyed, found, True, [*out, "did"]).join(spans, "did", "left").select(*out, "spans")
-    clean = _chosen(keyed, found, False, [*out, "did"]).select(*out, F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
-    return touched.union(clean)
+
+    def touched(batches):
+        for batch in slices(batches, "text"):
+            yield finish(batch)
+
+    def clean(batches):
+        kept = (batch.filter(pa.array(~in_bitmap(bits.value, batch.column(len(columns) + 1).to_numpy()))) for batch in batches)
+        for batch in slices(kept, "text"):
+            yield finish(pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.nulls(batch.num_rows)], [*columns, "text", "spans"]))
+
+    out = [F.col(c) for c in columns]
+    with_runs = _chosen(keyed, found, True, ["own", "empty", "text", "did"]).join(spans, "did", "left").select(*out, "text", "spans")
+    without = keyed.select(*out, "text", slot("did", mask).alias("slot"))
+    return with_runs.mapInArrow(touched, schema).union(without.mapInArrow(clean, schema))
 
 
 def _cut_out(batch: pa.RecordBatch, threshold: int):
     """For each row of (..., text, spans): the text, and the runs of bytes to remove as start and end."""
     texts, spans = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1)
     for text, found in zip(texts, spans, strict=True):
-        if not found.is_valid or not len(found.values):
+        if not found.is_valid or not len(found):
             yield text, np.zeros((0, 2), np.int64)
             continue
         start, windows = (found.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -254,17 +265,16 @@ def repeat_report(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     give none. `every` doubles prefixes of every position (see `doubled_repeats`).
     """
 
-    def run(batches):
-        for batch in slices(batches, "text"):
-            out = [(len(text), runs, hashlib.sha256(_kept(text, runs)).hexdigest()) for text, runs in _cut_out(batch, threshold)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([int((x[1][:, 1] - x[1][:, 0]).sum()) for x in out], pa.int64()), pa.array([len(x[1]) for x in out], pa.int64()), pa.array([x[2] for x in out], pa.string())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-            )
+    def finish(batch):
+        out = [(len(text), runs, hashlib.sha256(_kept(text, runs)).hexdigest()) for text, runs in _cut_out(batch, threshold)]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([int((x[1][:, 1] - x[1][:, 0]).sum()) for x in out], pa.int64()), pa.array([len(x[1]) for x in out], pa.int64()), pa.array([x[2] for x in out], pa.string())],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+        )
 
     plain = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    found = _with_repeats(plain, "doc_id", "text", threshold, seed, every).select("own.doc_id", "text", "spans")
-    return found.mapInArrow(run, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    schema = f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return _with_repeats(plain, "doc_id", "text", threshold, seed, every, finish, ["own.doc_id"], schema)
 
 
 def _widened(text: bytes, runs: np.ndarray) -> np.ndarray:
@@ -286,15 +296,14 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     and lose all of it go.
     """
 
-    def run(batches):
-        for batch in slices(batches, "text"):
-            texts = [_kept(text, _widened(text, runs)).decode("utf-8", "ignore") for text, runs in _cut_out(batch, threshold)]
-            had = pa.array([len(text) for text in batch.column(2).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), had, pa.array(texts, pa.string())], ["own", "empty", "had", "left"])
+    def finish(batch):
+        texts = [_kept(text, _widened(text, runs)).decode("utf-8", "ignore") for text, runs in _cut_out(batch, threshold)]
+        had = pa.array([len(text) for text in batch.column(2).to_pylist()], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), had, pa.array(texts, pa.string())], ["own", "empty", "had", "left"])
 
-    found = _with_repeats(docs, id_column, text_column, threshold, seed, every).select("own", "empty", "text", "spans")
-    schema = T.StructType([found.schema["own"], found.schema["empty"]]).add("had", "long").add("left", "string")
-    out = found.mapInArrow(run, schema).filter((F.length("left") > 0) | (F.col("had") == 0))
+    others = T.StructType([docs.schema[c] for c in docs.columns if c != text_column])
+    schema = T.StructType().add("own", others, False).add("empty", "boolean", False).add("had", "long").add("left", "string")
+    out = _with_repeats(docs, id_column, text_column, threshold, seed, every, finish, ["own", "empty"], schema).filter((F.length("left") > 0) | (F.col("had") == 0))
     values = {c: F.col(f"own.`{c}`") for c in docs.columns if c != text_column} | {text_column: F.when(~F.col("empty"), F.col("left"))}
     if length_column:
         values[length_column] = F.length(values[text_column]).cast(docs.schema[length_column].dataType)

@@ -51,7 +51,7 @@ def span_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     odd = U(0x9FB21C651E98DF25)
     out = mix(lengths.astype(U) * odd + U(1))
     whole = lengths >> 3
-    left = np.flatnonzero(whole & (whole < EIGHTS))
+    left = np.flatnonzero((whole > 0) & (whole < EIGHTS))
     k = 0
     while len(left):
         out[left] = mix((out[left] ^ eight[starts[left] + 8 * k]) * odd)

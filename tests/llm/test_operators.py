@@ -123,6 +123,7 @@ def test_suffix_equals_brute_force(docs, texts, nothing):
         expected[i] = (len(data), sum(gone), sum(1 for j in range(len(data)) if gone[j] and (j == 0 or not gone[j - 1])), hashlib.sha256(kept).hexdigest())
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.repeat_report(docs).collect()}
     assert got == expected
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.repeat_report(docs, every=True).collect()} == expected
     assert suffix.repeat_report(nothing).count() == 0
     left = {r.doc_id: r for r in suffix.remove_repeats(docs, length_column="n_chars").collect()}
     assert left[0].text == texts[0] and len(texts) - 1 not in left and left[18].text is None
@@ -183,7 +184,7 @@ def test_byte_bpe_round_trip(docs, texts):
     with open(tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     reference = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    path = tokenizers.path("byte_bpe_50k.json")
+    path = tokenizers.path("byte_bpe_50k.tiktoken")
     got = {r.doc_id: r for r in byte_bpe.round_trip(docs, path).collect()}
     for i, text in enumerate(texts):
         ids = reference.encode_ordinary(text or "")
@@ -198,13 +199,41 @@ def test_units_encode_like_whole_texts():
     rng = random.Random(5)
     alphabet = ["a", "B", "é", "  ", " ", "\n", " ", "　", "'s", "1", "23", "!", "word", "\t", "日", "😀", "́", "İ", "<|endoftext|>", "\r", "\x85", "="]
     rows = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
-    for name, leading in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+    for name, leading in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True), ("byte_bpe_50k.tiktoken", True)):
         path = tokenizers.path(name)
         ids, offsets = tokens.UnitEncoder(path, leading).encode(pa.array(rows))
         whole = tokens.load(path).encode_batch(rows, add_special_tokens=False)
         assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [e.ids for e in whole]
 
 
+def brute_force_pieces(counts):
+    """Log probabilities of pieces and of the end from the training words as the library segments them, one added to each count."""
+    import sentencepiece
+
+    processor = sentencepiece.SentencePieceProcessor(model_file=tokenizers.path("piece_bpe_32k.model"))
+    seen = Counter()
+    for word, n in counts.items():
+        if word is not None:
+            for i in processor.encode(word.decode("utf-8", "replace")):
+                seen[i] += n
+    usable = [i for i in range(len(processor)) if not (processor.is_control(i) or processor.is_unknown(i) or processor.is_unused(i))]
+    total = sum(seen[i] + 1 for i in usable) + counts[None] + 1
+    return {processor.id_to_piece(i): np.log((seen[i] + 1) / total) for i in usable}, np.log((counts[None] + 1) / total)
+
+
+def brute_force_lattice(word, scores):
+    """The sum over all segmentations, from the end backwards; characters without a piece go by their bytes."""
+    text = lattice.MARK + word
+    ways = [0.0] * len(text) + [1.0]
+    for i in reversed(range(len(text))):
+        if text[i] not in scores:
+            ways[i] += np.exp(sum(scores[f"<0x{b:02X}>"] for b in text[i].encode())) * ways[i + 1]
+        for j in range(i + 1, min(len(text), i + 32) + 1):
+            if text[i:j] in scores:
+                ways[i] += np.exp(scores[text[i:j]]) * ways[j]
+    return np.log(ways[0]) if ways[0] > 1e-300 else lattice.Lattice({p: s for p, s in scores.items() if not p.startswith("<0x")}, [scores[f"<0x{b:02X}>"] for b in range(256)]).log_probability(word)
+
+
 def test_lattice_sums_over_all_segmentations(docs, texts):
     tiny = lattice.Lattice({"▁": -1.0, "a": -2.0, "b": -3.0, "▁a": -1.5, "ab": -2.5, "▁ab": -4.0}, [-9.0] * 256)
     expected = np.logaddexp.reduce([-1 - 2 - 3, -1.5 - 3, -1 - 2.5, -4.0])
@@ -216,11 +245,14 @@ def test_lattice_sums_over_all_segmentations(docs, texts):
         if i % 3:
             counts.update([*words_of(text), None])
     total = sum(counts.values())
+    scores, end_score = brute_force_pieces(counts)
+    lattice_word = lambda w: brute_force_lattice(w.decode("utf-8", "replace"), scores) / np.log(10)
+    end_score /= np.log(10)
     for row in lattice.lattice_scores(docs, tokenizers.path("piece_bpe_32k.model"), train).collect():
         own = [*words_of(texts[row.doc_id]), None]
         assert (row.n_tokens, row.n_known, row.train_tokens, row.held_out) == (len(own), sum(counts[w] > 0 for w in own), total, row.doc_id % 3 == 0)
         assert row.base_score == pytest.approx(sum(np.log10((counts[w] + 1) / (total + len(counts) + 1)) for w in own))
-        assert row.score < 0
+        assert row.score == pytest.approx(sum(lattice_word(w) for w in own[:-1]) + end_score, rel=1e-9)
 
 
 def test_sampling_estimates_generalised_jaccard(docs, texts, nothing):
@@ -379,3 +411,101 @@ def test_pipeline(spark, tmp_path):
     assert out.count() == kept.count()
     digests = {hashlib.sha256(r.text.encode()).hexdigest() for r in kept.select("text").collect()}
     assert {r.decoded_sha256 for r in out.collect()} == digests
+
+
+def thue_morse():
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_regular_strings_have_names_of_their_own(spark):
+    one, other = thue_morse()
+    rows = [(1, one), (2, other), (3, other + one), (4, one + other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(set(words.Words(pa.array([t for _, t in rows])).names.tolist())) == 4
+    data = np.frombuffer((one * 40 + other * 40).encode(), np.uint8)
+    starts = np.arange(0, len(data) - 300, 7)
+    for length in (1, 7, 8, 9, 100, 255, 256, 300):
+        strings = [data[i : i + length].tobytes() for i in starts]
+        assert len(set(words.span_names(data, starts, starts + length).tolist())) == len(set(strings))
+    assert {r.component_id for r in minhash.near_duplicates(df).collect()} == {1, 2, 3, 4}
+    path = tokenizers.path("byte_bpe_50k.tiktoken")
+    assert {(r.doc_id, r.decoded_sha256) for r in byte_bpe.round_trip(df, path).collect()} == {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in rows}
+    own = tokens.load(tokenizers.path("word_bpe_49k.json"))
+    expected = {i: zlib.crc32(np.array([*own.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in rows}
+    assert {r.doc_id: r.ids_crc32 for r in stream_files.token_report(df, tokenizers.path("word_bpe_49k.json")).collect()} == expected
+    assert len({r.fingerprint for r in fingerprint.fingerprints(df).collect()}) == 4
+    assert {r.n_known for r in lattice.lattice_scores(df, tokenizers.path("piece_bpe_32k.model"), F.col("doc_id") == 1).collect() if r.doc_id > 1} == {1}
+
+
+def test_license_chains_are_no_longer_than_their_template(spark):
+    template = next(text for label, text in licenses.TEMPLATES if label == "gpl")
+    half = template.split()
+    far = " ".join(half[: len(half) // 2]) + " word" * 20_000 + " " + " ".join(half[len(half) // 2 :])
+    twice = f"x {template} y z {template}"
+    rows = [(1, far), (2, twice), (3, template.upper()), (4, "cc by nc cc by nc"), (5, "cc by\n-nc"), (6, "cc by xx nc")]
+    got = {r.doc_id: r for r in licenses.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].labels, got[1].score, got[1].spans) == ("", 0.0, [])
+    n = len(licenses.tokens(template))
+    assert sorted((s.first, s.last) for s in got[2].spans if s.label == "gpl") == [(1, n), (n + 3, 2 * n + 2)]
+    assert got[3].score == 1.0 and (got[4].n_base, got[4].first_word, got[4].last_word) == (2, 0, 3)
+    assert (got[5].n_base, got[6].n_base) == (1, 0)
+
+
+def test_phrases_equal_brute_force(spark):
+    rng = random.Random(8)
+    pool = " ".join([*licenses.PHRASES, "x", "the license of version"]).split()
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 120)))) for i in range(300)]
+    for r in licenses.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        own = rows[r.doc_id][1].split()
+        found = sorted((i, label) for phrase, label in licenses.PHRASES.items() for i in range(len(own)) if own[i : i + len(phrase.split())] == phrase.split())
+        assert r.n_base == len(found) and r.first_word == (found[0][0] if found else None) and r.last_word == (found[-1][0] if found else None)
+        assert r.base_labels == ",".join(sorted({label for _, label in found})) and set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
+
+
+def test_budgets_are_fitted_alike_at_every_size():
+    rng = np.random.default_rng(3)
+    sizes = np.unique([1, *rng.integers(1, 900, 200)])
+    counts = rng.integers(1, 400, len(sizes))
+    total = int((sizes * counts).sum())
+    for budget in (0, 1, 5000, 8191, 8192, 8193, 9000, 50_000, total // 2, total - 1, total, total + 5):
+        take = mixing.fit(sizes, counts, float(budget))
+        assert (take >= 0).all() and (take <= counts).all() and int((take * sizes).sum()) == min(budget, total)
+    share = mixing.fit(sizes, counts, total / 2) / counts
+    assert abs(float((share * counts).sum() / counts.sum()) - 0.5) < 0.05
+
+
+def test_columns_whose_names_clash_stay(spark, docs, texts):
+    import corpus_pipeline
+
+    extra = ["score", "Lang_Pred", "lang_score", "size", "source_size", "target", "taken", "copies", "row", "did", "spans", "own", "empty", "slot", "id", "component_id", "kept", "place", "draw", "bucket"]
+    wide = docs.drop("size", "component", "value").select("*", *(F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")).alias(c) for c in extra))
+    assert mixing.mix(wide, wide.columns).columns[-5:] == list(mixing.MEASURES)
+    kept = wide
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = shared.keep(stage(spark, kept, ""))
+        assert kept.columns == wide.columns, name
+        assert all(r[c] == f"{c}-{r.doc_id}" for r in kept.collect() for c in extra), name
+
+
+def test_pipeline_of_nothing(spark, nothing):
+    import corpus_pipeline
+
+    kept = nothing
+    for _, stage in corpus_pipeline.STAGES:
+        kept = shared.keep(stage(spark, kept, ""))
+        assert kept.count() == 0
+
+
+def test_texts_larger_than_a_step(spark):
+    rng = random.Random(9)
+    long = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(60_000))
+    assert len(long) > words.STEP
+    rows = [(1, long), (2, long[5000:5150]), (3, long[-150:] + long[1000:1100]), (4, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in suffix.repeat_report(df).collect()} == {1: 0, 2: 150, 3: 250, 4: 0}
+    assert {r.doc_id: r.decoded_sha256 for r in byte_bpe.round_trip(df, tokenizers.path("byte_bpe_50k.tiktoken")).collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in rows}
+    assert {r.doc_id: r.n_shingles for r in minhash.near_duplicates(df).collect()}[1] == len({tuple(w) for w in zip(*(long.split()[i:] for i in range(5)))})
+    assert all(r.n_chars == len(dict(rows)[r.doc_id]) for r in fingerprint.edit_report(df).collect())
