@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Coefficients of a Chebyshev fit to the complementary error function, relative error below 1.2e-7.
-ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+#: Terms of the series and of the continued fraction of erfc, and where the one gives way to the other.
+TERMS, BEYOND = 60, 2.4
 
 
 def col(c: str | Column) -> Column:
@@ -65,11 +66,22 @@ def clean_number(x: str | Column) -> Column:
     return F.when(is_finite(value), value)
 
 
+def _erf_series(z: Column) -> Column:
+    """erf for 0 <= z < BEYOND: exp(-z^2) times the sum of z^(2n+1) 2^n / (1 3 5 ... (2n+1))."""
+    square = 2 * z * z
+    inner = reduce(lambda rest, n: 1 + square / float(2 * n + 1) * rest, range(TERMS, 0, -1), F.lit(1.0))
+    return F.lit(2 / math.sqrt(math.pi)) * F.exp(-z * z) * z * inner
+
+
+def _erfc_fraction(z: Column) -> Column:
+    """erfc times exp(z^2) for z >= BEYOND, by its continued fraction."""
+    return 1 / (F.lit(math.sqrt(math.pi)) * reduce(lambda rest, n: z + (n / 2) / rest, range(TERMS, 0, -1), z))
+
+
 def erfc(x: Column) -> Column:
+    """The complementary error function, to about 1e-14."""
     z = F.abs(x)
-    t = 1 / (1 + z / 2)
-    inner = reduce(lambda acc, c: acc * t + c, reversed(ERFC), F.lit(0.0))
-    value = t * F.exp(-z * z + inner)
+    value = F.when(z < BEYOND, 1 - _erf_series(z)).otherwise(F.exp(-z * z) * _erfc_fraction(F.greatest(z, F.lit(BEYOND))))
     return F.when(x >= 0, value).otherwise(2 - value)
 
 
@@ -77,13 +89,19 @@ def normal_survival(z: Column) -> Column:
     return F.lit(0.5) * erfc(z / F.lit(2.0**0.5))
 
 
+def log_normal_survival(z: Column) -> Column:
+    """ln P(Z > z), without underflow far out."""
+    x = z / F.lit(2.0**0.5)
+    return F.when(x < BEYOND, F.log(normal_survival(z))).otherwise(F.log(_erfc_fraction(F.greatest(x, F.lit(BEYOND)))) - x * x - math.log(2))
+
+
 def log_survival(family: str | Column, t: Column, p1: Column, p2: Column) -> Column:
     """ln P(T > t). weibull: shape p1, scale p2; exponential: scale p2; loglogistic: shape p1, scale p2; lognormal: mu p1, sigma p2."""
     by = {
         "weibull": -F.pow(t / p2, p1),
         "exponential": -(t / p2),
         "loglogistic": -F.log1p(F.pow(t / p2, p1)),
-        "lognormal": F.log(F.greatest(normal_survival((F.log(t) - p1) / p2), F.lit(1e-300))),
+        "lognormal": log_normal_survival((F.log(t) - p1) / p2),
     }
     positive = by[family] if isinstance(family, str) else reduce(lambda c, k: F.when(family == k, by[k]).otherwise(c), by, F.lit(None).cast("double"))
     return F.when(t <= 0, F.lit(0.0)).otherwise(positive)

@@ -98,6 +98,7 @@ def bootstrap(pairs: DataFrame, reference: str, candidate: str, replicates: int
 
 def with_reading(rows: DataFrame, least: int = 2) -> DataFrame:
     """What an interval says."""
+    # The names that results bear.
     reading = F.when((F.col("entities") < least) | F.col("low").isNull(), "insuficiente").when(F.col("low") > 0, "ganho").when(F.col("high") < 0, "perda").otherwise("inclui_zero")
     return rows.withColumn("reading", reading)
 
@@ -201,6 +202,7 @@ def deterioration(pairs: DataFrame, delta: str, worst: tuple[int, ...] = (1, 5,
 
 def triage(rows: DataFrame, thin: int = 30) -> DataFrame:
     """The likeliest cause of an error: no model, beyond the data, thin tail, parameter at a bound, none of these."""
+    # The names that results bear.
     cause = F.when(F.col("at_risk").isNull(), "sem_suporte").when(F.col("extrapolated"), "extrapolado").when(F.col("at_risk") < thin, "cauda_rala").when(F.col("at_bound"), "no_limite").otherwise("nenhum")
     return rows.withColumn("cause", cause)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import micros, seconds_between, state_part
 
+# The names that results bear.
 NO_MEMORY, BASE = "__SEM_MEMORIA__", "__BASE__"
 EXACT, INTERVAL, RIGHT, BARRIER = "exata", "intervalo", "direita", "origem_ambigua"
 SILENCE = "sem_acao"

@@ -8,12 +8,12 @@ parameters, whose number is that of origins and groups.
 from __future__ import annotations
 
 import math
-import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import log_density, log_interval, log_survival, normal_survival, safe_ratio
+from ..sources.tables import shared_folder
 from .journey import EXACT, INTERVAL, RIGHT
 
 DAY = 86400.0
@@ -21,11 +21,8 @@ SIGMA = (0.15, 4.5)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, cut from its lineage in the shared folder of spark.checkpoint.dir; a temporary folder only where none is set."""
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """df, cut from its lineage in the folder that the cluster shares."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -77,15 +74,15 @@ def _moments(prefix: str = "") -> list[Column]:
     return [F.sum("w").alias(f"{prefix}n"), F.sum(F.col("w") * x).alias(f"{prefix}s1"), F.sum(F.col("w") * x * x).alias(f"{prefix}s2")]
 
 
-def fit_competing_lognormal(steps: DataFrame, groups: DataFrame, keys: list[str], *, weight: str | None = None, iterations: int = 30, alpha: float = 0.25, shrink: float = 2.0, every: int = 5) -> DataFrame:
+def fit_competing_lognormal(steps: DataFrame, groups: DataFrame, keys: list[str], *, weight: str | None = None, iterations: int = 30, alpha: float = 0.25, shrink: float = 2.0, every: int = 5, tolerance: float = 1e-6) -> DataFrame:
     """Pi, mu and sigma (of ln days) of each duration group, by expectation and maximisation with right censoring.
 
     Exact steps enter as sums by group. Censored ones have no destination: aggregated to
     distinct durations, each is shared out over its origin's groups by pi times survival, with
     the moments of a normal cut off below. mu is drawn to the origin's mean by `shrink`
-    pseudo-observations, pi smoothed by `alpha`. Fixed number of iterations; parameters, a row
-    an origin and group, are cut from their lineage every few. Also the log-likelihood that
-    the last iteration started from, and whether sigma lies at a bound.
+    pseudo-observations, pi smoothed by `alpha`. Iterations end when mu, sigma and pi move by less
+    than `tolerance` between two cuts of their lineage, a row an origin and group each, or after
+    `iterations`. Also whether sigma lies at a bound.
     """
     rows = steps.filter(F.col("eligible") & (F.col("dur_min") > 0)).withColumn("w", F.col(weight).cast("double") if weight else F.lit(1.0)).filter("w > 0")
     exact = rows.filter(F.col("censoring") == EXACT).join(groups.select(*keys, "dest", "grp"), [*keys, "dest"])
@@ -106,6 +103,7 @@ def fit_competing_lognormal(steps: DataFrame, groups: DataFrame, keys: list[str]
         return df.withColumn("sigma", clamp(second))
 
     params = maximise(stats.withColumn("c_n", F.lit(0.0)).withColumn("c_s1", F.lit(0.0)).withColumn("c_s2", F.lit(0.0)))
+    params_cut = None
     for i in range(iterations):
         z = (F.col("c") - F.col("mu")) / F.col("sigma")
         tail = F.greatest(normal_survival(F.col("z")), F.lit(1e-300))
@@ -118,7 +116,13 @@ def fit_competing_lognormal(steps: DataFrame, groups: DataFrame, keys: list[str]
         hidden = joined.groupBy(*keys, "grp").agg(F.sum("rho").alias("c_n"), F.sum(F.col("rho") * first).alias("c_s1"), F.sum(F.col("rho") * second).alias("c_s2"))
         params = maximise(stats.join(hidden, [*keys, "grp"], "left").fillna(0.0, ["c_n", "c_s1", "c_s2"]))
         if (i + 1) % every == 0:
-            params = checkpointed(params)
+            before, params = params_cut, checkpointed(params)
+            params_cut = params
+            if before is not None:
+                old = before.select(*keys, "grp", F.col("pi").alias("pi_"), F.col("mu").alias("mu_"), F.col("sigma").alias("sigma_"))
+                moved = F.max(F.greatest(*(F.abs(F.col(c) - F.col(f"{c}_")) for c in ("pi", "mu", "sigma"))))
+                if (params.join(old, [*keys, "grp"]).agg(moved).first()[0] or 0.0) < tolerance:
+                    break
     at_bound = (F.col("sigma") <= low + 1e-9) | (F.col("sigma") >= high - 1e-9)
     return params.select(*keys, "grp", F.lit("lognormal").alias("family"), F.lit(0.0).alias("shift"), F.lit(0.0).alias("atom"), "pi", "mu", "sigma", F.col("e_n").alias("exact_weight"), F.col("c_n").alias("censored_weight"), at_bound.alias("at_bound"))
 
@@ -277,6 +281,7 @@ def fit_status(steps: DataFrame, min_n: int = 80, min_entities: int = 20) -> Dat
     """Of each origin whether its support suffices for a model."""
     rows = steps.filter("eligible").groupBy("state").agg(F.count_if(F.col("censoring") == EXACT).alias("n"), F.countDistinct(F.when(F.col("censoring") == EXACT, F.col("entity"))).alias("entities"))
     enough = (F.col("n") >= min_n) & (F.col("entities") >= min_entities)
+    # The names that results bear.
     return rows.withColumn("fit_status", F.when(F.col("n") == 0, "sem_destino_exato").when(enough, "ajustado").otherwise("suporte_insuficiente"))
 
 

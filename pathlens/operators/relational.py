@@ -24,18 +24,23 @@ def as_of(anchors: DataFrame, history: DataFrame, entity: str, anchor_ts: str, a
     """Of each anchor the latest earlier record of its entity, or nulls.
 
     A record counts if it became known strictly before the anchor, is another record, and
-    entered strictly before, or at the same time with a smaller id. The latest by known time,
-    entry time and id wins. Instead of joining all pairs of an entity, both tables are laid on
-    one time line and the running maximum is read off, so that an entity of n rows costs n.
-    The order of entry is part of the condition only where it isn't implied: a record known
-    before the anchor's time entered before it.
+    entered strictly before, or at the anchor's time with a smaller id. The latest by known
+    time, entry time and id wins. Instead of joining all pairs of an entity, both tables are
+    laid on one time line, records at the later of their two times, and the two largest so
+    far are read off, the second where the first is the anchor itself; so that an entity of n
+    rows costs n.
     """
     record = F.struct(F.col(known_ts).alias("known"), F.col(entry_ts).alias("entry"), F.col(record_id).alias("rid"), *(F.col(c).alias(f"h_{c}") for c in columns))
-    past = history.filter(F.col(known_ts).isNotNull() & (F.col(entry_ts) <= F.col(known_ts))).select(F.col(entity).alias("_e"), F.col(known_ts).alias("_t"), F.lit(1).alias("_side"), record.alias("_record"), F.lit(None).cast(anchors.schema[anchor_id].dataType).alias("_id"))
-    asked = anchors.select(F.col(entity).alias("_e"), F.col(anchor_ts).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(past.schema["_record"].dataType).alias("_record"), F.col(anchor_id).alias("_id"))
-    # at equal times anchors stand first: records known at that very time are not earlier
-    line = Window.partitionBy("_e").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = asked.unionByName(past).withColumn("_latest", F.max("_record").over(line)).filter("_side = 0")
+    past = history.filter(F.col(known_ts).isNotNull() & F.col(entry_ts).isNotNull())
+    # at equal times records that were known before stand among the anchors in the order of ids, those known at that very time after all of them
+    past = past.select(F.col(entity).alias("_e"), F.greatest(known_ts, entry_ts).alias("_t"), (F.col(known_ts) >= F.col(entry_ts)).alias("_after"), F.col(record_id).cast(anchors.schema[anchor_id].dataType).alias("_id"), F.lit(1).alias("_side"), record.alias("_record"))
+    asked = anchors.select(F.col(entity).alias("_e"), F.col(anchor_ts).alias("_t"), F.lit(False).alias("_after"), F.col(anchor_id).alias("_id"), F.lit(0).alias("_side"), F.lit(None).cast(past.schema["_record"].dataType).alias("_record"))
+    order = Window.partitionBy("_e").orderBy("_t", "_after", "_id", "_side")
+    line = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = asked.unionByName(past).withColumn("_first", F.max("_record").over(line)).withColumn("_above", F.max("_record").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    lower = F.when(F.col("_record").isNotNull() & F.col("_above").isNotNull(), F.when(F.col("_record") < F.col("_above"), F.col("_record")).otherwise(F.col("_above")))
+    found = rows.withColumn("_second", F.max(lower).over(line)).filter("_side = 0")
+    found = found.withColumn("_latest", F.when(F.col("_first.rid") == F.col("_id"), F.col("_second")).otherwise(F.col("_first")))
     names = [F.col(f"_latest.h_{c}").alias(f"previous_{c}") for c in columns]
     return found.select(F.col("_id").alias(anchor_id), F.col("_latest.rid").alias("previous_id"), F.col("_latest.known").alias("previous_known"), *names, F.col("_latest").isNull().alias("no_history"))
 
@@ -107,10 +112,10 @@ def to_map(df: DataFrame, keys: list[str], key: str, value: str, name: str) -> D
 
 
 def pareto(df: DataFrame, value: str, quantiles: list[float]) -> DataFrame:
-    """Share of the total of the rows above each exact quantile."""
+    """Share of the total of the rows at or above each exact quantile."""
     cuts = df.agg(F.expr(f"percentile({value}, array({', '.join(map(str, quantiles))}))").alias("c"), F.sum(value).alias("total"))
     cuts = cuts.select(F.posexplode("c").alias("_i", "threshold"), "total").withColumn("quantile", F.element_at(F.array(*(F.lit(q) for q in quantiles)), F.col("_i") + 1))
-    rows = df.join(F.broadcast(cuts), F.col(value) > F.col("threshold"), "right")  # as many rows as quantiles
+    rows = df.join(F.broadcast(cuts), F.col(value) >= F.col("threshold"), "right")  # as many rows as quantiles
     return rows.groupBy("quantile", "threshold", "total").agg(F.count(value).alias("rows"), F.coalesce(F.sum(value), F.lit(0)).alias("volume")).withColumn("share", safe_ratio(F.col("volume"), F.col("total")))
 
 

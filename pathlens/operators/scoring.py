@@ -64,6 +64,7 @@ def routed(cases: DataFrame, supported: DataFrame, origins: DataFrame, fitted_co
     """
     rows = cases.join(supported.select("state", "context", "support_status"), ["state", "context"], "left")
     rows = rows.join(origins.select("state", F.lit(True).alias("_origin")), "state", "left").join(fitted_contexts.select("state", "context", F.lit(True).alias("_fitted")), ["state", "context"], "left")
+    # The names that results bear.
     route = (
         F.when(F.col("_fitted") & F.col("_origin"), "contexto")
         .when(F.col("_origin").isNull(), "sem_modelo_origem")

@@ -330,7 +330,7 @@ def mean_by_segment(spark, d):
 
 @query(sql(RAW + """,
 en as (select entity, count(*) as n from raw group by entity),
-cu as (select unnest([0.5, 0.9, 0.95])::double as quantile, unnest((select quantile_cont(n, [0.5, 0.9, 0.95]) from en)) as threshold)""", "select quantile, threshold, count(n) as rows, coalesce(sum(n), 0)::bigint as volume, round(coalesce(sum(n), 0) / (select sum(n) from en), 9) as share from cu left join en on n > threshold group by quantile, threshold"))
+cu as (select unnest([0.5, 0.9, 0.95])::double as quantile, unnest((select quantile_cont(n, [0.5, 0.9, 0.95]) from en)) as threshold)""", "select quantile, threshold, count(n) as rows, coalesce(sum(n), 0)::bigint as volume, round(coalesce(sum(n), 0) / (select sum(n) from en), 9) as share from cu left join en on n >= threshold group by quantile, threshold"))
 def pareto_entities(spark, d):
     rows = S.raw_events(spark, d).groupBy("entity").agg(F.count("*").alias("n"))
     return R.pareto(rows, "n", [0.5, 0.9, 0.95]).select("quantile", "threshold", "rows", "volume", F.round("share", 9).alias("share"))

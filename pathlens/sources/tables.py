@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +14,21 @@ WRITING, COMPLETED, FAILED = "EM_GRAVACAO", "CONCLUIDA", "FALHOU"
 MANIFEST = "run_id string, mode string, model string, status string, cut timestamp, ended_at timestamp, config string, metrics string, rows long"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares: spark.checkpoint.dir; a temporary one only on a local master."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None)
+    have = context._jsc.sc().getCheckpointDir()
+    if named is None and have.isDefined():
+        return have.get()
+    if named is None and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    named = named or tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if not have.isDefined():
+        context.setCheckpointDir(named)
+    return named
+
+
 def require_columns(df: DataFrame, names: Iterable[str], source: str = "input") -> DataFrame:
     """Df, if it has the columns."""
     missing = sorted(set(names) - set(df.columns))

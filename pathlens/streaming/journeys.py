@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-CURRENT = "entity string, ts timestamp, state string, memory string, ambiguous boolean, events long"
-STATE = "ts timestamp, state string, memory string, ambiguous boolean, depth double, events long"
+CURRENT = "entity string, ts timestamp, state string, memory string, ambiguous boolean, events long, late long"
+STATE = "ts timestamp, state string, memory string, ambiguous boolean, depth double, events long, late long"
 
 
 def with_cut(events: DataFrame, lag: str = "72 hours") -> DataFrame:
@@ -32,15 +32,16 @@ def current_states(events: DataFrame, technical: list[str], service: str = "aten
     """Each entity's last state with its memory, updated with every batch.
 
     Of several states at one time the deepest counts, a tie is ambiguous and a barrier: memory
-    starts anew after it. Events older than the state's time are late and don't change it.
+    starts anew after it. Events older than the state's time are late: they are counted and don't change it.
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ts, last, memory, ambiguous, depth, events_seen = state.get if state.exists else (None, None, None, False, -1.0, 0)
+        ts, last, memory, ambiguous, depth, events_seen, late = state.get if state.exists else (None, None, None, False, -1.0, 0, 0)
         rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
         rows["depth"] = rows["depth"].fillna(-1.0)
         for at, group in rows.groupby("ts", sort=True):
             if ts is not None and at < ts:
+                late += len(group)
                 continue
             events_seen += len(group)
             top = group["depth"].max()
@@ -57,8 +58,8 @@ def current_states(events: DataFrame, technical: list[str], service: str = "aten
             family = None if last is None else last.split(":::")[0]
             if family is not None and family != service and family not in technical:
                 memory = family
-        state.update((ts, last, memory, ambiguous, depth, events_seen))
-        yield pd.DataFrame({"entity": [key[0]], "ts": [ts], "state": [last], "memory": [memory], "ambiguous": [ambiguous], "events": [events_seen]})
+        state.update((ts, last, memory, ambiguous, depth, events_seen, late))
+        yield pd.DataFrame({"entity": [key[0]], "ts": [ts], "state": [last], "memory": [memory], "ambiguous": [ambiguous], "events": [events_seen], "late": [late]})
 
     return with_cut(events, lag).groupBy("entity").applyInPandasWithState(update, CURRENT, STATE, "update", GroupStateTimeout.NoTimeout)
 

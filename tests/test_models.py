@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from pathlens.functions.columns import log_survival, normal_survival
+from pathlens.functions.columns import log_normal_survival, log_survival, normal_survival
 from pathlens.operators import evaluation as M
 from pathlens.operators import models as K
 from pathlens.operators import propensity as P
@@ -18,9 +18,25 @@ EDGES = "src string, dst string, p double"
 
 
 def test_normal_survival(spark):
-    for z in (-3.0, -0.5, 0.0, 1.0, 4.0):
-        got = spark.range(1).select(normal_survival(F.lit(z))).first()[0]
-        assert got == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)), rel=1e-6)
+    values = [-6.0, -3.0, -0.5, 0.0, 0.3, 1.0, 2.0, 3.3, 3.4, 4.0, 8.0, 30.0]
+    rows = spark.createDataFrame([(z,) for z in values], "z double").select("z", normal_survival(F.col("z")).alias("s"), log_normal_survival(F.col("z")).alias("l")).collect()
+    for r in rows:
+        exact = 0.5 * math.erfc(r.z / math.sqrt(2))
+        assert r.s == pytest.approx(exact, rel=1e-12) and r.l == pytest.approx(math.log(exact), rel=1e-12, abs=1e-14)
+    far = spark.range(1).select(log_normal_survival(F.lit(60.0))).first()[0]
+    assert far == pytest.approx(-1800 - math.log(60 * math.sqrt(2 * math.pi)), abs=1e-3)
+
+
+def test_as_of_looks_at_both_times(spark):
+    rows = [(1, 1, 5, 1), (2, 1, 4, 8), (3, 1, 6, 10), (4, 1, 9, 10), (5, 1, 10, 2), (6, 1, 3, None), (9, 1, 9, 3), (7, 2, 1, 1)]
+    history = spark.createDataFrame(rows, "rid long, e long, known long, entry long")
+    anchors = spark.createDataFrame([(4, 1, 10), (9, 1, 10), (1, 1, 5), (8, 3, 5)], "id long, e long, at long")
+    got = {r.id: r.previous_id for r in R.as_of(anchors, history, "e", "at", "id", "known", "entry", "rid", []).collect()}
+    expected = {}
+    for i, e, at in ((4, 1, 10), (9, 1, 10), (1, 1, 5), (8, 3, 5)):
+        ok = [(k, n, r) for r, x, k, n in rows if x == e and r != i and n is not None and k < at and (n < at or n == at and r < i)]
+        expected[i] = max(ok)[2] if ok else None
+    assert got == expected and expected[9] == 4
 
 
 def test_time_reweights_destinations(spark):

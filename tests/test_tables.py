@@ -86,7 +86,7 @@ def test_oracle(spark, name):
 
 
 def rows_of(df: pd.DataFrame):
-    show = lambda v: "-" if v is None or v != v else str(v) if isinstance(v, (bool, str)) else f"{float(v):.6f}"
+    show = lambda v: "-" if pd.isna(v) else str(v) if isinstance(v, (bool, str)) else f"{float(v):.6f}"
     return sorted(tuple(show(v) for v in row) for row in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 
