@@ -124,7 +124,8 @@ def similar_vectors(df: DataFrame, id_column: str = "vec_id", vector_column: str
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("string").alias("label"), vector.alias("v"))
     usable = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.coalesce(bad, F.lit(True))
     good = rows.filter(usable).filter((length > 0) & (length < float("inf")))
-    good = good.withColumn("unit", F.transform("v", lambda x: x / length)).select("id", F.concat_ws(":", F.size("v"), "label").alias("label"), "unit").withColumn("key", F.md5(F.to_json("unit")))
+    good = good.withColumn("unit", F.transform("v", lambda x: x / length)).select("id", F.concat_ws(":", F.size("v"), "label").alias("label"), "unit")
+    good = keep(good.withColumn("key", F.concat(*(F.hex(F.xxhash64(F.lit(half), "unit")) for half in (1, 2)))))  # 128 bits
     classes = keep(good.groupBy("label", "key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit")))
 
     per_label = classes.groupBy("label").count().filter(F.col("count") > NODE)
