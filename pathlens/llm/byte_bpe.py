@@ -50,6 +50,7 @@ def encoded(docs: DataFrame, path: str, id_column: str = "doc_id", text_column:
                 parts = [decoder.decode(ids[a:b]) for a, b in zip(rows[:-1], rows[1:], strict=True)]
                 arrays.append(pa.array([character_offsets(*p) for p in parts], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids", "offsets"][: len(arrays)])
+        encoder(path, True).forget()
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
@@ -90,6 +91,7 @@ def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_colum
                 ],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        encoder(path, True).forget()
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))

@@ -117,6 +117,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_column: str =
             index.write_batch(pa.RecordBatch.from_arrays([batch.column(0), pa.array(writer.count + np.append(0, ends[:-1])), pa.array(np.diff(ends, prepend=0))], schema=index_schema(batch)))
             writer.write(out)
             documents += batch.num_rows
+        own.forget()
         if writer is not None:
             writer.close()
             index.close()

@@ -18,7 +18,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-from .words import Words
+from .words import Words, give_back
 
 #: Units whose ids a worker remembers before it forgets them all: some 30 MB.
 REMEMBERED = 150_000
@@ -127,6 +127,11 @@ class UnitEncoder:
         else:
             self.ends_word = np.array([piece.endswith(WORD_END) for piece in pieces_of(path)] + [False] * 64)
 
+    def forget(self) -> None:
+        """At the end of a task: what is remembered goes, the tokenizer stays."""
+        self.known.clear()
+        give_back()
+
     def _joinable(self, text: str) -> bool:
         if self.leading:
             return text[0] in BLANKS and text[-1] not in BLANKS and (text.isascii() or not WIDE.search(text))
