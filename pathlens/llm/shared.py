@@ -54,7 +54,17 @@ def keep(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared checkpoint folder and read it back, for tables that several passes read in parts."""
     path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    kept = df.sparkSession.read.parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def discard(*kept: DataFrame) -> None:
+    """Remove tables that `keep` wrote, once all that was made of them is written too."""
+    for df in kept:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def distinct_ids(docs: DataFrame, id_column: str, text_column: str, name: str, nulls_first: bool = True) -> DataFrame:
@@ -114,8 +124,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Edges may repeat, be loops or have null ends, which link nothing.
     """
 
-    def contracted(df: DataFrame) -> tuple[DataFrame, int]:
-        rows = cut(df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter(F.col("a") < F.col("b")).distinct())
+    def contracted(df: DataFrame, most: int | None = None) -> tuple[DataFrame, int]:
+        rows = df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter(F.col("a") < F.col("b")).distinct()
+        rows = cut(rows if most is None else rows.coalesce(1 + most // PARTITION))  # few rows in few files
         n = rows.count()
         return rows.coalesce(1 + n // PARTITION), n
 
@@ -124,11 +135,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while n:
         few = F.broadcast if n <= FEW else lambda df: df
         both = left.select(F.col("b").alias("id"), F.col("a").alias("to")).union(left.select(F.col("a").alias("id"), F.col("b").alias("to")))
-        up = cut(both.groupBy("id").agg(F.min("to").alias("to")).filter("to < id")).coalesce(1 + n // PARTITION)
+        up = cut(both.groupBy("id").agg(F.min("to").alias("to")).filter("to < id").coalesce(1 + n // PARTITION))
         steps.append((up, n))
         for end in ("a", "b"):
             left = left.join(few(up.select(F.col("id").alias(end), "to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-        left, n = contracted(left)
+        left, n = contracted(left, n)
     if not steps:
         return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
     labels = steps[-1][0].select("id", F.col("to").alias("component"))
@@ -137,6 +148,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         few = F.broadcast if n <= FEW else lambda df: df
         # an id that was hung on another lives on in later rounds as the place of those hung on it
         moved = up.join(few(labels.select(F.col("id").alias("to"), "component")), "to", "left").select("id", F.coalesce("component", "to").alias("component"))
-        labels = cut(moved.union(labels.join(few(up.select("id")), "id", "left_anti"))).coalesce(1 + n // PARTITION)
+        labels = cut(moved.union(labels.join(few(up.select("id")), "id", "left_anti")).coalesce(1 + n // PARTITION))
     roots = labels.select(F.col("component").alias("id"), "component").distinct()
     return labels.union(roots)

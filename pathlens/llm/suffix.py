@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bitmap, cut, distinct_ids, in_bitmap, keep, slot
+from .shared import bitmap, cut, discard, distinct_ids, in_bitmap, keep, slot
 from .words import STEP, U, buffers, mix, slices, span_names
 
 THRESHOLD, SEED = 100, 32
@@ -121,6 +121,7 @@ def _ranked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Ranks are written before they are joined back, so that both sides of the joins are dealt
     out for them alone and Spark can split the many rows of a passage that is everywhere.
+    The rows' own table goes when both results are written.
     """
     classes = keep(rows.groupBy("core", "block").agg(F.min(F.struct("did", "pos")).alias("first")))
     several = cut(classes.groupBy("core").count().filter("count > 1").select("core"))
@@ -128,7 +129,9 @@ def _ranked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     windows = F.col("shape").bitwiseAND(127)
     repeats = marked.filter("not earliest").select("did", "pos", windows.alias("windows"))
     requests = marked.filter("earliest").join(several, "core", "left_semi").select("did", "pos", "shape")
-    return keep(repeats), keep(requests)
+    repeats, requests = keep(repeats), keep(requests)
+    discard(rows, classes)
+    return repeats, requests
 
 
 def _by_document(rows: DataFrame, *what) -> DataFrame:
@@ -172,8 +175,11 @@ def thinned_repeats(keyed: DataFrame, threshold: int, seed: int) -> DataFrame:
     rows = keep(_blocks(keyed, threshold, seed, found).join(shared, "core", "left_semi"))
     repeats, requests = _ranked(rows)
     for width in WIDTHS:
-        more, requests = _ranked(keep(_split(keyed, requests, width, threshold, seed)))
+        parts = keep(_split(keyed, requests, width, threshold, seed))
+        discard(requests)
+        more, requests = _ranked(parts)
         repeats = repeats.union(more)
+    discard(requests)
     return repeats
 
 
