@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import clean_number, safe_ratio
-from .relational import any_event_between, as_of, average_percent_rank, excluded, history_before
+from .relational import any_event_between, average_percent_rank, history_before
 
 # Upper ends of the percent-rank bands and their names.
 BANDS = [(0.01, "Top 1%"), (0.05, "Top 5%"), (0.10, "Top 10%"), (0.20, "Top 20%"), (0.30, "Top 30%"), (0.50, "Top 50%"), (1.0, "Bottom 50%")]
@@ -178,6 +178,3 @@ def uplift(people: DataFrame, approved: DataFrame, entity: str = "entity", chann
 def training_output(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """P20: reference rows for training: target kept, experiment columns absent, a technical key from the row's own key."""
     return df.select(F.sha2(F.concat_ws("|", *(F.col(k).cast("string") for k in keys)), 256).alias("technical_key"), *columns, "target")
-
-
-previous_record, exclusion = as_of, excluded
