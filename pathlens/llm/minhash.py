@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bitmap, components, cut, in_bitmap, slot
+from .shared import bitmap, components, cut, in_bitmap, release, slot
 from .words import Words, row_shingles, slices
 
 #: Values that a sketch retains. Two texts at the similarity 0.75 share fewer than 0.375 of
@@ -194,6 +194,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         if found is not None or labels is None:
             links = links if found is None else cut(links.union(found))
             labels = components(links)
+            release(docs.sparkSession)
 
     add(linker.verified(linker.from_leaders(lists)))
     named = lists.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -67,6 +68,12 @@ def discard(*kept: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files and checkpoints of tables that nothing names any more: it does when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def distinct_ids(docs: DataFrame, id_column: str, text_column: str, name: str, nulls_first: bool = True) -> DataFrame:
     """docs with a long `name` that no two rows share, in the order of the ids.
 

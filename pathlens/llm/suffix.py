@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bitmap, cut, discard, distinct_ids, in_bitmap, keep, slot
+from .shared import bitmap, cut, discard, distinct_ids, in_bitmap, keep, release, slot
 from .words import STEP, U, buffers, mix, slices, span_names
 
 THRESHOLD, SEED = 100, 32
@@ -177,9 +177,11 @@ def thinned_repeats(keyed: DataFrame, threshold: int, seed: int) -> DataFrame:
     for width in WIDTHS:
         parts = keep(_split(keyed, requests, width, threshold, seed))
         discard(requests)
+        release(keyed.sparkSession)
         more, requests = _ranked(parts)
         repeats = repeats.union(more)
     discard(requests)
+    release(keyed.sparkSession)
     return repeats
 
 
