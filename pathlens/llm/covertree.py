@@ -1,8 +1,9 @@
 """Embedding near-dedup by dual traversal of cover trees.
 
-Vectors are points of the unit sphere; a cosine threshold is a distance. The top level is a
-set of pivots for each label, whose cells are cut into nodes of bounded size. Pairs of nodes
-that their covering radii keep apart are pruned; for the others a task builds both nodes'
+Vectors are points of the unit sphere; a cosine threshold is a distance. Spark splits the
+vectors of each label around pivots, level by level, until every node is small, and descends
+the levels in pairs: pairs of nodes that their covering radii keep apart are pruned before
+they have children. For the pairs of small nodes that are left a task builds both nodes'
 trees, nested levels with halving radii, and walks them together: pairs of nodes too far
 apart are pruned, pairs near enough are linked as a whole, the rest is compared.
 """
@@ -16,10 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, cut, keep
+from .shared import components, cut, discard, keep
 
-#: Vectors of a node, and pivots of a label at most (512 vectors have one).
-NODE, PIVOTS = 512, 256
+#: A node of more than twice NODE vectors is split around a pivot for each NODE of them, FAN at most; larger ones go on at the next level.
+NODE, FAN = 512, 256
+#: A task compares so many vectors with the pivots of their node. Nodes still large after DEPTH levels hold vectors that rounding cannot tell apart; they are cut by a hash.
+GROUP, DEPTH = 1 << 14, 12
 #: Nodes of so few points are leaves; those that fall into too many children too.
 LEAF, MOST_CHILDREN = 48, 0.25
 #: Distances this near to a bound are not decided by it.
@@ -107,6 +110,73 @@ def _links(points: np.ndarray, weights: np.ndarray, split: int, cosine: float) -
     return count, label
 
 
+def _nearest(points: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+    """Each vector of a node under its nearest pivot, with the distance from it."""
+    if points.empty or pivots.empty:
+        return pd.DataFrame(columns=["label", "key", "rep", "copies", "unit", "node", "away"])
+    pivots = pivots.sort_values("place")
+    units, centres = np.stack(points.unit.to_numpy()), np.stack(pivots.centre.to_numpy())
+    at = (units @ centres.T).argmax(1)
+    away = np.sqrt(((units - centres[at]) ** 2).sum(1))
+    node = points.node.to_numpy() + "/" + pivots.place.to_numpy()[at].astype(str)
+    return points[["label", "key", "rep", "copies", "unit"]].assign(node=node, away=away)
+
+
+def _node_pairs(classes: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
+    """The vectors with their nodes, and the pairs of nodes (node <= node_) that may hold vectors within reach of each other.
+
+    A label starts as one node, paired with itself. At each level large nodes are split, and
+    the pairs that name them give way to pairs of their children, as far as centres and radii
+    allow. Joins go by label and node, never by label alone, and a large node's vectors are
+    dealt over tasks, each with a copy of the node's pivots.
+    """
+    node = ["label", "node"]
+    points = classes.select("label", "key", "rep", "copies", "unit", F.lit("").alias("node"), F.lit(0.0).alias("away"))
+    pairs = classes.select("label", F.lit("").alias("node"), F.lit("").alias("node_")).distinct()
+    balls, schema = None, points.schema
+    distance = F.sqrt(F.aggregate(F.zip_with("centre", "centre_", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    for _ in range(DEPTH):
+        large = cut(points.groupBy(*node).count().filter(F.col("count") > 2 * NODE))
+        if large.isEmpty():
+            break
+        rows = points.join(large, node)
+        drawn = Window.partitionBy(*node).orderBy(F.xxhash64("key"), "key")
+        tops = rows.withColumn("place", F.row_number().over(drawn)).filter(F.col("place") <= FAN).filter(F.col("place") <= F.ceil(F.col("count") / NODE))
+        tops = cut(tops.select(*node, "place", "unit", "count"))
+        tasks = F.ceil(F.col("count") / GROUP).cast("int")
+        copies = tops.select(F.col("label").alias("label_"), F.col("node").alias("node_"), "place", F.col("unit").alias("centre"), F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task_"))
+        dealt = rows.withColumn("task", F.pmod(F.xxhash64(F.lit("task"), "key"), tasks).cast("int")).drop("count")
+        split = dealt.groupBy(*node, "task").cogroup(copies.groupBy("label_", "node_", "task_")).applyInPandas(_nearest, schema)
+        whole, points = points, keep(points.join(large, node, "left_anti").unionByName(split))
+        if balls is not None:
+            discard(whole)
+
+        child = F.concat_ws("/", "node", F.col("place").cast("string"))
+        centres = tops.select("label", F.col("node").alias("parent"), child.alias("node"), F.col("unit").alias("centre"))
+        radii = points.groupBy(*node).agg(F.max("away").alias("radius"))
+        children = cut(centres.join(radii, node))
+        balls = children.drop("parent") if balls is None else balls.union(children.drop("parent"))
+        inner = children.select("label", "parent", "node")
+        one, two = (inner.select("label", F.col("parent").alias(f"node{x}"), F.col("node").alias(f"child{x}")) for x in ("", "_"))
+        met = pairs.join(one, node, "left").join(two, ["label", "node_"], "left")
+        met = met.select("label", (F.col("node") == F.col("node_")).alias("same"), F.coalesce("child", "node").alias("x"), F.coalesce("child_", "node_").alias("y")).filter("not same or x <= y")
+        met = met.select("label", F.least("x", "y").alias("node"), F.greatest("x", "y").alias("node_"))
+        other = balls.select("label", *(F.col(c).alias(f"{c}_") for c in ("node", "centre", "radius")))
+        both = met.filter("node <> node_").join(balls, node).join(other, ["label", "node_"])
+        near = both.filter(distance - F.col("radius") - F.col("radius_") <= reach + MARGIN)
+        pairs = cut(met.filter("node = node_").unionByName(near.select("label", "node", "node_")))
+    else:
+        count = cut(points.groupBy(*node).agg(F.ceil(F.count("*") / NODE).alias("parts")).filter(F.col("parts") > 2))
+        part = F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1)))
+        cuts = points.join(count, node, "left").withColumn("part", part)
+        points = keep(cuts.withColumn("node", F.concat_ws("#", "node", F.col("part").cast("string"))).drop("parts", "part"))
+        inner = cut(points.select("label", F.substring_index("node", "#", 1).alias("whole"), "node").distinct())
+        one, two = (inner.select("label", F.col("whole").alias(f"node{x}"), F.col("node").alias(f"child{x}")) for x in ("", "_"))
+        met = pairs.join(one, node).join(two, ["label", "node_"]).filter("node <> node_ or child <= child_")
+        pairs = cut(met.select("label", F.least("child", "child_").alias("node"), F.greatest("child", "child_").alias("node_")))
+    return points, pairs
+
+
 def similar_vectors(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label", *, cosine: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of df.
 
@@ -117,7 +187,6 @@ def similar_vectors(df: DataFrame, id_column: str = "vec_id", vector_column: str
     that share an id are one node, but each counts as a link. Other columns are ignored; an
     empty table gives no rows. Equal vectors of a label are compared once.
     """
-    spark = df.sparkSession
     vector = F.col(vector_column).cast("array<double>")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
@@ -128,37 +197,7 @@ def similar_vectors(df: DataFrame, id_column: str = "vec_id", vector_column: str
     good = keep(good.withColumn("key", F.concat(*(F.hex(F.xxhash64(F.lit(half), "unit")) for half in (1, 2)))))  # 128 bits
     classes = keep(good.groupBy("label", "key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit")))
 
-    per_label = classes.groupBy("label").count().filter(F.col("count") > NODE)
-    wanted = F.least(F.ceil(F.col("count") / NODE), F.lit(PIVOTS))
-    drawn = Window.partitionBy("label").orderBy(F.xxhash64("rep"), "key")
-    tops = classes.join(per_label.select("label", wanted.alias("pivots")), "label").withColumn("place", F.row_number().over(drawn)).filter(F.col("place") <= PIVOTS).filter("place <= pivots")
-    pivots: dict[str, np.ndarray] = {}
-    for row in tops.select("label", "unit").toLocalIterator():
-        pivots.setdefault(row.label, []).append(row.unit)
-    shared = spark.sparkContext.broadcast({label: np.array(found) for label, found in pivots.items()})
-
-    def cells(frames):
-        for frame in frames:
-            units = frame.pop("unit")
-            out = np.zeros(len(frame), np.int32)
-            for label, at in frame.groupby("label").indices.items():
-                if (own := shared.value.get(label)) is not None:
-                    out[at] = (np.stack(units.iloc[at].to_numpy()) @ own.T).argmax(1)
-            yield frame.assign(cell=out)
-
-    placed = classes.select("label", "key", "rep", "unit").mapInPandas(cells, "label string, key string, rep long, cell int")
-    placed = keep(placed)
-    parts = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / NODE).alias("parts"))
-    placed = placed.join(parts, ["label", "cell"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).drop("parts")
-    points = keep(classes.join(placed.drop("rep"), ["label", "key"]).withColumn("node", F.concat_ws("/", "cell", "part")).select("label", "node", "rep", "copies", "unit"))
-
-    centre = points.groupBy("label", "node").agg(F.min(F.struct("rep", "unit")).alias("c")).select("label", "node", F.col("c.unit").alias("centre"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    distance = lambda a, b: F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot(a, b)))
-    nodes = cut(points.join(centre, ["label", "node"]).groupBy("label", "node").agg(F.max(distance("unit", "centre")).alias("radius")).join(centre, ["label", "node"]))
-    other = nodes.select("label", *(F.col(c).alias(f"{c}_") for c in ("node", "radius", "centre")))
-    near = distance("centre", "centre_") - F.col("radius") - F.col("radius_") <= math.sqrt(max(0.0, 2 - 2 * cosine)) + MARGIN
-    pairs = cut(nodes.join(other, "label").filter("node <= node_").filter(near).select("label", "node", "node_"))
+    points, pairs = _node_pairs(classes, math.sqrt(max(0.0, 2 - 2 * cosine)))
     left = points.join(pairs, ["label", "node"]).withColumn("side", F.lit(0))
     right = points.withColumnRenamed("node", "node_").join(pairs.filter("node < node_"), ["label", "node_"]).withColumn("side", F.lit(1))
 

@@ -349,8 +349,10 @@ def test_language(spark, nothing):
     assert {r.lang_pred for r in language.identified(docs, language.fitted(nothing, F.lit(True))).collect()} == {"und"}
 
 
-def test_cover_tree_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(covertree, "NODE", 16)
+@pytest.mark.parametrize(("node", "fan", "depth"), [(16, 256, 12), (4, 3, 12), (4, 3, 1)])
+def test_cover_tree_equals_brute_force(spark, monkeypatch, node, fan, depth):
+    for name, value in (("NODE", node), ("FAN", fan), ("DEPTH", depth), ("GROUP", 32)):
+        monkeypatch.setattr(covertree, name, value)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 6))
     points = np.concatenate([centres[rng.integers(0, 12, 150)] + rng.normal(scale=0.08, size=(150, 6)), rng.normal(size=(30, 6))]).astype(np.float32)
