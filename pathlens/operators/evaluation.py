@@ -77,16 +77,24 @@ def entity_summary(rows: DataFrame, keys: list[str], measures: list[str], segmen
     return mean_of_means(in_segments(rows, segments), "entity", ["segment", *keys], measures)
 
 
+PRIME = 2**31 - 1
+
+
 def bootstrap(pairs: DataFrame, reference: str, candidate: str, replicates: int = 2000, salt: str = "bootstrap", keys: tuple[str, ...] = ()) -> DataFrame:
     """Paired bootstrap over entities: mean gain (reference - candidate), its 95 % percentile interval, relative skill.
 
-    Each entity is drawn with a Poisson(1) weight in each replicate, from a hash, so that any
-    run gives the same interval. Replicates' sums are made by partial aggregation.
+    Each entity is drawn with a Poisson(1) weight in each replicate, so that any run gives the
+    same interval: an entity has one hash, and a replicate a polynomial of degree 3 modulo the
+    prime 2**31 - 1, which turns the hash into a uniform number; draws of any four entities
+    are independent. Replicates' sums are made by partial aggregation.
     """
     own = pairs.groupBy(*keys, "entity").agg(F.avg(reference).alias("a"), F.avg(candidate).alias("b")).filter("a is not null and b is not null")
     total = own.groupBy(*keys).agg(F.count("*").alias("entities"), F.avg(F.col("a") - F.col("b")).alias("gain"), (1 - safe_ratio(F.avg("b"), F.avg("a"))).alias("skill"))
-    drawn = own.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(salt), "entity", "replicate")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    number = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(salt), *parts)), 1, 8), 16, 10).cast("long") % PRIME
+    # the polynomials, one a replicate, are computed once and looked up in a broadcast table
+    polynomials = own.sparkSession.range(1, replicates + 1).select(F.col("id").alias("replicate"), *(number("id", F.lit(c)).alias(c) for c in ("c3", "c2", "c1", "c0")))
+    drawn = own.withColumn("x", number("entity")).withColumn("replicate", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long")))).join(F.broadcast(polynomials), "replicate")
+    u = reduce(lambda value, c: (value * F.col("x") + F.col(c)) % PRIME, ("c2", "c1", "c0"), F.col("c3")).cast("double") / float(PRIME)
     # Distribution function of Poisson(1) at 0, 1, 2, ...
     poisson = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
     weight = reduce(lambda n, c: n + (F.col("u") > c).cast("int"), poisson, F.lit(0))

@@ -679,12 +679,17 @@ def coverage_report(spark, d):
 
 @query(sql(HITS + """,
 own as (select entity, avg(brier) as a, avg(-ln(greatest(p_real, 1e-15))) as b from mt where brier is not null group by entity),
-dr as (select r as replicate, a, b, ('0x' || substr(md5(concat_ws('|', 'bootstrap', entity, r::varchar)), 1, 8))::bigint / 4294967296.0 as u from own, (select unnest(generate_series(1, 200)) as r)),
+cf as (select r, ('0x' || substr(md5(concat_ws('|', 'bootstrap', r::varchar, 'c3')), 1, 8))::bigint % 2147483647 as c3,
+    ('0x' || substr(md5(concat_ws('|', 'bootstrap', r::varchar, 'c2')), 1, 8))::bigint % 2147483647 as c2,
+    ('0x' || substr(md5(concat_ws('|', 'bootstrap', r::varchar, 'c1')), 1, 8))::bigint % 2147483647 as c1,
+    ('0x' || substr(md5(concat_ws('|', 'bootstrap', r::varchar, 'c0')), 1, 8))::bigint % 2147483647 as c0 from (select unnest(generate_series(1, 2000)) as r)),
+sd as (select a, b, ('0x' || substr(md5(concat_ws('|', 'bootstrap', entity)), 1, 8))::bigint % 2147483647 as x from own),
+dr as (select r as replicate, a, b, ((((((c3 * x + c2) % 2147483647) * x + c1) % 2147483647) * x + c0) % 2147483647) / 2147483647.0 as u from sd, cf),
 wd as (select replicate, sum(w) as w, sum(w * (a - b)) as s from (select *, (u > 0.36787944117144233)::int + (u > 0.7357588823428847)::int + (u > 0.9196986029286058)::int + (u > 0.9810118431238462)::int + (u > 0.9963401531726563)::int + (u > 0.9994058151824183)::int + (u > 0.9999167588507119)::int as w from dr) group by replicate having sum(w) > 0)""",
 "select (select count(*) from own) as entities, round((select avg(a - b) from own), 7) as gain, round(quantile_cont(s / w, 0.025), 7) as low, round(quantile_cont(s / w, 0.975), 7) as high, count(*) as replicates from wd"))
 def paired_bootstrap(spark, d):
     rows = M.log_losses(_evaluated(spark, d)[0], F.col("p_real")).filter("brier is not null")
-    return M.bootstrap(rows, "brier", "log_loss", 200).select("entities", F.round("gain", 7).alias("gain"), F.round("low", 7).alias("low"), F.round("high", 7).alias("high"), "replicates")
+    return M.bootstrap(rows, "brier", "log_loss").select("entities", F.round("gain", 7).alias("gain"), F.round("low", 7).alias("low"), F.round("high", 7).alias("high"), "replicates")
 
 
 @query()
@@ -857,11 +862,18 @@ def operational_audit(spark, d):
 # ---- propensity
 
 
-@query("""with c as (select strftime(day, '%Y%m%d') as cohort, day from (select unnest(generate_series(date '2024-01-01', date '2024-01-15', interval 1 day))::date as day))
-    select cohort, dayofweek(day) = 1 as valid, case when dayofweek(day) = 1 then epoch(day - interval 7 day + interval 8 hour)::bigint end as window_start, case when dayofweek(day) = 1 then epoch(day + interval 8 hour)::bigint end as window_end from c where exists (select 1 from events)""")
+@query("""with c as (select distinct ts::date as day from events where ts is not null),
+    w as (select date_trunc('week', ts - interval 8 hour)::date + 7 as monday, count(*) as n_events, count(distinct user_id) as n_entities from events where ts is not null group by 1)
+    select strftime(day, '%Y%m%d') as cohort, dayofweek(day) = 1 as valid, case when dayofweek(day) = 1 then epoch(day - interval 7 day + interval 8 hour)::bigint end as window_start, case when dayofweek(day) = 1 then epoch(day + interval 8 hour)::bigint end as window_end,
+        coalesce(n_events, 0) as n_events, coalesce(n_entities, 0) as n_entities from c left join w on monday = day""")
 def weekly_windows(spark, d):
-    days = A.calendar(spark, "2024-01-01", "2024-01-15").select(F.date_format("day", "yyyyMMdd").alias("cohort"))
-    return P.weekly_window(days.join(F.broadcast(spark.read.parquet(f"{d}/events.parquet").limit(1).select(F.lit(1).alias("_x"))))).select("cohort", "valid", seconds("window_start"), seconds("window_end"))
+    """Every day of the events as a cohort, with the events and entities of its window."""
+    events = spark.read.parquet(f"{d}/events.parquet").filter("ts is not null").select("ts", "user_id")
+    days = P.weekly_window(events.select(F.date_format("ts", "yyyyMMdd").alias("cohort")).distinct())
+    began = P.current_cohort(events, "ts").withColumn("cohort", F.date_format(F.date_add(F.to_date("cohort", "yyyyMMdd"), 7), "yyyyMMdd"))
+    inside = began.groupBy("cohort").agg(F.count("*").alias("n_events"), F.count_distinct("user_id").alias("n_entities"))
+    rows = days.join(inside, "cohort", "left")
+    return rows.select("cohort", "valid", seconds("window_start"), seconds("window_end"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_events", "n_entities")))
 
 
 @query(sql(BANDED, "select entity, record_id, score, round(percent_rank, 9)::double as percent_rank, band, stratum, test_digit, control_type from assigned"))
