@@ -111,9 +111,9 @@ def _links(points: np.ndarray, weights: np.ndarray, split: int, cosine: float) -
 
 
 def _nearest(points: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
-    """Each vector of a node under its nearest pivot, with the distance from it."""
+    """Each vector of a node under its nearest pivot, with the distance from it; a node that drew no pivot stays as it is."""
     if points.empty or pivots.empty:
-        return pd.DataFrame(columns=["label", "key", "rep", "copies", "unit", "node", "away"])
+        return points[["label", "key", "rep", "copies", "unit", "node", "away"]]
     pivots = pivots.sort_values("place")
     units, centres = np.stack(points.unit.to_numpy()), np.stack(pivots.centre.to_numpy())
     at = (units @ centres.T).argmax(1)
@@ -140,8 +140,11 @@ def _node_pairs(classes: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]
         if large.isEmpty():
             break
         rows = points.join(large, node)
-        drawn = Window.partitionBy(*node).orderBy(F.xxhash64("key"), "key")
-        tops = rows.withColumn("place", F.row_number().over(drawn)).filter(F.col("place") <= FAN).filter(F.col("place") <= F.ceil(F.col("count") / NODE))
+        # few rows reach the window: a bound on the hash leaves some more than the pivots wanted
+        wanted = F.least(F.ceil(F.col("count") / NODE), F.lit(FAN))
+        lot = rows.withColumn("lot", F.pmod(F.xxhash64("key"), F.lit(1 << 40))).filter(F.col("lot") < (4 * wanted + 16) * F.lit(float(1 << 40)) / F.col("count"))
+        drawn = Window.partitionBy(*node).orderBy("lot", "key")
+        tops = lot.withColumn("place", F.row_number().over(drawn)).filter(F.col("place") <= FAN).filter(F.col("place") <= wanted)
         tops = cut(tops.select(*node, "place", "unit", "count"))
         tasks = F.ceil(F.col("count") / GROUP).cast("int")
         copies = tops.select(F.col("label").alias("label_"), F.col("node").alias("node_"), "place", F.col("unit").alias("centre"), F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task_"))
