@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pipeline
+from . import oracles, pipeline
 from .byte_bpe import round_trip
 from .covertree import similar_vectors
 from .fingerprint import edit_report
@@ -107,6 +107,8 @@ ORACLE_SQL: dict[str, str] = {
                vec_id = least(vec_id, coalesce(low, vec_id)) as kept
         from embeddings left join counted on counted.a = vec_id left join named on named.a = vec_id
     """,
+    "op3_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+    "op9_suffix_dedup": oracles.REPEATS,
 }
 if pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = pipeline.ORACLE_SQL

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 tokenizers = pytest.importorskip("public_tokenizers")
 
-from pathlens.llm import byte_bpe, covertree, fingerprint, language, lattice, licenses, minhash, mixing, shared, stream_files, suffix, tokens, words  # noqa: E402
+from pathlens.llm import byte_bpe, covertree, fingerprint, language, lattice, licenses, minhash, mixing, queries, shared, stream_files, suffix, tokens, words  # noqa: E402
 
 BLANK = rb"[^\x20\x09-\x0D]+"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, component string, value string"
@@ -511,3 +511,14 @@ def test_texts_larger_than_a_step(spark):
     assert {r.doc_id: r.decoded_sha256 for r in byte_bpe.round_trip(df, tokenizers.path("byte_bpe_50k.tiktoken")).collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in rows}
     assert {r.doc_id: r.n_shingles for r in minhash.near_duplicates(df).collect()}[1] == len({tuple(w) for w in zip(*(long.split()[i:] for i in range(5)))})
     assert all(r.n_chars == len(dict(rows)[r.doc_id]) for r in fingerprint.edit_report(df).collect())
+
+
+@pytest.mark.parametrize("name", ["op3_minhash_near_dedup", "op9_suffix_dedup"])
+def test_sql_gives_the_same_rows(spark, docs, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    ours = queries.QUERIES[name](spark, str(tmp_path))
+    theirs = con.sql(f"select {', '.join(ours.columns)} from ({queries.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(tuple, ours.collect())) == sorted(theirs)
