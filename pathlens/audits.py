@@ -269,6 +269,49 @@ def shrunk_context_durations(spark, d):
     return out.select("state", "context", "grp", F.col("n").cast("long").alias("n"), F.round("mu", 7).alias("mu"), F.round("sigma", 7).alias("sigma"))
 
 
+INTERVALS = "with iv as (" + ORACLE_SQL["interval_censored"] + """),
+lo as (select *, dur_min / 86400 as t, dur_max / 86400 as u, ('0x' || substr(md5('holdout|' || entity), 1, 8))::bigint % 5 = 0 as holdout from iv where censoring <> 'origem_ambigua'),
+mo as (select state, avg(t) as mean, avg(ln(t)) as m, stddev_pop(ln(t)) as s from lo where censoring = 'exata' and t > 0 group by state having count(*) >= 2 and stddev_pop(ln(t)) > 0),
+fam as (
+    select state, 'exponential' as family, 1.0::double as p1, mean as p2, 1 as parameters from mo
+    union all select state, 'weibull', pi() / sqrt(6) / s, exp(m + 0.5772156649015329 / (pi() / sqrt(6) / s)), 2 from mo
+    union all select state, 'loglogistic', pi() / sqrt(3) / s, exp(m), 2 from mo
+),
+sv as (select state, holdout, censoring, t, u, family, p1, p2, parameters, case when family = 'loglogistic' then -ln(1 + pow(t / p2, p1)) else -pow(t / p2, p1) end as a, case when family = 'loglogistic' then -ln(1 + pow(u / p2, p1)) else -pow(u / p2, p1) end as b
+       from lo join fam using (state) where t > 0 or censoring = 'intervalo'),
+ll as (select *, case censoring when 'direita' then a when 'intervalo' then a + ln(greatest(1 - exp(b - a), 1e-300)) else ln(p1 / p2) + (p1 - 1) * ln(t / p2) + case when family = 'loglogistic' then 2 * a else a end end as ll from sv)"""
+
+
+@query(INTERVALS + " select state, family, round(sum(ll) filter (not holdout), 4) as log_likelihood, round(2 * parameters - 2 * sum(ll) filter (not holdout), 4) as aic, round(avg(-ll) filter (holdout and censoring = 'exata'), 6) as holdout_nll_exact, round(avg(-ll) filter (holdout and censoring = 'direita'), 6) as holdout_nll_right from ll group by state, family, parameters")
+def interval_families(spark, d):
+    """Families judged on exact, right- and interval-censored durations of the session clock."""
+    rows = B.with_holdout(J.interval_censored(S.sessions(spark, d), S.TIMEOUT, S.CUT))
+    out = K.compare_families(rows, K.fit_families(rows, ["state"]).filter("family <> 'lognormal'"), ["state"])
+    return out.select("state", "family", F.round("log_likelihood", 4).alias("log_likelihood"), F.round("aic", 4).alias("aic"), F.round("holdout_nll_exact", 6).alias("holdout_nll_exact"), F.round("holdout_nll_right", 6).alias("holdout_nll_right"))
+
+
+@query("with si as (" + ORACLE_SQL["silences"] + """),
+ex as (select last_action, end_ts - ts as past from si where state = 'sem_acao' and next_state is not null),
+ag as (select last_action, count(*) as n, count(*) filter (abs(past) <= 1) as at_timeout, avg(ln(past / 86400)) filter (past > 1) as mu, stddev_pop(ln(past / 86400)) filter (past > 1) as sd from ex group by last_action)
+select last_action, n, case when at_timeout / n >= 0.999 then 'atom' when at_timeout / n <= 0.001 then 'shifted_lognormal' else 'mixture' end as family, round(at_timeout / n, 9) as atom,
+       case when at_timeout / n < 0.999 then round(mu, 7) end as mu, case when at_timeout / n < 0.999 then round(least(greatest(sd, 0.15), 4.5), 7) end as sigma from ag""")
+def timeout_atoms(spark, d):
+    """K08, rounded."""
+    return QUERIES["timeout_atom"](spark, d).select("last_action", "n", "family", *(F.round(c, k).alias(c) for c, k in (("atom", 9), ("mu", 7), ("sigma", 7))))
+
+
+@query(sql(GROUPS + """,
+cx as (select state, context from st where eligible and not holdout and context not in ('__BASE__', '__SEM_MEMORIA__') group by state, context having count(*) >= 80 and count(distinct entity) >= 20),
+own as (select state, context, dest, count(*) as k from st join cx using (state, context) where eligible and not holdout and censoring = 'exata' group by state, context, dest),
+tot as (select state, context, sum(k) as total from own group by state, context),
+sh as (select state, context, grp, (coalesce(k, 0) + 20 * p) / (total + 20) as p from tot join dests using (state) left join own using (state, context, dest))""",
+"select state, context, grp, round(sum(p), 9) as pi, round(any_value(p1), 7) as p1, round(any_value(p2), 7) as p2 from sh join grps using (state, grp) group by state, context, grp"))
+def recombined_groups(spark, d):
+    """K13, rounded."""
+    rows = QUERIES["recombined_model"](spark, d)
+    return rows.select("state", "context", "grp", *(F.round(c, k).alias(c) for c, k in (("pi", 9), ("p1", 7), ("p2", 7))))
+
+
 # ---- scoring
 
 
@@ -324,6 +367,28 @@ def score_conditions(spark, d):
     return L.distinct_conditions(_cases(spark, d).withColumn("age", F.round("age", 3)), ["state", "age"])
 
 
+@query(sql(CASES + PASSAGE[len(STEPS):] + """,
+fs as (select nw.entity, dest, e / tt * r as q from nw join (select entity, sum(e) as tt from nw group by entity) using (entity) join dests using (state, grp)),
+l2 as (select start, action, sum(p) as score from (select start, action, p from h1 union all select start, action, p from h2) where action is not null group by start, action)""",
+f"select entity, action, round(sum(q), 6) as score from (select entity, split_part(dest, ':::', 1) as action, q from fs where split_part(dest, ':::', 1) in {TARGETS} union all select entity, l2.action, q * score from fs join l2 on l2.start = fs.dest where split_part(dest, ':::', 1) not in {TARGETS}) group by entity, action"))
+def first_action_scores(spark, d):
+    """Each entity's first relevant action in three transitions, the first of which knows its age; rounded."""
+    dests, groups = S.duration_groups(spark, d)
+    return _first_actions(spark, d, dests, groups).withColumn("score", F.round("score", 6))
+
+
+@query()
+def censored_first_action_scores(spark, d):
+    """As `first_action_scores`, with curves that censored steps take part in."""
+    return _first_actions(spark, d, *S.censored_groups(spark, d))
+
+
+def _first_actions(spark, d, dests, groups):
+    first = L.conditioned(_cases(spark, d), groups, dests, ["state"], ["entity"])
+    actions = S.states(spark, d).filter(F.col("macro").isin(S.TARGETS)).select(F.col("state").alias("dst"), F.col("macro").alias("action"))
+    return L.first_action_by_age(first, S.edges(spark, d), actions, 3, ["entity"])
+
+
 COUNTED = FREQUENCIES + """,
 cm as (select entity, split_part(freq.dest, ':::', 1) as macro, sum(n)::double as score from (select * from st qualify row_number() over (partition by entity order by ts desc) = 1) c join freq using (state) where not c.ambiguous group by 1, 2),
 rk as (select *, (row_number() over (partition by entity order by score desc, macro))::int as rank from cm)"""

@@ -178,8 +178,8 @@ def fit_families(steps: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def compare_families(steps: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
-    """Log-likelihood, AIC and its distance to the best of each family, and the holdout's mean negative log-likelihood by kind of censoring."""
-    rows = steps.filter(F.col("eligible") & (F.col("dur_min") > 0)).join(fits.drop("n"), keys)
+    """Log-likelihood, AIC and its distance to the best of each family, and the holdout's mean negative log-likelihood by kind of censoring. An interval may begin at 0."""
+    rows = steps.filter(F.col("eligible") & ((F.col("dur_min") > 0) | (F.col("censoring") == INTERVAL))).join(fits.drop("n"), keys)
     low, high, p1, p2 = F.col("dur_min") / DAY, F.col("dur_max") / DAY, F.col("p1"), F.col("p2")
     ll = F.when(F.col("censoring") == EXACT, log_density(F.col("family"), low, p1, p2)).when(F.col("censoring") == INTERVAL, log_interval(F.col("family"), low, high, p1, p2)).when(F.col("censoring") == RIGHT, log_survival(F.col("family"), low, p1, p2))
     rows = rows.withColumn("ll", ll)

@@ -139,6 +139,22 @@ def first_action(edges: DataFrame, actions: DataFrame, steps: int, suppress: Dat
     return rows.groupBy("start", "action").agg(F.sum("mass").alias("score"), F.max_by("step", F.struct("mass", -F.col("step"))).alias("best_step"))
 
 
+def first_action_by_age(first_step: DataFrame, edges: DataFrame, actions: DataFrame, steps: int, case: list[str]) -> DataFrame:
+    """(case, action, score) of the first relevant action within so many transitions, of which the first knows the case's age.
+
+    first_step: case, dest, q (see `conditioned`); later steps start on arrival, at age 0, and are
+    walked once for each state; cases only look up their destinations' scores. A case without
+    destinations has no rows.
+    """
+    named = first_step.select(*case, "dest", "q").join(actions.select(F.col("dst").alias("dest"), "action"), "dest", "left")
+    scores = named.filter("action is not null").select(*case, "action", F.col("q").alias("score"))
+    if steps > 1:
+        later = first_action(edges, actions, steps - 1).select(F.col("start").alias("dest"), F.col("action").alias("later"), F.col("score").alias("s"))
+        onward = named.filter("action is null").join(later, "dest")
+        scores = scores.union(onward.select(*case, F.col("later").alias("action"), (F.col("q") * F.col("s")).alias("score")))
+    return scores.groupBy(*case, "action").agg(F.sum("score").alias("score"))
+
+
 def closed_nodes(edges: DataFrame, internal: Column) -> DataFrame:
     """Nodes that internal edges never let out of their macro: backwards from those that can leave, to the fixed point."""
     marked = edges.withColumn("internal", internal)

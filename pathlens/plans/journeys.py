@@ -64,6 +64,14 @@ def duration_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return dests, share.join(fits.select("state", "grp", "family", "p1", "p2"), ["state", "grp"])
 
 
+def censored_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """As `duration_groups`, with log-normal curves fitted to exact and right-censored steps."""
+    rows = steps(spark, sf_dir).filter("not holdout and state is not null")
+    dests = K.pooled_destinations(rows, ["state"], min_n=20, min_entities=5)
+    fits = K.fit_competing_lognormal(rows, dests, ["state"])
+    return dests, fits.select("state", "grp", "family", F.col("mu").alias("p1"), F.col("sigma").alias("p2"), "pi")
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transition edges between states."""
     p = K.transition_frequencies(steps(spark, sf_dir).filter("not holdout"))

@@ -167,3 +167,40 @@ def test_log_survival_families(spark):
     s = lambda f, a, b: math.exp(spark.range(1).select(log_survival(f, F.lit(2.0), F.lit(a), F.lit(b))).first()[0])
     assert s("weibull", 2.0, 2.0) == pytest.approx(math.exp(-1)) and s("exponential", 1.0, 2.0) == pytest.approx(math.exp(-1))
     assert s("loglogistic", 2.0, 2.0) == pytest.approx(0.5) and s("lognormal", math.log(2), 1.0) == pytest.approx(0.5)
+
+
+def test_first_action_knows_the_age(spark):
+    edges = spark.createDataFrame([("a", "x", 0.5), ("a", "b", 0.5), ("b", "x", 0.2), ("b", "y", 0.3), ("b", "a", 0.5)], EDGES)
+    actions = spark.createDataFrame([("x", "X"), ("y", "Y")], "dst string, action string")
+    first = spark.createDataFrame([("u", "x", 0.1), ("u", "b", 0.9), ("v", "a", 1.0), ("w", "y", 0.4), ("z", "lost", 1.0)], "entity string, dest string, q double")
+    got = {(r.entity, r.action): r.score for r in L.first_action_by_age(first, edges, actions, 3, ["entity"]).collect()}
+    # two steps on from b: X 0.2 + 0.5 * 0.5, Y 0.3; from a: X 0.5 + 0.5 * 0.2, Y 0.5 * 0.3
+    assert got == {("u", "X"): pytest.approx(0.1 + 0.9 * 0.45), ("u", "Y"): pytest.approx(0.27), ("v", "X"): pytest.approx(0.6), ("v", "Y"): pytest.approx(0.15), ("w", "Y"): pytest.approx(0.4)}
+    one = {(r.entity, r.action): r.score for r in L.first_action_by_age(first, edges, actions, 1, ["entity"]).collect()}
+    assert one == {("u", "X"): 0.1, ("w", "Y"): 0.4}
+
+
+def test_intervals_that_begin_at_zero_count(spark):
+    rows = [("s", "exata", 86400.0, 86400.0), ("s", "exata", 4 * 86400.0, 4 * 86400.0), ("s", "intervalo", 0.0, 2 * 86400.0), ("s", "intervalo", 86400.0, 3 * 86400.0), ("s", "direita", 86400.0, None)]
+    steps = spark.createDataFrame([(*r, True, False) for r in rows], "state string, censoring string, dur_min double, dur_max double, eligible boolean, holdout boolean")
+    out = K.compare_families(steps, K.fit_families(steps, ["state"]).filter("family = 'exponential'"), ["state"]).first()
+    mean = 2.5
+    s = lambda t: math.exp(-t / mean)
+    expected = -2 * math.log(mean) - 5 / mean + math.log(1 - s(2)) + math.log(s(1) - s(3)) - 1 / mean
+    assert out.log_likelihood == pytest.approx(expected)
+
+
+def test_censored_steps_slow_the_curves_of_scores(spark, monkeypatch):
+    """Of two groups with the same exact durations, the one that censoring favours grows with the age as brute force says."""
+    from pathlens.plans import journeys as S
+
+    rows = [("s", d, "exata", t, True, f"u{i}", False) for i, (d, t) in enumerate([("x", 3600.0 * k) for k in range(1, 31)] + [("y", 36000.0 * k) for k in range(1, 31)])]
+    rows += [("s", None, "direita", 400000.0, True, f"c{i}", False) for i in range(20)]
+    steps = spark.createDataFrame(rows, "state string, dest string, censoring string, dur_min double, eligible boolean, entity string, holdout boolean")
+    monkeypatch.setattr(S, "steps", lambda spark, d: steps)
+    dests, groups = S.censored_groups(spark, "")
+    cases = spark.createDataFrame([("e", "s", 200000.0)], "entity string, state string, age double")
+    got = {r.dest: r.q for r in L.conditioned(cases, groups, dests, ["state"], ["entity"]).collect()}
+    m = {r.grp: r.pi * 0.5 * math.erfc((math.log(200000.0 / 86400) - r.p1) / r.p2 / math.sqrt(2)) for r in groups.collect()}
+    expected = {r.dest: m[r.grp] / sum(m.values()) * r.r for r in dests.collect()}
+    assert got == {k: pytest.approx(v, rel=1e-9) for k, v in expected.items()} and got["y"] > 0.9
