@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 from . import oracles, pipeline
 from .byte_bpe import round_trip
 from .covertree import similar_vectors
+from .divergence import source_divergence
 from .fingerprint import edit_report
 from .language import fitted, identified
 from .lattice import lattice_scores
 from .licenses import license_report
 from .minhash import near_duplicates
 from .mixing import mix
+from .negatives import hard_negatives
 from .shared import text_batches
 from .stream_files import token_report
 from .suffix import repeat_report
+from .warc import archive_report
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +77,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(_documents(spark, sf_dir)).drop("spans")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_documents(spark, sf_dir))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", shifted))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
+    return archive_report(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("row")
+
+
 QUERIES = {
     "op1_cover_tree": op1_cover_tree,
     "op2_language_id": op2_language_id,
@@ -85,6 +103,9 @@ QUERIES = {
     "op8_weighted_sampling": op8_weighted_sampling,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_warc": op13_warc,
     "pipeline": pipeline.run,
 }
 
@@ -109,6 +130,9 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op3_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op9_suffix_dedup": oracles.REPEATS,
+    "op11_source_divergence": oracles.DIVERGENCE,
+    "op12_hard_negatives": oracles.HARD_NEGATIVES,
+    "op13_warc": oracles.ARCHIVES,
 }
 if pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = pipeline.ORACLE_SQL
