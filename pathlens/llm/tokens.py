@@ -18,10 +18,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-from .words import Words, give_back
+from .words import Words, buffers, give_back
 
-#: Units whose ids a worker remembers before it forgets them all: some 30 MB.
-REMEMBERED = 150_000
+#: Bytes that a worker remembers of units and their ids before it forgets them all, with what an entry costs besides; longer units aren't remembered.
+REMEMBERED, ENTRY, LONGEST = 32 << 20, 160, 256
 #: New units that are encoded in one go.
 JOINED = 4096
 #: What the names of files of ranks end with.
@@ -39,13 +39,13 @@ KINDS[[*range(65, 91), *range(97, 123)]] = 1
 KINDS[39] = 0
 
 
-def load(path: str):
-    """The tokenizer of a file (JSON, or ranks of byte strings as tiktoken has them); special tokens' strings in a text are ordinary text."""
+def load(path: str, plain: bool):
+    """The tokenizer of a file (JSON, or ranks of byte strings as tiktoken has them); with `plain`, special tokens' strings in a text are ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = of_ranks(byte_table(path)) if path.endswith(RANKS) else Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = plain
     return tokenizer
 
 
@@ -121,7 +121,8 @@ class UnitEncoder:
     """
 
     def __init__(self, path: str, leading: bool):
-        self.tokenizer, self.leading, self.known = load(path), leading, {}
+        self.tokenizer, self.leading, self.known, self.size = load(path, leading), leading, {}, 0
+        self.special = [] if leading else [token.content.encode() for token in self.tokenizer.get_added_tokens_decoder().values()]
         if leading:
             self.bytes_of = np.array([len(b) for b in byte_table(path)], np.int64)
         else:
@@ -130,6 +131,7 @@ class UnitEncoder:
     def forget(self) -> None:
         """At the end of a task: what is remembered goes, the tokenizer stays."""
         self.known.clear()
+        self.size = 0
         give_back()
 
     def _joinable(self, text: str) -> bool:
@@ -147,7 +149,8 @@ class UnitEncoder:
         ends = np.searchsorted(reached, wanted) + 1
         return ends if ends[-1] == len(ids) and (reached[ends - 1] == wanted).all() else None
 
-    def _encode_units(self, keys: list[bytes]) -> None:
+    def _encode_units(self, keys: list[bytes]) -> dict[bytes, bytes]:
+        found: dict[bytes, bytes] = {}
         single: list[int] = []
         texts = [key.decode() for key in keys]
         joined = [i for i, text in enumerate(texts) if self._joinable(text)]
@@ -164,10 +167,21 @@ class UnitEncoder:
                 continue
             whole, start = ids.tobytes(), 0
             for i, end in zip(part, ends.tolist(), strict=True):
-                self.known[keys[i]] = whole[4 * start : 4 * end]
+                found[keys[i]] = whole[4 * start : 4 * end]
                 start = end
         for i, encoding in zip(single, self.tokenizer.encode_batch_fast([texts[i] for i in single], add_special_tokens=False), strict=True):
-            self.known[keys[i]] = array("I", encoding.ids).tobytes()
+            found[keys[i]] = array("I", encoding.ids).tobytes()
+        return found
+
+    def _remember(self, found: dict[bytes, bytes]) -> None:
+        short = {key: ids for key, ids in found.items() if len(key) <= LONGEST}
+        size = sum(ENTRY + len(key) + len(ids) for key, ids in short.items())
+        if self.size + size > REMEMBERED:
+            self.known.clear()
+            self.size = 0
+        if size <= REMEMBERED:
+            self.known |= short
+            self.size += size
 
     def _units(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each unit, all of them in order."""
@@ -191,15 +205,18 @@ class UnitEncoder:
         order = np.argsort(starts, kind="stable")
         return starts[order], ends[order]
 
-    def _whole_rows(self, data: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        """Rows with white space beyond ASCII are one unit each: their blanks may join."""
-        text = data.tobytes()
-        if not self.leading or text.isascii():
+    def _whole_rows(self, data: np.ndarray, raw: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """Rows with white space beyond ASCII, whose blanks may join, or with strings of special tokens, which are told by case, are one unit each, as they were."""
+        text = raw.tobytes()
+        if self.leading and text.isascii():
             return starts, ends
-        at = [i for blank in WIDE_BLANKS for i in _places(text, blank)]
+        at = [i for what in (WIDE_BLANKS if self.leading else self.special) for i in _places(text, what)]
         if not at:
             return starts, ends
         odd = np.unique(np.searchsorted(rows, at, "right") - 1)
+        if not self.leading:
+            for a, b in zip(rows[odd].tolist(), rows[odd + 1].tolist(), strict=True):
+                data[a:b] = raw[a:b]
         keep = ~np.isin(np.searchsorted(rows, starts, "right") - 1, odd)
         starts, ends = np.concatenate([starts[keep], rows[odd]]), np.concatenate([ends[keep], rows[odd + 1]])
         order = np.argsort(starts, kind="stable")
@@ -208,13 +225,13 @@ class UnitEncoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the column's texts one after the other, and the offsets of its rows."""
         words = Words(column, lower=not self.leading)
-        data, rows = words.data, words.rows
-        starts, ends = self._whole_rows(data, rows, *self._units(words))
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        rows = words.rows
+        data = words.data
+        starts, ends = self._whole_rows(data, data if self.leading else buffers(column)[0], rows, *self._units(words))
         keys, inverse = _distinct(data, starts, ends)
-        self._encode_units([key for key in keys if key not in self.known])
-        parts = [self.known[key] for key in keys]
+        found = self._encode_units([key for key in keys if key not in self.known])
+        parts = [found[key] if key in found else self.known[key] for key in keys]
+        self._remember(found)
         sizes = np.array([len(p) // 4 for p in parts], np.int64)
         flat = np.frombuffer(b"".join(parts), np.uint32)
         lengths = sizes[inverse]

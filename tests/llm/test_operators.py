@@ -157,7 +157,9 @@ def test_suffix_tells_apart_rows_that_share_an_id(spark):
 
 
 def test_token_files(docs, texts, nothing):
-    tokenizer = tokens.load(tokenizers.path("word_bpe_49k.json"))
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizers.path("word_bpe_49k.json"))
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in stream_files.token_report(docs, tokenizers.path("word_bpe_49k.json"), length=16).collect()}
     start, expected = 0, {}
     for i, text in enumerate(texts):
@@ -197,15 +199,26 @@ def test_byte_bpe_round_trip(docs, texts):
 
 def test_units_encode_like_whole_texts():
     rng = random.Random(5)
-    alphabet = ["a", "B", "é", "  ", " ", "\n", " ", "　", "'s", "1", "23", "!", "word", "\t", "日", "😀", "́", "İ", "<|endoftext|>", "\r", "\x85", "="]
+    alphabet = ["a", "B", "é", "  ", " ", "\n", " ", "　", "'s", "1", "23", "!", "word", "\t", "日", "😀", "́", "İ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|end", "oftext|>", "\r", "\x85", "="]
     rows = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
     for name, leading in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True), ("byte_bpe_50k.tiktoken", True)):
         path = tokenizers.path(name)
         ids, offsets = tokens.UnitEncoder(path, leading).encode(pa.array(rows))
-        whole = tokens.load(path).encode_batch(rows, add_special_tokens=False)
+        whole = tokens.load(path, leading).encode_batch(rows, add_special_tokens=False)
         assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [e.ids for e in whole]
 
 
+def test_what_a_worker_remembers_is_bounded_by_bytes():
+    rng = random.Random(9)
+    blank = chr(0xA0)
+    rows = [blank + " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(1800)) for _ in range(60)]
+    own = tokens.UnitEncoder(tokenizers.path("byte_bpe_50k.tiktoken"), True)
+    ids, offsets = own.encode(pa.array(rows))
+    assert len(offsets) == 61 and own.size == sum(tokens.ENTRY + len(k) + len(v) for k, v in own.known.items()) < 100_000
+    own.encode(pa.array([row.replace(blank, "") for row in rows]))
+    assert 0 < own.size == sum(tokens.ENTRY + len(k) + len(v) for k, v in own.known.items()) <= tokens.REMEMBERED
+
+
 def brute_force_pieces(counts):
     """Log probabilities of pieces and of the end from the training words as the library segments them, one added to each count."""
     import sentencepiece
@@ -435,7 +448,7 @@ def test_regular_strings_have_names_of_their_own(spark):
     assert {r.component_id for r in minhash.near_duplicates(df).collect()} == {1, 2, 3, 4}
     path = tokenizers.path("byte_bpe_50k.tiktoken")
     assert {(r.doc_id, r.decoded_sha256) for r in byte_bpe.round_trip(df, path).collect()} == {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in rows}
-    own = tokens.load(tokenizers.path("word_bpe_49k.json"))
+    own = tokens.load(tokenizers.path("word_bpe_49k.json"), False)
     expected = {i: zlib.crc32(np.array([*own.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in rows}
     assert {r.doc_id: r.ids_crc32 for r in stream_files.token_report(df, tokenizers.path("word_bpe_49k.json")).collect()} == expected
     assert len({r.fingerprint for r in fingerprint.fingerprints(df).collect()}) == 4
@@ -456,6 +469,46 @@ def test_license_chains_are_no_longer_than_their_template(spark):
     assert (got[5].n_base, got[6].n_base) == (1, 0)
 
 
+def chains_one_by_one(scanner, found, size):
+    """The best chain, then the best of the runs that it leaves, each looked for from the start."""
+    out = []
+    while True:
+        best, top = [], (0, 0, 0)
+        for i, (word, place, length) in enumerate(found):
+            cover, first = length, word
+            for j in range(i - 1, -1, -1):
+                w, p, n = found[j]
+                if word - w > licenses.STRETCH * size:
+                    break
+                if w + n <= word and p + n <= place and word + length - best[j][1] <= licenses.STRETCH * size and best[j][0] + length > cover:
+                    cover, first = best[j][0] + length, best[j][1]
+            best.append((cover, first))
+            top = max(top, (cover, -first, word + length - 1))
+        if top[0] < licenses.LEAST_COVER * size:
+            return out
+        out.append((top[0], -top[1], top[2]))
+        found = [x for x in found if x[0] > top[2] or x[0] + x[2] <= -top[1]]
+
+
+def test_chains_equal_those_found_one_by_one():
+    rng = random.Random(4)
+    for _ in range(400):
+        size = rng.randint(3, 20)
+        found = sorted({(rng.randint(0, 150), rng.randint(0, size - 1), rng.randint(1, size)) for _ in range(rng.randint(0, 60))})
+        assert list(licenses.chains(found, size)) == chains_one_by_one(None, found, size)
+
+
+def test_many_copies_of_a_notice_take_linear_time():
+    import time
+
+    label, text = min(licenses.TEMPLATES, key=lambda t: len(t[1]))
+    scanner = licenses.LicenseScanner()
+    words_ = words.Words(pa.array([(text + " other words ") * 20_000]), licenses.ALNUM_WORDS)
+    began = time.time()
+    spoken, covered = scanner.scan(scanner.numbers(words_).tolist(), list(range(len(words_.names))))
+    assert sum(scanner.labels[t] == label for t, *_ in covered) == 20_000 and time.time() - began < 20
+
+
 def test_phrases_equal_brute_force(spark):
     rng = random.Random(8)
     pool = " ".join([*licenses.PHRASES, "x", "the license of version"]).split()
