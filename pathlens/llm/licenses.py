@@ -7,6 +7,10 @@ into covered spans. Phrases are sequences of the same automaton, found where the
 
 from __future__ import annotations
 
+import bisect
+import heapq
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -145,6 +149,49 @@ def longest(statistics):
         yield place, before[1], before[0]
 
 
+def chains(found: list[tuple[int, int, int]], size: int) -> Iterator[tuple[int, int, int]]:
+    """(covered tokens, first word, last word) of chains of runs (word, place in the template, length; sorted) that cover
+    enough of a template of that size: the best one, then the best of what lies beside it, and so on.
+
+    A chain is at most STRETCH times as long as its template. So when one is taken, only the runs
+    behind it are looked at anew, until nothing has changed within that reach; all copies of a
+    notice cost as much as their words.
+    """
+    reach, n = STRETCH * size, len(found)
+    alive, best, queue = [True] * n, [None] * n, []
+
+    def renew(start: int, changed: float) -> None:
+        for i in range(start, n):
+            if not alive[i]:
+                continue
+            word, place, length = found[i]
+            if word - changed > reach:
+                return
+            cover, first = length, word
+            for j in range(i - 1, -1, -1):
+                w, p, m = found[j]
+                if word - w > reach:
+                    break
+                if alive[j] and w + m <= word and p + m <= place and word + length - best[j][1] <= reach and best[j][0] + length > cover:
+                    cover, first = best[j][0] + length, best[j][1]
+            if best[i] != (cover, first):
+                best[i], changed = (cover, first), max(changed, word)
+                if cover >= LEAST_COVER * size:
+                    heapq.heappush(queue, (-cover, first, -(word + length - 1), i))
+
+    renew(0, float("inf"))
+    while queue:
+        cover, first, last, i = heapq.heappop(queue)
+        if not alive[i] or best[i] != (-cover, first):
+            continue
+        yield -cover, first, -last
+        start = at = bisect.bisect_left(found, (first - size,))
+        while at < n and found[at][0] <= -last:
+            alive[at] = alive[at] and found[at][0] + found[at][2] <= first
+            at += 1
+        renew(start, -last)
+
+
 class LicenseScanner:
     def __init__(self, templates=TEMPLATES, phrases=PHRASES):
         self.labels = [label for label, _ in templates]
@@ -180,30 +227,9 @@ class LicenseScanner:
                     by_template.setdefault(template, []).extend((places[end] - length + 1, p - length + 1, length) for p in ends)
         out = []
         for template, found in by_template.items():
-            found.sort()
-            while (chain := self._chain(found, self.sizes[template])) is not None:
-                cover, first, last = chain
-                out.append((template, cover / self.sizes[template], first, last))
-                found = [x for x in found if x[0] > last or x[0] + x[2] <= first]
+            out += [(template, cover / self.sizes[template], first, last) for cover, first, last in chains(sorted(found), self.sizes[template])]
         return spoken, out
 
-    def _chain(self, found: list[tuple[int, int, int]], size: int) -> tuple[int, int, int] | None:
-        """The chain of runs (word, place in the template, length) that covers most of a template of that size, if it covers enough."""
-        best: list[tuple[int, int]] = []  # covered tokens and first word of the best chain that ends with each run
-        top = (0, 0, 0)
-        for i, (word, place, length) in enumerate(found):
-            cover, first = length, word
-            for j in range(i - 1, -1, -1):
-                w, p, n = found[j]
-                if word - w > STRETCH * size:
-                    break
-                if w + n <= word and p + n <= place and word + length - best[j][1] <= STRETCH * size and best[j][0] + length > cover:
-                    cover, first = best[j][0] + length, best[j][1]
-            best.append((cover, first))
-            top = max(top, (cover, -first, word + length - 1))
-        return (top[0], -top[1], top[2]) if top[0] >= LEAST_COVER * size else None
-
-
 def license_report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans), one row for each row of docs.
 
