@@ -94,7 +94,8 @@ def mix(docs: DataFrame, columns: Sequence[str] = ("doc_id",), text_column: str
     size counts words (0 for a null text); taken is size times copies, the number of times
     that the mix holds the document, at most `cap` rounded down. Null is a source of its own,
     the last. Documents without words are taken as often as the whole source is. Equal rows
-    are drawn one by one. Draws depend on the seed, id and text alone, so reruns agree. An
+    are drawn one by one. Draws depend on the seed, id and text, then on the other given columns,
+    so reruns agree. An
     empty table gives no rows. Columns that bear the names above give way to them.
 
     options: weights=(5, 2, 1), share=1.5, cap=2.0, seed=17; see `targets`.
@@ -115,6 +116,8 @@ def _mixed(docs: DataFrame, columns: Sequence[str], text_column: str, source_col
         F.coalesce(F.regexp_count(text_column, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_column), F.col(text_column)).alias("draw"),
     ).withColumn("bucket", F.pmod("draw", F.lit(BUCKETS)))
+    # rows of equal id and text may differ elsewhere: then all that is given of them decides
+    tie = F.xxhash64(*(F.to_json(F.struct(F.col(f"own.`{c}`"))) if "map" in docs.schema[c].dataType.simpleString() else F.col(f"own.`{c}`") for c in columns))
     key = ["source", "known", "size"]
     buckets = keep(rows.groupBy(*key, "bucket").agg(F.count("*").alias("held")))
     lengths = buckets.groupBy(*key).agg(F.sum("held").alias("held"))
@@ -131,7 +134,7 @@ def _mixed(docs: DataFrame, columns: Sequence[str], text_column: str, source_col
     planned = lengths.join(aims, ["source", "known"]).select("source", "known", "size", "held", "source_size", "target").groupBy("source", "known").applyInPandas(plan, f"{kind}, whole long, take long")
     before = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     quota = buckets.join(planned.drop("held"), key).withColumn("quota", F.col("take") - F.coalesce(F.sum("held").over(before), F.lit(0)))
-    ranked = rows.join(quota.drop("take", "held"), [*key, "bucket"]).withColumn("place", F.row_number().over(Window.partitionBy(*key, "bucket").orderBy("draw")))
+    ranked = rows.join(quota.drop("take", "held"), [*key, "bucket"]).withColumn("place", F.row_number().over(Window.partitionBy(*key, "bucket").orderBy("draw", tie)))
     copies = F.col("whole") + (F.col("place") <= F.col("quota")).cast("long")
     return ranked.withColumn("copies", copies).select("own", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), "copies")
 
