@@ -116,6 +116,13 @@ def log_survival(family: str | Column, t: Column, p1: Column, p2: Column) -> Col
     return F.when(t <= 0, F.lit(0.0)).otherwise(positive)
 
 
+def log_group_survival(age: Column, family: Column, p1: Column, p2: Column, shift: Column, atom: Column) -> Column:
+    """ln P(T >= age), in seconds, of a group that begins at `shift` with a mass `atom` there: 0 up to and at the shift,
+    then the family's in days beyond it; minus infinity where nothing is left."""
+    after = F.when(atom < 1, F.log1p(-atom) + log_survival(family, (age - shift) / 86400.0, p1, p2)).otherwise(F.lit(float("-inf")))
+    return F.when((age <= shift) | (age <= 0), F.lit(0.0)).otherwise(after)
+
+
 def log_density(family: str | Column, t: Column, p1: Column, p2: Column) -> Column:
     """ln f(t) for t > 0, else null; parameters as for `log_survival`."""
     ratio = F.pow(t / p2, p1)

@@ -8,11 +8,12 @@ parameters, whose number is that of origins and groups.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import log_density, log_interval, log_survival, normal_survival, safe_ratio
+from ..functions.columns import log_density, log_group_survival, log_interval, log_normal_survival, log_survival, safe_ratio
 from ..sources.tables import shared_folder
 from .journey import EXACT, INTERVAL, RIGHT
 
@@ -74,70 +75,118 @@ def _moments(prefix: str = "") -> list[Column]:
     return [F.sum("w").alias(f"{prefix}n"), F.sum(F.col("w") * x).alias(f"{prefix}s1"), F.sum(F.col("w") * x * x).alias(f"{prefix}s2")]
 
 
-def fit_competing_lognormal(steps: DataFrame, groups: DataFrame, keys: list[str], *, weight: str | None = None, iterations: int = 30, alpha: float = 0.25, shrink: float = 2.0, every: int = 5, tolerance: float = 1e-6) -> DataFrame:
-    """Pi, mu and sigma (of ln days) of each duration group, by expectation and maximisation with right censoring.
+def _tails(low: str, high: str) -> tuple[Column, Column]:
+    """ln of the two tails whose difference is P(low < Z <= high) for standard normal Z, the larger one first; a null bound is infinite.
 
-    Exact steps enter as sums by group. Censored ones have no destination: aggregated to
-    distinct durations, each is shared out over its origin's groups by pi times survival, with
-    the moments of a normal cut off below. mu is drawn to the origin's mean by `shrink`
-    pseudo-observations, pi smoothed by `alpha`. Iterations end when mu, sigma and pi move by less
-    than `tolerance` between two cuts of their lineage, a row an origin and group each, or after
-    `iterations`. Also whether sigma lies at a bound.
+    They lie on the side where both are small, so that nothing cancels.
     """
-    rows = steps.filter(F.col("eligible") & (F.col("dur_min") > 0)).withColumn("w", F.col(weight).cast("double") if weight else F.lit(1.0)).filter("w > 0")
-    exact = rows.filter(F.col("censoring") == EXACT).join(groups.select(*keys, "dest", "grp"), [*keys, "dest"])
-    stats = exact.groupBy(*keys, "grp").agg(*_moments("e_"))
-    origin = exact.groupBy(*keys).agg(*_moments("o_"))
-    censored = rows.filter(F.col("censoring") == RIGHT).groupBy(*keys, "dur_min").agg(F.sum("w").alias("w")).withColumn("c", F.log(F.col("dur_min") / DAY))
-    stats = checkpointed(stats.join(origin, keys).withColumn("o_mean", F.col("o_s1") / F.col("o_n")).withColumn("size", F.count("*").over(Window.partitionBy(*keys))))
-    censored = checkpointed(censored.join(stats.select(*keys).distinct(), keys, "left_semi"))
+    upper = F.coalesce(F.col(low) > 0, F.lit(False))
+    near, far = F.when(upper, F.col(low)).otherwise(-F.col(high)), F.when(upper, F.col(high)).otherwise(-F.col(low))
+    tail = lambda z, missing: F.when(z.isNull(), F.lit(missing)).otherwise(log_normal_survival(z))
+    return tail(near, 0.0), tail(far, float("-inf"))
+
+
+def fit_competing_lognormal(steps: DataFrame, groups: DataFrame, keys: list[str], *, weight: str | None = None, iterations: int = 30, alpha: float = 0.25, shrink: float = 2.0, every: int = 5, tolerance: float = 1e-6, timeout: float | None = None, silence: str = "sem_acao") -> DataFrame:
+    """Pi, mu and sigma (of ln days) of each duration group, by expectation and maximisation with censoring.
+
+    Exact steps enter as sums by group. Right-censored steps have no destination: aggregated to
+    distinct durations, each is shared out over its origin's groups by pi times the chance of
+    its bounds, with the moments of a normal cut off there. Interval-censored ones (dur_min <
+    T <= dur_max; dur_min may be 0) are cut off on both sides; those that know their destination
+    go to its group. mu is drawn to the origin's mean by `shrink` pseudo-observations, pi
+    smoothed by `alpha`.
+
+    With a `timeout` (seconds) the groups of destinations named `silence` begin there: a mass
+    `atom` lies at the timeout itself, the rest is log-normal in the time after it, and
+    censored steps take part in both. A group that never ends later is its atom alone.
+
+    Iterations end when parameters move by less than `tolerance` between two cuts of their
+    lineage, a row an origin and group each, or after `iterations`. Also whether sigma lies at a bound.
+    """
+    known = groups.withColumn("shift", F.when(F.col("dest").startswith(silence), F.lit(float(timeout))).otherwise(0.0) if timeout is not None else F.lit(0.0))
+    kept = F.col("eligible") & ((F.col("dur_min") > 0) | (F.col("censoring") == INTERVAL))
+    rows = steps.filter(kept).withColumn("w", F.col(weight).cast("double") if weight else F.lit(1.0)).filter("w > 0")
+    exact = rows.filter(F.col("censoring") == EXACT).join(known.select(*keys, "dest", "grp", "shift"), [*keys, "dest"])
+    at = (F.col("shift") > 0) & (F.col("dur_min") - F.col("shift") <= 1.0)
+    past = F.when(at, None).otherwise(F.log((F.col("dur_min") - F.col("shift")) / DAY))
+    exact = exact.withColumn("x", past).withColumn("a", F.when(at, F.col("w")).otherwise(0.0)).withColumn("w", F.when(at, 0.0).otherwise(F.col("w")))
+    sums = lambda prefix: [F.sum("w").alias(f"{prefix}n"), F.coalesce(F.sum(F.col("w") * F.col("x")), F.lit(0.0)).alias(f"{prefix}s1"), F.coalesce(F.sum(F.col("w") * F.col("x") * F.col("x")), F.lit(0.0)).alias(f"{prefix}s2")]
+    stats = exact.groupBy(*keys, "grp", "shift").agg(*sums("e_"), F.sum("a").alias("e_a"))
+    origin = exact.filter("shift = 0").groupBy(*keys).agg(*sums("o_"))
+    stats = stats.join(origin, keys, "left").withColumn("size", F.count("*").over(Window.partitionBy(*keys)))
+    own = F.when(F.col("e_n") > 0, F.col("e_s1") / F.col("e_n"))
+    stats = checkpointed(stats.withColumn("o_mean", F.coalesce(F.when(F.col("shift") > 0, own).otherwise(F.col("o_s1") / F.col("o_n")), F.lit(0.0))).drop("o_n", "o_s1", "o_s2"))
+    hidden = rows.filter(F.col("censoring").isin(RIGHT, INTERVAL))
+    hidden = hidden.withColumn("dest", F.when(F.col("censoring") == INTERVAL, F.col("dest"))).withColumn("dur_max", F.when(F.col("censoring") == INTERVAL, F.col("dur_max")))
+    hidden = hidden.join(known.select(*keys, "dest", F.col("grp").alias("own_grp")), [*keys, "dest"], "left").filter("dest is null or own_grp is not null")
+    hidden = hidden.groupBy(*keys, "own_grp", "dur_min", "dur_max").agg(F.sum("w").alias("w"))
+    hidden = checkpointed(hidden.join(stats.select(*keys).distinct(), keys, "left_semi"))
 
     low, high = SIGMA
     clamp = lambda v: F.least(F.greatest(F.sqrt(F.greatest(v, F.lit(0.0))), F.lit(low)), F.lit(high))
 
     def maximise(df: DataFrame) -> DataFrame:
-        n = F.col("e_n") + F.col("c_n")
-        mu = (F.col("e_s1") + F.col("c_s1") + shrink * F.col("o_mean")) / (n + shrink)
-        df = df.withColumn("pi", (n + alpha) / (F.sum(n).over(Window.partitionBy(*keys)) + alpha * F.col("size"))).withColumn("mu", mu)
-        second = (F.col("e_s2") + F.col("c_s2")) / n - 2 * F.col("mu") * (F.col("e_s1") + F.col("c_s1")) / n + F.col("mu") * F.col("mu")
-        return df.withColumn("sigma", clamp(second))
-
-    params = maximise(stats.withColumn("c_n", F.lit(0.0)).withColumn("c_s1", F.lit(0.0)).withColumn("c_s2", F.lit(0.0)))
+        tail, mass = F.col("e_n") + F.col("c_n"), F.col("e_a") + F.col("c_a")
+        mu = (F.col("e_s1") + F.col("c_s1") + shrink * F.col("o_mean")) / F.greatest(tail + shrink, F.lit(1e-300))
+        df = df.withColumn("pi", (tail + mass + alpha) / (F.sum(tail + mass).over(Window.partitionBy(*keys)) + alpha * F.col("size"))).withColumn("mu", mu)
+        second = (F.col("e_s2") + F.col("c_s2")) / tail - 2 * F.col("mu") * (F.col("e_s1") + F.col("c_s1")) / tail + F.col("mu") * F.col("mu")
+        return df.withColumn("sigma", clamp(F.when(tail > 0, second).otherwise(0.0))).withColumn("atom", F.when(F.col("shift") > 0, mass / (tail + mass)).otherwise(0.0))
+
+    names = ("c_n", "c_s1", "c_s2", "c_a")
+    params = maximise(stats.select("*", *(F.lit(0.0).alias(c) for c in names)))
     params_cut = None
     for i in range(iterations):
-        z = (F.col("c") - F.col("mu")) / F.col("sigma")
-        tail = F.greatest(normal_survival(F.col("z")), F.lit(1e-300))
-        mills = F.when(F.col("z") > 8, F.col("z") + 1 / F.col("z")).otherwise(F.exp(-F.col("z") * F.col("z") / 2) / math.sqrt(2 * math.pi) / F.col("tail"))
-        joined = censored.join(params.select(*keys, "grp", "pi", "mu", "sigma"), keys).withColumn("z", z).withColumn("tail", tail).withColumn("lambda", mills)
-        share = F.col("pi") * F.col("tail")
-        joined = joined.withColumn("rho", F.col("w") * share / F.sum(share).over(Window.partitionBy(*keys, "dur_min")))
-        first = F.col("mu") + F.col("sigma") * F.col("lambda")
-        second = F.pow("mu", F.lit(2)) + 2 * F.col("mu") * F.col("sigma") * F.col("lambda") + F.pow("sigma", F.lit(2)) * (1 + F.col("z") * F.col("lambda"))
-        hidden = joined.groupBy(*keys, "grp").agg(F.sum("rho").alias("c_n"), F.sum(F.col("rho") * first).alias("c_s1"), F.sum(F.col("rho") * second).alias("c_s2"))
-        params = maximise(stats.join(hidden, [*keys, "grp"], "left").fillna(0.0, ["c_n", "c_s1", "c_s2"]))
+        joined = hidden.join(params.select(*keys, "grp", "shift", "atom", "pi", "mu", "sigma"), keys).filter("own_grp is null or own_grp = grp")
+        z = lambda c: F.when(F.col(c) > F.col("shift"), (F.log((F.col(c) - F.col("shift")) / DAY) - F.col("mu")) / F.col("sigma"))
+        joined = joined.withColumn("z1", z("dur_min")).withColumn("z2", z("dur_max")).withColumn("none", F.coalesce(F.col("dur_max") <= F.col("shift"), F.lit(False)))
+        larger, smaller = _tails("z1", "z2")
+        joined = joined.withColumn("_larger", larger).withColumn("_smaller", smaller)
+        joined = joined.withColumn("log_tail", F.col("_larger") + F.log(F.greatest(-F.expm1(F.col("_smaller") - F.col("_larger")), F.lit(1e-300))))
+        joined = joined.withColumn("tail", F.when(F.col("none"), 0.0).otherwise(F.greatest(F.exp("log_tail"), F.lit(1e-300))))
+        inside = (F.col("shift") > 0) & (F.col("dur_min") <= F.col("shift")) & F.coalesce(F.col("dur_max") >= F.col("shift"), F.lit(True))
+        joined = joined.withColumn("mass", F.when(inside, F.col("atom")).otherwise(0.0)).withColumn("rest", (1 - F.col("atom")) * F.col("tail"))
+        share = F.col("pi") * (F.col("mass") + F.col("rest"))
+        joined = joined.withColumn("rho", F.col("w") * safe_ratio(share, F.sum(share).over(Window.partitionBy(*keys, "own_grp", "dur_min", "dur_max"))))
+        joined = joined.withColumn("tail_rho", F.coalesce(F.col("rho") * safe_ratio(F.col("rest"), F.col("mass") + F.col("rest")), F.lit(0.0)))
+        over = lambda c: F.when(F.col(c).isNull(), 0.0).otherwise(F.exp(-F.col(c) * F.col(c) / 2 - 0.9189385332046727 - F.col("log_tail")))
+        joined = joined.withColumn("d1", over("z1")).withColumn("d2", over("z2"))
+        slope = F.col("d1") - F.col("d2")
+        first = F.col("mu") + F.col("sigma") * slope
+        bend = 1 + F.coalesce(F.col("z1"), F.lit(0.0)) * F.col("d1") - F.coalesce(F.col("z2"), F.lit(0.0)) * F.col("d2")
+        second = F.col("mu") * F.col("mu") + 2 * F.col("mu") * F.col("sigma") * slope + F.col("sigma") * F.col("sigma") * bend
+        found = joined.groupBy(*keys, "grp").agg(F.sum("tail_rho").alias("c_n"), F.sum(F.col("tail_rho") * first).alias("c_s1"), F.sum(F.col("tail_rho") * second).alias("c_s2"), F.sum(F.coalesce(F.col("rho") - F.col("tail_rho"), F.lit(0.0))).alias("c_a"))
+        params = maximise(stats.join(found, [*keys, "grp"], "left").fillna(0.0, list(names)))
         if (i + 1) % every == 0:
             before, params = params_cut, checkpointed(params)
             params_cut = params
             if before is not None:
-                old = before.select(*keys, "grp", F.col("pi").alias("pi_"), F.col("mu").alias("mu_"), F.col("sigma").alias("sigma_"))
-                moved = F.max(F.greatest(*(F.abs(F.col(c) - F.col(f"{c}_")) for c in ("pi", "mu", "sigma"))))
+                moving = ("pi", "mu", "sigma", "atom")
+                old = before.select(*keys, "grp", *(F.col(c).alias(f"{c}_") for c in moving))
+                moved = F.max(F.greatest(*(F.abs(F.col(c) - F.col(f"{c}_")) for c in moving)))
                 if (params.join(old, [*keys, "grp"]).agg(moved).first()[0] or 0.0) < tolerance:
                     break
-    at_bound = (F.col("sigma") <= low + 1e-9) | (F.col("sigma") >= high - 1e-9)
-    return params.select(*keys, "grp", F.lit("lognormal").alias("family"), F.lit(0.0).alias("shift"), F.lit(0.0).alias("atom"), "pi", "mu", "sigma", F.col("e_n").alias("exact_weight"), F.col("c_n").alias("censored_weight"), at_bound.alias("at_bound"))
+    at_bound = (F.col("atom") < 1) & ((F.col("sigma") <= low + 1e-9) | (F.col("sigma") >= high - 1e-9))
+    return params.select(*keys, "grp", F.lit("lognormal").alias("family"), "shift", "atom", "pi", "mu", "sigma", (F.col("e_n") + F.col("e_a")).alias("exact_weight"), (F.col("c_n") + F.col("c_a")).alias("censored_weight"), at_bound.alias("at_bound"))
 
 
 def log_likelihood(steps: DataFrame, groups: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
-    """Of each origin the log-likelihood of exact and right-censored steps under the parameters."""
-    rows = steps.filter(F.col("eligible") & (F.col("dur_min") > 0))
-    p = params.select(*keys, "grp", "pi", "mu", "sigma")
-    t = F.col("dur_min") / DAY
+    """Of each origin the log-likelihood of exact, right- and interval-censored steps under the parameters."""
+    rows = steps.filter(F.col("eligible") & ((F.col("dur_min") > 0) | (F.col("censoring") == INTERVAL)))
+    p = params.select(*keys, "grp", "pi", "mu", "sigma", *(F.col(c) if c in params.columns else F.lit(0.0).alias(c) for c in ("shift", "atom")))
+    survival = lambda c: F.exp(log_group_survival(F.col(c), F.lit("lognormal"), F.col("mu"), F.col("sigma"), F.col("shift"), F.col("atom")))
     exact = rows.filter(F.col("censoring") == EXACT).join(groups.select(*keys, "dest", "grp", "r"), [*keys, "dest"]).join(p, [*keys, "grp"])
-    exact = exact.select(*keys, (F.log(F.col("pi") * F.col("r")) + log_density("lognormal", t, F.col("mu"), F.col("sigma"))).alias("ll"))
-    right = rows.filter(F.col("censoring") == RIGHT).groupBy(*keys, "dur_min").agg(F.count("*").alias("w")).join(p, keys)
-    right = right.groupBy(*keys, "dur_min", "w").agg(F.sum(F.col("pi") * F.exp(log_survival("lognormal", t, F.col("mu"), F.col("sigma")))).alias("s"))
-    right = right.select(*keys, (F.col("w") * F.log(F.greatest("s", F.lit(1e-300)))).alias("ll"))
-    return exact.unionByName(right).groupBy(*keys).agg(F.sum("ll").alias("log_likelihood"), F.count("*").alias("terms"))
+    at = (F.col("shift") > 0) & (F.col("dur_min") - F.col("shift") <= 1.0)
+    density = F.log1p(-F.col("atom")) + log_density("lognormal", (F.col("dur_min") - F.col("shift")) / DAY, F.col("mu"), F.col("sigma"))
+    exact = exact.select(*keys, (F.log(F.col("pi") * F.col("r")) + F.when(at, F.log("atom")).otherwise(density)).alias("ll"))
+    hidden = rows.filter(F.col("censoring").isin(RIGHT, INTERVAL)).withColumn("dest", F.when(F.col("censoring") == INTERVAL, F.col("dest")))
+    hidden = hidden.withColumn("dur_max", F.when(F.col("censoring") == INTERVAL, F.col("dur_max"))).groupBy(*keys, "dest", "dur_min", "dur_max").agg(F.count("*").alias("w"))
+    hidden = hidden.join(groups.select(*keys, "dest", F.col("grp").alias("own_grp"), F.col("r").alias("own_r")), [*keys, "dest"], "left").filter("dest is null or own_grp is not null")
+    # a timeout at the upper bound ends within the interval: its atom counts
+    upper = F.when((F.col("shift") > 0) & (F.col("dur_max") == F.col("shift")), 1 - F.col("atom")).otherwise(survival("dur_max"))
+    chance = F.col("pi") * F.coalesce("own_r", F.lit(1.0)) * (survival("dur_min") - F.when(F.col("dur_max").isNull(), 0.0).otherwise(upper))
+    hidden = hidden.join(p, keys).filter("own_grp is null or own_grp = grp").groupBy(*keys, "dest", "dur_min", "dur_max", "w").agg(F.sum(chance).alias("s"))
+    hidden = hidden.select(*keys, (F.col("w") * F.log(F.greatest("s", F.lit(1e-300)))).alias("ll"))
+    return exact.unionByName(hidden).groupBy(*keys).agg(F.sum("ll").alias("log_likelihood"), F.count("*").alias("terms"))
 
 
 def fit_timeout_atom(steps: DataFrame, keys: list[str], timeout: float, tolerance: float = 1.0, pure: float = 0.999) -> DataFrame:
@@ -154,8 +203,7 @@ def fit_timeout_atom(steps: DataFrame, keys: list[str], timeout: float, toleranc
 
 def atom_survival(age: Column, shift: Column, atom: Column, mu: Column, sigma: Column) -> Column:
     """P(T >= age) of an atom at the shift and a shifted lognormal tail; at the atom itself all mass is still there."""
-    tail = F.coalesce(F.exp(log_survival("lognormal", (age - shift) / DAY, mu, sigma)), F.lit(0.0))
-    return F.when(age <= shift, F.lit(1.0)).otherwise((1 - atom) * tail)
+    return F.coalesce(F.exp(log_group_survival(age, F.lit("lognormal"), mu, sigma, shift, atom)), F.lit(0.0))
 
 
 def fit_families(steps: DataFrame, keys: list[str]) -> DataFrame:
@@ -177,14 +225,129 @@ def fit_families(steps: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "n", F.explode(options).alias("f")).select(*keys, "n", "f.*")
 
 
+#: Families in location and scale: z = (ln t - mu) / sigma. ln S, ln of the density of z, its slope and bend, slope and bend of ln S.
+def _standard(family: str, z: Column) -> dict[str, Column]:
+    e = F.exp(F.least(z, F.lit(700.0)))
+    if family in ("weibull", "exponential"):
+        return {"log_s": -e, "log_g": z - e, "s1": 1 - e, "s2": -e, "r1": -e, "r2": -e}
+    if family == "loglogistic":
+        p = 1 / (1 + F.exp(F.least(-z, F.lit(700.0))))
+        tail = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
+        return {"log_s": -tail, "log_g": z - 2 * tail, "s1": 1 - 2 * p, "s2": -2 * p * (1 - p), "r1": -p, "r2": -p * (1 - p)}
+    tail = log_normal_survival(z)
+    log_g = -z * z / 2 - 0.9189385332046727
+    hazard = F.exp(log_g - tail)
+    return {"log_s": tail, "log_g": log_g, "s1": -z, "s2": F.lit(-1.0), "r1": -hazard, "r2": -hazard * (hazard - z)}
+
+
+#: Parameters of each family; the exponential's sigma is 1.
+FAMILIES = {"exponential": 1, "weibull": 2, "loglogistic": 2, "lognormal": 2}
+
+
+def _terms(grouped: DataFrame, params: DataFrame, keys: list[str], family: str) -> DataFrame:
+    """Of each key the log-likelihood of grouped durations and its first and second derivatives by mu and ln sigma, as sums."""
+    rows = grouped.join(params.filter(F.col("family") == family).select(*keys, "mu", "ls"), keys)
+    z = lambda c: F.when(F.col(c) > 0, (F.log(F.col(c) / DAY) - F.col("mu")) / F.exp("ls"))
+    rows = rows.withColumn("z1", z("dur_min")).withColumn("z2", F.when(F.col("censoring") == INTERVAL, z("dur_max")))
+    for c in ("z1", "z2"):
+        rows = rows.select("*", F.struct(*(e.alias(n) for n, e in _standard(family, F.col(c)).items())).alias(f"f{c[1]}"))
+    sigma, exact, right = F.exp("ls"), F.col("censoring") == EXACT, F.col("censoring") == RIGHT
+    one, bend = F.when(exact, F.col("f1.s1")).otherwise(F.col("f1.r1")), F.when(exact, F.col("f1.s2")).otherwise(F.col("f1.r2"))
+    point = {
+        "ll": F.when(exact, F.col("f1.log_g") - F.col("ls") - F.log(F.col("dur_min") / DAY)).otherwise(F.col("f1.log_s")),
+        "m": -one / sigma,
+        "l": -F.col("z1") * one - F.when(exact, 1.0).otherwise(0.0),
+        "mm": bend / (sigma * sigma),
+        "ml": (bend * F.col("z1") + one) / sigma,
+        "ll2": F.col("z1") * one + F.col("z1") * F.col("z1") * bend,
+    }
+    # an interval: densities at its bounds over its chance; at 0 the lower one vanishes
+    log_s1 = F.coalesce("f1.log_s", F.lit(0.0))
+    rows = rows.withColumn("log_d", log_s1 + F.log(F.greatest(-F.expm1(F.col("f2.log_s") - log_s1), F.lit(1e-300))))
+    rows = rows.withColumn("g1", F.coalesce(F.exp(F.col("f1.log_g") - F.col("log_d")), F.lit(0.0))).withColumn("g2", F.exp(F.col("f2.log_g") - F.col("log_d")))
+    z1, t1 = F.coalesce("z1", F.lit(0.0)), F.coalesce("f1.s1", F.lit(0.0))
+    z2, t2 = F.col("z2"), F.col("f2.s1")
+    a, b = (F.col("g1") - F.col("g2")) / sigma, z1 * F.col("g1") - z2 * F.col("g2")
+    between = {
+        "ll": F.col("log_d"),
+        "m": a,
+        "l": b,
+        "mm": -(F.col("g1") * t1 - F.col("g2") * t2) / (sigma * sigma) - a * a,
+        "ml": -(F.col("g1") * (z1 * t1 + 1) - F.col("g2") * (z2 * t2 + 1)) / sigma - a * b,
+        "ll2": -(F.col("g1") * z1 * (1 + z1 * t1) - F.col("g2") * z2 * (1 + z2 * t2)) - b * b,
+    }
+    sums = [F.sum(F.col("weight") * F.when(exact | right, point[c]).otherwise(between[c])).alias(c) for c in point]
+    return rows.groupBy(*keys).agg(*sums, F.sum("weight").alias("n")).withColumn("family", F.lit(family))
+
+
+def maximise_families(steps: DataFrame, keys: list[str], *, families: tuple[str, ...] = tuple(FAMILIES), rounds: int = 40, tolerance: float = 1e-7) -> DataFrame:
+    """Maximum likelihood of duration families for exact, right- and interval-censored durations.
+
+    Newton steps in mu and ln sigma from moments of the exact durations; a step after which the
+    likelihood is lower is halved. What the rounds go over is one row a distinct duration and
+    kind; each round is a sum of it by key and family, and only that sum's table goes on, cut
+    from its lineage. Rounds end when no gradient exceeds `tolerance` a unit of weight. Columns:
+    keys, family, p1, p2 (as in `log_survival`), parameters, n, log_likelihood, gradient (a unit
+    of weight), aic, delta_aic. Keys without two different exact durations have no rows.
+    """
+    grouped = checkpointed(grouped_durations(steps.filter((F.col("dur_min") > 0) | (F.col("censoring") == INTERVAL)), keys).filter(F.col("censoring").isin(EXACT, RIGHT, INTERVAL)))
+    x = F.log(F.col("dur_min") / DAY)
+    start = grouped.filter((F.col("censoring") == EXACT) & (F.col("dur_min") > 0)).groupBy(*keys)
+    start = start.agg(F.sum("weight").alias("k"), F.sum(F.col("weight") * x).alias("s1"), F.sum(F.col("weight") * x * x).alias("s2"), F.sum(F.col("weight") * F.col("dur_min") / DAY).alias("days"))
+    mean, spread = F.col("s1") / F.col("k"), F.sqrt(F.greatest(F.col("s2") / F.col("k") - F.pow(F.col("s1") / F.col("k"), 2), F.lit(0.0)))
+    start = start.filter("k >= 2").withColumn("mean", mean).withColumn("spread", spread).filter("spread > 1e-9")
+    sigma = {"weibull": F.col("spread") * (math.sqrt(6) / math.pi), "loglogistic": F.col("spread") * (math.sqrt(3) / math.pi), "lognormal": F.col("spread"), "exponential": F.lit(1.0)}
+    mu = {"weibull": F.col("mean") + 0.5772156649015329 * sigma["weibull"], "exponential": F.log(F.col("days") / F.col("k"))}
+    first = [F.struct(F.lit(f).alias("family"), mu.get(f, F.col("mean")).alias("mu"), F.log(sigma[f]).alias("ls")) for f in families]
+    params = start.select(*keys, F.explode(F.array(*first)).alias("f")).select(*keys, "f.*", *(F.lit(None).cast("double").alias(c) for c in ("base_mu", "base_ls", "base_ll")), F.lit(False).alias("done"))
+    params = checkpointed(params)
+    for _ in range(rounds):
+        sums = reduce(DataFrame.unionByName, [_terms(grouped, params, keys, f) for f in families])
+        at = params.select(*keys, "family", "mu", "ls", "base_mu", "base_ls", "base_ll").join(sums, [*keys, "family"])
+        gradient = F.greatest(F.abs("m"), F.when(F.col("family") == "exponential", 0.0).otherwise(F.abs("l"))) / F.col("n")
+        # while the last step lost likelihood, its half is tried from where it began
+        lost = F.coalesce(F.isnan("ll") | (F.col("ll") < F.col("base_ll") - 1e-9 * F.abs("base_ll")), F.lit(False))
+        at = at.withColumn("gradient", gradient).withColumn("lost", lost)
+        fixed = F.col("family") == "exponential"
+        det = F.col("mm") * F.col("ll2") - F.col("ml") * F.col("ml")
+        concave = (F.col("mm") < 0) & (det > 0)
+        down = lambda c: F.when(F.abs(c) < 2, c).otherwise(2 * F.signum(c))
+        step_m = F.when(fixed, -F.col("m") / F.col("mm")).when(concave, -(F.col("ll2") * F.col("m") - F.col("ml") * F.col("l")) / det).otherwise(F.col("m") / F.greatest(F.abs("mm"), F.col("n") * 1e-3))
+        step_l = F.when(fixed, 0.0).when(concave, -(F.col("mm") * F.col("l") - F.col("ml") * F.col("m")) / det).otherwise(F.col("l") / F.greatest(F.abs("ll2"), F.col("n") * 1e-3))
+        moved = at.select(
+            *keys, "family", "n", "gradient",
+            F.when(F.col("lost"), (F.col("mu") + F.col("base_mu")) / 2).when(F.col("gradient") < tolerance, F.col("mu")).otherwise(F.col("mu") + down(step_m)).alias("mu"),
+            F.when(F.col("lost"), (F.col("ls") + F.col("base_ls")) / 2).when(F.col("gradient") < tolerance, F.col("ls")).otherwise(F.col("ls") + down(step_l)).alias("ls"),
+            *(F.when(F.col("lost"), F.col(f"base_{c}")).otherwise(F.col(c)).alias(f"base_{c}") for c in ("mu", "ls", "ll")),
+            (~F.col("lost") & (F.col("gradient") < tolerance)).alias("done"),
+        )
+        params = checkpointed(moved)
+        if params.filter("not done").isEmpty():
+            break
+    scale = F.exp("base_ls")
+    p1 = F.when(F.col("family") == "lognormal", F.col("base_mu")).when(F.col("family") == "exponential", 1.0).otherwise(1 / scale)
+    p2 = F.when(F.col("family") == "lognormal", scale).otherwise(F.exp("base_mu"))
+    number = reduce(lambda c, f: F.when(F.col("family") == f, F.lit(FAMILIES[f])).otherwise(c), families, F.lit(None).cast("int"))
+    out = params.select(*keys, "family", p1.alias("p1"), p2.alias("p2"), number.alias("parameters"), "n", F.col("base_ll").alias("log_likelihood"), "gradient", "done")
+    out = out.withColumn("aic", 2 * F.col("parameters") - 2 * F.col("log_likelihood"))
+    return out.withColumn("delta_aic", F.col("aic") - F.min("aic").over(Window.partitionBy(*keys)))
+
+
 def compare_families(steps: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
-    """Log-likelihood, AIC and its distance to the best of each family, and the holdout's mean negative log-likelihood by kind of censoring. An interval may begin at 0."""
-    rows = steps.filter(F.col("eligible") & ((F.col("dur_min") > 0) | (F.col("censoring") == INTERVAL))).join(fits.drop("n"), keys)
+    """Log-likelihood, AIC and its distance to the best of each family, and the holdout's mean negative log-likelihood by kind of censoring. An interval may begin at 0.
+
+    Each family has a projection of its own, so that the generated code of each stays small.
+    """
+    used = steps.filter(F.col("eligible") & ((F.col("dur_min") > 0) | (F.col("censoring") == INTERVAL)))
     low, high, p1, p2 = F.col("dur_min") / DAY, F.col("dur_max") / DAY, F.col("p1"), F.col("p2")
-    ll = F.when(F.col("censoring") == EXACT, log_density(F.col("family"), low, p1, p2)).when(F.col("censoring") == INTERVAL, log_interval(F.col("family"), low, high, p1, p2)).when(F.col("censoring") == RIGHT, log_survival(F.col("family"), low, p1, p2))
-    rows = rows.withColumn("ll", ll)
     held = lambda kind: F.avg(F.when(F.col("holdout") & (F.col("censoring") == kind), -F.col("ll")))
-    out = rows.groupBy(*keys, "family", "parameters").agg(F.sum(F.when(~F.col("holdout"), F.col("ll"))).alias("log_likelihood"), held(EXACT).alias("holdout_nll_exact"), held(RIGHT).alias("holdout_nll_right"))
+
+    def judged(family: str) -> DataFrame:
+        ll = F.when(F.col("censoring") == EXACT, log_density(family, low, p1, p2)).when(F.col("censoring") == INTERVAL, log_interval(family, low, high, p1, p2)).when(F.col("censoring") == RIGHT, log_survival(family, low, p1, p2))
+        rows = used.join(fits.filter(F.col("family") == family).select(*keys, "family", "parameters", "p1", "p2"), keys).withColumn("ll", ll)
+        return rows.groupBy(*keys, "family", "parameters").agg(F.sum(F.when(~F.col("holdout"), F.col("ll"))).alias("log_likelihood"), held(EXACT).alias("holdout_nll_exact"), held(RIGHT).alias("holdout_nll_right"))
+
+    out = reduce(DataFrame.unionByName, map(judged, FAMILIES))
     out = out.withColumn("aic", 2 * F.col("parameters") - 2 * F.col("log_likelihood"))
     return out.withColumn("delta_aic", F.col("aic") - F.min("aic").over(Window.partitionBy(*keys)))
 

@@ -12,33 +12,48 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import log_survival, safe_ratio
+from ..functions.columns import log_group_survival, safe_ratio
 from .journey import BASE, NO_MEMORY
-from .models import DAY, checkpointed
+from .models import checkpointed
 from .relational import top_k
 
 
-def _log_group_survival(age: Column) -> Column:
-    """ln S of a group at an age in seconds; p1 and p2 (or mu and sigma) as the family has them."""
-    return log_survival(F.col("family"), age / DAY, F.col("p1"), F.col("p2"))
+def _curves(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """The columns of duration groups that scores use; groups without an atom begin at 0."""
+    zero = [F.col(c) if c in groups.columns else F.lit(0.0).alias(c) for c in ("shift", "atom")]
+    return groups.select(*keys, "grp", "family", "p1", "p2", "pi", *zero)
 
 
-def conditioned(cases: DataFrame, groups: DataFrame, dests: DataFrame, keys: list[str], case: list[str]) -> DataFrame:
-    """q(dest | age) of every case: group weights pi S(age), normalised in log space over all groups, times r.
+def _log_survival_at(age: Column) -> Column:
+    """ln P(T >= age), in seconds, of a row of `_curves`: p1 and p2 (or mu and sigma) as the family has them."""
+    return log_group_survival(age, F.col("family"), F.col("p1"), F.col("p2"), F.col("shift"), F.col("atom"))
+
+
+def group_weights(cases: DataFrame, groups: DataFrame, keys: list[str], case: list[str]) -> DataFrame:
+    """(case, keys, age, grp, weight): pi S(age) of each duration group, normalised in log space over a case's groups.
 
-    cases: case columns, keys, age (seconds); groups: keys, grp, family, p1, p2, pi; dests: keys, dest, grp, r, p.
+    A group whose atom is all that it has is gone after it; a case beyond all its groups has no rows.
     """
-    rows = cases.join(groups.select(*keys, "grp", "family", "p1", "p2", "pi"), keys).withColumn("log_m", F.log("pi") + _log_group_survival(F.col("age")))
+    rows = cases.join(_curves(groups, keys), keys).withColumn("log_m", F.log("pi") + _log_survival_at(F.col("age"))).filter(F.col("log_m") > float("-inf"))
     whole = Window.partitionBy(*case)
     rows = rows.withColumn("m", F.exp(F.col("log_m") - F.max("log_m").over(whole)))
-    rows = rows.withColumn("weight", F.col("m") / F.sum("m").over(whole)).select(*case, *keys, "age", "grp", "weight")
+    return rows.withColumn("weight", F.col("m") / F.sum("m").over(whole)).select(*case, *keys, "age", "grp", "weight")
+
+
+def conditioned(cases: DataFrame, groups: DataFrame, dests: DataFrame, keys: list[str], case: list[str]) -> DataFrame:
+    """q(dest | age) of every case: group weights times r.
+
+    cases: case columns, keys, age (seconds); groups: keys, grp, family, p1, p2, pi, and shift and
+    atom where groups begin later; dests: keys, dest, grp, r, p.
+    """
+    rows = group_weights(cases, groups, keys, case)
     return rows.join(dests.select(*keys, "dest", "grp", "r", "p"), [*keys, "grp"]).withColumn("q", F.col("weight") * F.col("r"))
 
 
 def horizon(cases: DataFrame, groups: DataFrame, dests: DataFrame, keys: list[str], case: list[str], seconds: float) -> DataFrame:
     """Chance that the next state is dest within the horizon, and that there is no exit within it."""
-    rows = cases.join(groups.select(*keys, "grp", "family", "p1", "p2", "pi"), keys)
-    rows = rows.withColumn("now", F.col("pi") * F.exp(_log_group_survival(F.col("age")))).withColumn("later", F.col("pi") * F.exp(_log_group_survival(F.col("age") + seconds)))
+    rows = cases.join(_curves(groups, keys), keys)
+    rows = rows.withColumn("now", F.col("pi") * F.exp(_log_survival_at(F.col("age")))).withColumn("later", F.col("pi") * F.exp(_log_survival_at(F.col("age") + seconds)))
     whole = Window.partitionBy(*case)
     total = F.sum("now").over(whole)
     rows = rows.withColumn("exit_weight", safe_ratio(F.col("now") - F.col("later"), total)).withColumn("no_exit", safe_ratio(F.sum("later").over(whole), total))
@@ -181,9 +196,10 @@ def macro_jumps(edges: DataFrame, macros: DataFrame, tolerance: float = 1e-9, mo
     """
     side = lambda name: macros.select(F.col("node").alias(name), F.col("macro").alias(f"{name}_macro"))
     same = F.coalesce(F.col("src_macro") == F.col("dst_macro"), F.lit(False))
-    named = checkpointed(edges.filter("p > 0").join(side("src"), "src", "left").join(side("dst"), "dst", "left").select("src", "dst", "p", "src_macro", "dst_macro"))
+    named = checkpointed(edges.join(side("src"), "src", "left").join(side("dst"), "dst", "left").select("src", "dst", "p", "src_macro", "dst_macro"))
+    nodes = checkpointed(named.select("src").distinct())
+    named = named.filter("p > 0")
     closed = checkpointed(closed_nodes(named, same))
-    nodes = edges.select("src").distinct()
     leaving = named.join(closed, named.src == closed.node, "left_anti")
     inner = leaving.filter(same)
     into = inner.join(closed, inner.dst == closed.node, "left_semi")
@@ -210,7 +226,7 @@ def macro_jumps(edges: DataFrame, macros: DataFrame, tolerance: float = 1e-9, mo
     landed = landed.join(nodes, "src", "left_semi").select("src", "dst", "p", "kind")
     left = nodes.join(landed.groupBy("src").agg(F.sum("p").alias("done")), "src", "left")
     left = left.select("src", nowhere, F.greatest(1 - F.coalesce("done", F.lit(0.0)), F.lit(0.0)).alias("p"), F.lit("unresolved").alias("kind")).filter(F.col("p") > tolerance)
-    return landed.union(left)
+    return checkpointed(landed.union(left))
 
 
 def macro_scores(first_step: DataFrame, jumps: DataFrame, macros: DataFrame, case: list[str]) -> DataFrame:
@@ -226,29 +242,52 @@ def macro_scores(first_step: DataFrame, jumps: DataFrame, macros: DataFrame, cas
     return scores.withColumn("share", safe_ratio(F.col("score"), F.sum("score").over(Window.partitionBy(*case))))
 
 
-def macro_first_passage(jumps: DataFrame, macros: DataFrame, targets: list[str], k: int) -> DataFrame:
-    """(src, action, change, score) and residual masses over k macro changes: a target is taken on arrival.
+def passage_by_step(jumps: DataFrame, macros: DataFrame, targets: list[str], k: int, terminals: DataFrame | None = None) -> DataFrame:
+    """(src, kind, action, change, score): what happens at each of k macro changes, and what is left after it.
+
+    kind `target`: an action, taken on arrival; `no_model`, `retained`, `unresolved` (see
+    macro_jumps; a node without outgoing edges has no model for what would come next);
+    `terminal`: arrival at one of `terminals` (node), which nothing leaves; `alive`: what goes
+    on after the change. With `alive` of the last change a start's rows, but for `alive`, add up to 1.
 
-    Masses: no_model, retained, unresolved (see macro_jumps), terminal (a node without outgoing edges), step_limit; with the scores they add up to 1.
+    The jumps, a closure of all steps within macros, are one table that all changes share; each
+    change is one join with it, summed by start and node and written.
     """
     side = macros.select(F.col("node").alias("dst"), F.col("macro").alias("dst_macro"))
     moves = jumps.filter("kind = 'jump'").join(side, "dst", "left").withColumn("action", F.when(F.col("dst_macro").isin(targets), F.col("dst_macro"))).select("src", "dst", "p", "action")
-    residual = jumps.filter("kind <> 'jump'").select("src", "kind", "p")
-    known = jumps.select(F.col("src").alias("node")).distinct()
+    if terminals is not None:
+        moves = moves.join(terminals.select(F.col("node").alias("dst"), F.lit(True).alias("ends")), "dst", "left")
+    moves = checkpointed(moves.select("src", "dst", "p", "action", (F.coalesce("ends", F.lit(False)) if terminals is not None else F.lit(False)).alias("ends")))
+    residual = jumps.filter("kind <> 'jump'").select("src", F.when(F.col("kind") == "lost", "no_model").otherwise(F.col("kind")).alias("kind"), "p")
+    known = checkpointed(jumps.select(F.col("src").alias("node")).distinct())
+    if terminals is not None:
+        known = known.join(terminals, "node", "left_anti")
     here = known.select(F.col("node").alias("start"), "node", F.lit(1.0).alias("mass"))
-    hits, rests = [], []
+    parts = []
     for h in range(1, k + 1):
-        rests.append(here.join(residual, here.node == residual.src).select("start", "kind", (F.col("mass") * F.col("p")).alias("p")))
-        moved = here.join(moves, here.node == moves.src).select("start", "dst", (F.col("mass") * F.col("p")).alias("p"), "action")
-        hits.append(moved.filter("action is not null").groupBy("start", "action").agg(F.sum("p").alias("score")).withColumn("change", F.lit(h)))
-        on = moved.filter("action is null").groupBy("start", F.col("dst").alias("node")).agg(F.sum("p").alias("mass"))
-        rests.append(on.join(known, "node", "left_anti").select("start", F.lit("terminal").alias("kind"), F.col("mass").alias("p")))
-        here = on.join(known, "node", "left_semi").select("start", "node", "mass")
-    rests.append(here.select("start", F.lit("step_limit").alias("kind"), F.col("mass").alias("p")))
-    scores = reduce(DataFrame.unionByName, hits).select(F.col("start").alias("src"), "action", "change", "score", F.lit("target").alias("kind"))
-    masses = reduce(DataFrame.unionByName, rests).groupBy("start", "kind").agg(F.sum("p").alias("score"))
-    kind = F.when(F.col("kind") == "lost", "no_model").otherwise(F.col("kind"))
-    return scores.unionByName(masses.select(F.col("start").alias("src"), F.lit(None).cast("string").alias("action"), F.lit(None).cast("int").alias("change"), "score", kind.alias("kind")))
+        at = lambda df, kind, h=h: df.groupBy("start", kind.alias("kind"), "action").agg(F.sum("mass").alias("score")).withColumn("change", F.lit(h))
+        none = F.lit(None).cast("string").alias("action")
+        stay = here.join(residual, here.node == residual.src).select("start", "kind", none, (F.col("mass") * F.col("p")).alias("mass"))
+        parts.append(at(stay, F.col("kind")))
+        if h > 1:
+            parts.append(at(here.join(known, "node", "left_anti").select("start", none, "mass"), F.lit("no_model")))
+        moved = here.join(moves, here.node == moves.src).groupBy("start", "dst", "action", "ends").agg(F.sum(F.col("mass") * F.col("p")).alias("mass"))
+        moved = checkpointed(moved)
+        parts.append(at(moved, F.when(F.col("action").isNotNull(), "target").when(F.col("ends"), "terminal").otherwise("alive")))
+        here = moved.filter("action is null and not ends").select("start", F.col("dst").alias("node"), "mass")
+    return reduce(DataFrame.unionByName, parts).select(F.col("start").alias("src"), "kind", "action", "change", "score")
+
+
+def macro_first_passage(jumps: DataFrame, macros: DataFrame, targets: list[str], k: int, terminals: DataFrame | None = None) -> DataFrame:
+    """(src, action, change, score, kind) and residual masses over k macro changes: a target is taken on arrival.
+
+    Masses: no_model, retained, unresolved, terminal (see `passage_by_step`), step_limit for what
+    is still on its way; with the scores they add up to 1.
+    """
+    rows = passage_by_step(jumps, macros, targets, k, terminals).filter(F.expr(f"kind <> 'alive' or change = {k}"))
+    kind = F.when(F.col("kind") == "alive", "step_limit").otherwise(F.col("kind"))
+    change = F.when(F.col("kind") == "target", F.col("change"))
+    return rows.groupBy("src", "action", change.alias("change"), kind.alias("kind")).agg(F.sum("score").alias("score")).select("src", "action", "change", "score", "kind")
 
 
 def memory_graph(dests: DataFrame, states: DataFrame, start_memories: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -272,24 +311,72 @@ def memory_graph(dests: DataFrame, states: DataFrame, start_memories: DataFrame)
     return edges.select(name("state", "memory").alias("src"), name("dest", memory).alias("dst"), "p"), macros
 
 
-def compiled(passage: DataFrame, dests: DataFrame, macros: DataFrame, targets: list[str], keys: list[str], node_of: Column) -> DataFrame:
-    """Coefficients (keys, grp, action, coefficient): what a unit of weight on a duration group scores for an action.
+def step_coefficients(passage: DataFrame, dests: DataFrame, macros: DataFrame, targets: list[str], keys: list[str], node_of: Column, k: int, own_macro: Column, terminals: DataFrame | None = None) -> DataFrame:
+    """(keys, grp, kind, action, change, coefficient): what a unit of weight on a duration group gives each action at each of k
+    macro changes, and each residual mass; a group's coefficients add up to 1 if its r do.
 
-    A destination that is a target in another macro counts 1 at once; else its node's scores
-    count. A case's score is then the sum over groups of weight times coefficient.
+    passage: see `passage_by_step`; dests: keys, dest, grp, r. `node_of` names the node of a
+    destination, `own_macro` is the macro that the case is in. A destination in another macro is
+    the first change itself, so k - 1 of its node's changes follow; one in the same macro is no
+    change. What is left after the last change is `step_limit`.
+    """
+    named = dests.select(*keys, "grp", "r", node_of.alias("_node"), own_macro.alias("_own")).join(macros.select(F.col("node").alias("_node"), F.col("macro").alias("_macro")), "_node", "left")
+    ends = F.lit(False)
+    if terminals is not None:
+        named, ends = named.join(terminals.select(F.col("node").alias("_node"), F.lit(True).alias("_ends")), "_node", "left"), F.coalesce("_ends", F.lit(False))
+    named = checkpointed(named.withColumn("_used", F.when(F.col("_macro") == F.col("_own"), 0).otherwise(1)).withColumn("_ends", ends))
+    head, away = [*keys, "grp"], F.col("_used") == 1
+    no_action = F.lit(None).cast("string").alias("action")
+    hit = away & F.col("_macro").isin(targets)
+    direct = named.filter(hit).select(*head, F.lit("target").alias("kind"), F.col("_macro").alias("action"), F.lit(1).alias("change"), F.col("r").alias("c"))
+    rest = named.filter(~F.coalesce(hit, F.lit(False)))
+    stop = rest.filter("_ends").select(*head, F.lit("terminal").alias("kind"), no_action, F.col("_used").alias("change"), F.col("r").alias("c"))
+    rest = rest.filter("not _ends")
+    if k == 1:  # a first change elsewhere leaves nothing to go
+        limit = rest.filter(away).select(*head, F.lit("step_limit").alias("kind"), no_action, F.lit(1).alias("change"), F.col("r").alias("c"))
+        rest = rest.filter(~away)
+    # destinations without any way on: nothing is known of what comes next
+    lone = rest.join(passage.select(F.col("src").alias("_node")).distinct(), "_node", "left_anti").select(*head, F.lit("no_model").alias("kind"), no_action, (F.col("_used") + 1).alias("change"), F.col("r").alias("c"))
+    on = rest.join(passage, rest["_node"] == passage["src"]).withColumn("_left", F.lit(k) - F.col("_used"))
+    on = on.filter((F.col("change") <= F.col("_left")) & ((F.col("kind") != "alive") | (F.col("change") == F.col("_left"))))
+    onward = on.select(*head, F.when(F.col("kind") == "alive", "step_limit").otherwise(F.col("kind")).alias("kind"), "action", (F.col("change") + F.col("_used")).alias("change"), (F.col("r") * F.col("score")).alias("c"))
+    rows = reduce(DataFrame.unionByName, [direct, stop, lone, onward, *([limit] if k == 1 else [])])
+    return rows.groupBy(*head, "kind", "action", "change").agg(F.sum("c").alias("coefficient"))
+
+
+def step_scores(weights: DataFrame, coefficients: DataFrame, keys: list[str], case: list[str]) -> DataFrame:
+    """(case, kind, action, change, score) of each case from its group weights; one join and one aggregation."""
+    rows = weights.join(coefficients, [*keys, "grp"]).groupBy(*case, "kind", "action", "change")
+    return rows.agg(F.sum(F.col("weight") * F.col("coefficient")).alias("score"))
+
+
+def score_arrays(scores: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Of each key and action the scores by change as an array, their sum and the likeliest change; the residual masses stand beside, the same for all actions of a key."""
+    steps = F.array(*(F.coalesce(F.sum(F.when(F.col("change") == h, F.col("score"))), F.lit(0.0)) for h in range(1, k + 1)))
+    masses = scores.filter("kind <> 'target'").groupBy(*keys).agg(*(F.coalesce(F.sum(F.when(F.col("kind") == name, F.col("score"))), F.lit(0.0)).alias(name) for name in MASSES))
+    actions = scores.filter("kind = 'target'").groupBy(*keys, "action").agg(steps.alias("by_change"), F.sum("score").alias("score"))
+    best = F.array_position("by_change", F.array_max("by_change")).cast("int")
+    return actions.withColumn("best_change", best).join(masses, keys, "full")
+
+
+MASSES = ("no_model", "terminal", "retained", "unresolved", "step_limit")
+
+
+def routed_scores(cases: DataFrame, supported: DataFrame, parent: tuple[DataFrame, DataFrame], child: tuple[DataFrame, DataFrame], case: list[str]) -> DataFrame:
+    """(case, route, model_context, dest, p, q): every case scored by the model that its route names.
+
+    cases: case columns, state, context, age; parent: dests and groups keyed by state; child:
+    those of contexts, keyed by state and context (see `models.recombined`). A case takes its
+    context's groups where they are fitted, else its origin's; one whose origin has no model
+    keeps one row with a null destination.
     """
-    totals = passage.filter("kind = 'target'").groupBy("src", "action").agg(F.sum("score").alias("score"))
-    named = dests.withColumn("_node", node_of).join(macros.select(F.col("node").alias("_node"), F.col("macro").alias("dest_macro")), "_node", "left")
-    named = named.join(macros.select("state", F.col("macro").alias("own_macro")).distinct(), "state", "left")
-    hit = F.col("dest_macro").isin(targets) & (F.col("dest_macro") != F.col("own_macro"))
-    direct = named.filter(hit).select(*keys, "grp", F.col("dest_macro").alias("action"), F.col("r").alias("c"))
-    onward = named.filter(~F.coalesce(hit, F.lit(False))).join(totals, F.col("_node") == F.col("src")).select(*keys, "grp", "action", (F.col("r") * F.col("score")).alias("c"))
-    return direct.union(onward).groupBy(*keys, "grp", "action").agg(F.sum("c").alias("coefficient"))
-
-
-def compiled_scores(weights: DataFrame, coefficients: DataFrame, keys: list[str], case: list[str]) -> DataFrame:
-    """Score of each case and action from its group weights; one join and one aggregation."""
-    return weights.join(coefficients, [*keys, "grp"]).groupBy(*case, "action").agg(F.sum(F.col("weight") * F.col("coefficient")).alias("score"))
+    (dests, groups), (child_dests, child_groups) = parent, child
+    routes = routed(cases.select(*case, "state", "context", "age"), supported, groups.select("state").distinct(), child_groups.select("state", "context").distinct())
+    stacked = lambda own, of_context: own.withColumn("model_context", F.lit(BASE)).unionByName(of_context.withColumnRenamed("context", "model_context"))
+    dests = stacked(dests.select("state", "dest", "grp", "r", "p"), child_dests.select("state", "context", "dest", "grp", "r", "p"))
+    groups = stacked(groups.select("state", "grp", "family", "p1", "p2", "pi"), child_groups.select("state", "context", "grp", "family", "p1", "p2", "pi"))
+    scored = conditioned(routes.filter("model_context is not null").select(*case, "state", "model_context", "age"), groups, dests, ["state", "model_context"], case)
+    return routes.select(*case, "route", "model_context").join(scored.select(*case, "dest", "p", "q"), case, "left")
 
 
 def distinct_conditions(cases: DataFrame, condition: list[str]) -> DataFrame:

@@ -48,15 +48,20 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.first_target_labels(steps(spark, sf_dir), TARGETS, CHANGES)
 
 
-def current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user of the events with the current state, or none if all events are later than the cut."""
+def written_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps, written once for all that a run makes of them."""
+    return K.checkpointed(steps(spark, sf_dir))
+
+
+def current(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Every user of the events with the current state, or none if all events are later than the cut. `rows`: the steps, if they are at hand."""
     people = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("entity")).filter("entity is not null").distinct()
-    return J.current_states(steps(spark, sf_dir), people, CUT)
+    return J.current_states(steps(spark, sf_dir) if rows is None else rows, people, CUT)
 
 
-def duration_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def duration_groups(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Destinations with group, r and p; groups with pi and a Weibull curve by moments of the log."""
-    rows = steps(spark, sf_dir).filter("not holdout and state is not null")
+    rows = (steps(spark, sf_dir) if rows is None else rows).filter("not holdout and state is not null")
     dests = K.pooled_destinations(rows, ["state"], min_n=20, min_entities=5)
     exact = rows.filter("eligible and censoring = 'exata'").join(dests.select("state", "dest", "grp"), ["state", "dest"])
     fits = K.fit_families(exact, ["state", "grp"]).filter("family = 'weibull'")
@@ -72,9 +77,9 @@ def censored_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return dests, fits.select("state", "grp", "family", F.col("mu").alias("p1"), F.col("sigma").alias("p2"), "pi")
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Transition edges between states."""
-    p = K.transition_frequencies(steps(spark, sf_dir).filter("not holdout"))
+    p = K.transition_frequencies((steps(spark, sf_dir) if rows is None else rows).filter("not holdout"))
     return p.select(F.col("state").alias("src"), F.col("dest").alias("dst"), "p")
 
 

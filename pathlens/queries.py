@@ -598,29 +598,6 @@ def macro_first_passage(spark, d):
     return L.macro_first_passage(L.macro_jumps(S.edges(spark, d), macros), macros, S.TARGETS, S.CHANGES)
 
 
-@query()
-def compiled_scores(spark, d):
-    dests, groups = S.duration_groups(spark, d)
-    macros = _macros(spark, d)
-    passage = L.macro_first_passage(L.macro_jumps(S.edges(spark, d), macros), macros, S.TARGETS, S.CHANGES)
-    table = L.compiled(passage, dests, macros, S.TARGETS, ["state"], F.col("dest"))
-    q = L.conditioned(_cases(spark, d), groups, dests, ["state"], ["entity"]).select("entity", "state", "grp", "weight").distinct()
-    return L.to_long(L.to_lists(L.compiled_scores(q, table, ["state"], ["entity"]), ["entity"]), ["entity"], {"cut": F.lit(S.CUT)})
-
-
-@query()
-def memory_graph_scores(spark, d):
-    rows = S.steps(spark, d).filter("not holdout")
-    dests, _ = S.duration_groups(spark, d)
-    supported = K.context_support(rows).filter("support_status = 'candidato'")
-    child = K.shrunk_contexts(rows, dests, supported).select("state", "context", "dest", "p")
-    both = dests.select("state", F.lit(J.BASE).alias("context"), "dest", "p").unionByName(child)
-    memories = A.dimension(spark, [(J.NO_MEMORY,)], "memory string")
-    edges, macros = L.memory_graph(both, S.states(spark, d), memories)
-    jumps = L.macro_jumps(edges, macros)
-    return L.macro_first_passage(jumps, macros, S.TARGETS, S.CHANGES).groupBy("src", "kind", "action").agg(F.sum("score").alias("score"))
-
-
 @query(sql(FREQUENCIES + """,
 mq as (select entity, split_part(freq.dest, ':::', 1) as macro, sum(p) as score from (select * from st qualify row_number() over (partition by entity order by ts desc) = 1) c join freq using (state) group by 1, 2)""", "select entity, macro, round(score, 9) as score, (row_number() over (partition by entity order by round(score, 9) desc, macro))::int as rank from mq"))
 def immediate_macros(spark, d):
