@@ -22,8 +22,8 @@ from .words import MASKS, U, Words, slices
 #: Terms are runs of ASCII letters and of all characters beyond ASCII.
 TERM_BYTES = np.zeros(256, bool)
 TERM_BYTES[65:91] = TERM_BYTES[97:123] = TERM_BYTES[128:] = True
-#: A task gives its counts away when it has so many, and strings likewise.
-COUNTS, STRINGS = 1 << 19, 1 << 16
+#: A task gives its counts away when it has so many, and strings (some 65 MB) likewise.
+COUNTS, STRINGS = 1 << 19, 1 << 18
 #: Counts of a block of terms, whose shares are compared in one task; sources that a task compares with all others; numbers that lie in memory for it.
 BLOCK, TILE, DENSE = 100_000, 256, 1 << 20
 SHARE = 1_000_000_000
