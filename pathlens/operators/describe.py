@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_ratio
-from .relational import distinct_day_gaps, share_of, with_constants
+from .relational import distinct_day_gaps, exact_quantiles, share_of, with_constants
 
 
 def presence(rows: DataFrame, what: str = "macro") -> DataFrame:
@@ -50,7 +50,8 @@ def calendar_rates(rows: DataFrame, actions: list[str]) -> DataFrame:
 def recurrence(rows: DataFrame) -> DataFrame:
     """Quantiles of the days between an entity's distinct days of an action, and entities and months that have it."""
     gaps = distinct_day_gaps(rows, ["entity", "macro"], "ts")
-    out = gaps.groupBy("macro").agg(F.count("gap_days").alias("gaps"), F.expr("percentile(gap_days, array(0.25, 0.5, 0.75))").alias("q"), F.countDistinct("entity").alias("entities"), F.countDistinct("entity", F.trunc("day", "month")).alias("entity_months"))
+    out = gaps.groupBy("macro").agg(F.count("gap_days").alias("gaps"), F.countDistinct("entity").alias("entities"), F.countDistinct("entity", F.trunc("day", "month")).alias("entity_months"))
+    out = out.join(exact_quantiles(gaps, "gap_days", [0.25, 0.5, 0.75], ("macro",)), "macro", "left")
     return out.select("macro", "gaps", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), "entities", "entity_months")
 
 
@@ -77,7 +78,8 @@ def self_transitions(steps: DataFrame, quick: tuple[float, ...] = (30, 300)) ->
 def censoring_by_state(steps: DataFrame) -> DataFrame:
     """Steps by kind of censoring, and exact quantiles of exact durations."""
     exact = F.when(F.col("censoring") == "exata", F.col("dur_min"))
-    rows = steps.filter("state is not null").withColumn("_d", exact).groupBy("state").agg(F.count("*").alias("steps"), F.count("_d").alias("exact"), F.count_if(F.col("censoring") == "direita").alias("right_censored"), F.expr("percentile(_d, array(0.5, 0.9))").alias("q"))
+    rows = steps.filter("state is not null").withColumn("_d", exact).groupBy("state").agg(F.count("*").alias("steps"), F.count("_d").alias("exact"), F.count_if(F.col("censoring") == "direita").alias("right_censored"))
+    rows = rows.join(exact_quantiles(steps.filter("state is not null").withColumn("_d", exact), "_d", [0.5, 0.9], ("state",)), "state", "left")
     return rows.select("state", "steps", "exact", "right_censored", F.col("q")[0].alias("median"), F.col("q")[1].alias("q90"))
 
 
@@ -93,7 +95,8 @@ def list_concentration(lists: DataFrame, k: int = 5) -> DataFrame:
 def target_coverage(lists: DataFrame, targets: DataFrame) -> DataFrame:
     """Of each target the entities that have it in their list, at the first place, and quantiles of its score; absent targets stay."""
     totals = lists.agg(F.countDistinct("entity").alias("_all"))
-    found = lists.groupBy("action").agg(F.countDistinct("entity").alias("entities"), F.count_if(F.col("rank") == 1).alias("first"), F.avg("score").alias("mean_score"), F.expr("percentile(score, 0.5)").alias("median_score"))
+    found = lists.groupBy("action").agg(F.countDistinct("entity").alias("entities"), F.count_if(F.col("rank") == 1).alias("first"), F.avg("score").alias("mean_score"))
+    found = found.join(exact_quantiles(lists, "score", [0.5], ("action",)), "action", "left").withColumn("median_score", F.col("q")[0]).drop("q")
     out = with_constants(targets.select("action").distinct().join(found, "action", "left").fillna(0, ["entities", "first"]), totals)
     return out.withColumn("share", safe_ratio(F.col("entities"), F.col("_all"))).drop("_all")
 

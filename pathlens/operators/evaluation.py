@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_ratio
 from .journey import CENSORED, HIT, MISSED
-from .relational import in_segments, mean_of_means, running_by_score
+from .relational import exact_quantiles, in_segments, mean_of_means, running_by_score
 
 FLOOR = 1e-15
 
@@ -80,26 +83,64 @@ def entity_summary(rows: DataFrame, keys: list[str], measures: list[str], segmen
 PRIME = 2**31 - 1
 
 
+#: Distribution function of Poisson(1) at 0, 1, 2, ...
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+#: Weights of so many entities and replicates are drawn together.
+DRAWN = 1 << 20
+
+
+def _uniform_numbers(*texts: str) -> list[int]:
+    """From the first 8 hex digits of a text's md5, below the prime."""
+    return [int(hashlib.md5(text.encode()).hexdigest()[:8], 16) % PRIME for text in texts]
+
+
+def _replicate_sums(replicates: int, salt: str, n_keys: int):
+    """A task's sums of each replicate, two arrays a key: weights and weighted differences; an entity stays one row."""
+    powers = np.array([_uniform_numbers(*(f"{salt}|{r}|{c}" for c in ("c3", "c2", "c1", "c0"))) for r in range(1, replicates + 1)], np.int64).T
+
+    def run(batches):
+        sums: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(n_keys)), strict=True)) if n_keys else [()] * batch.num_rows
+            number = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+            of = np.array([number[k] for k in keys], np.int64)
+            x, d = (batch.column(n_keys + i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for key, i in number.items():
+                total = sums.setdefault(key, (np.zeros(replicates, np.int64), np.zeros(replicates)))
+                mine = np.flatnonzero(of == i)
+                step = max(1, DRAWN // replicates)
+                for at in range(0, len(mine), step):
+                    part = mine[at : at + step]
+                    u = np.broadcast_to(powers[0], (len(part), replicates))
+                    for c in powers[1:]:
+                        u = (u * x[part][:, None] + c) % PRIME
+                    u = u / float(PRIME)
+                    w = sum((u > c).astype(np.int8) for c in POISSON)
+                    total[0][:] += w.sum(0, dtype=np.int64)
+                    total[1][:] += d[part] @ w
+        for key, (w, s) in sums.items():
+            yield pa.RecordBatch.from_arrays([*(pa.array([k], batch.schema.field(i).type) for i, k in enumerate(key)), pa.array([w.tolist()], pa.list_(pa.int64())), pa.array([s.tolist()], pa.list_(pa.float64()))], [*batch.schema.names[:n_keys], "w", "s"])
+
+    return run
+
+
 def bootstrap(pairs: DataFrame, reference: str, candidate: str, replicates: int = 2000, salt: str = "bootstrap", keys: tuple[str, ...] = ()) -> DataFrame:
     """Paired bootstrap over entities: mean gain (reference - candidate), its 95 % percentile interval, relative skill.
 
     Each entity is drawn with a Poisson(1) weight in each replicate, so that any run gives the
     same interval: an entity has one hash, and a replicate a polynomial of degree 3 modulo the
     prime 2**31 - 1, which turns the hash into a uniform number; draws of any four entities
-    are independent. Replicates' sums are made by partial aggregation.
+    are independent. Entities stay one row each: a task adds up their weights' arrays and gives
+    one array a key, whose elements are then summed over tasks.
     """
     own = pairs.groupBy(*keys, "entity").agg(F.avg(reference).alias("a"), F.avg(candidate).alias("b")).filter("a is not null and b is not null")
     total = own.groupBy(*keys).agg(F.count("*").alias("entities"), F.avg(F.col("a") - F.col("b")).alias("gain"), (1 - safe_ratio(F.avg("b"), F.avg("a"))).alias("skill"))
-    number = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(salt), *parts)), 1, 8), 16, 10).cast("long") % PRIME
-    # the polynomials, one a replicate, are computed once and looked up in a broadcast table
-    polynomials = own.sparkSession.range(1, replicates + 1).select(F.col("id").alias("replicate"), *(number("id", F.lit(c)).alias(c) for c in ("c3", "c2", "c1", "c0")))
-    drawn = own.withColumn("x", number("entity")).withColumn("replicate", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long")))).join(F.broadcast(polynomials), "replicate")
-    u = reduce(lambda value, c: (value * F.col("x") + F.col(c)) % PRIME, ("c2", "c1", "c0"), F.col("c3")).cast("double") / float(PRIME)
-    # Distribution function of Poisson(1) at 0, 1, 2, ...
-    poisson = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
-    weight = reduce(lambda n, c: n + (F.col("u") > c).cast("int"), poisson, F.lit(0))
-    sums = drawn.withColumn("u", u).withColumn("w", weight).groupBy(*keys, "replicate").agg(F.sum("w").alias("w"), F.sum(F.col("w") * (F.col("a") - F.col("b"))).alias("s")).filter("w > 0")
-    interval = sums.groupBy(*keys).agg(F.expr("percentile(s / w, array(0.025, 0.975))").alias("i"), F.count("*").alias("replicates"))
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(salt), "entity")), 1, 8), 16, 10).cast("long") % PRIME
+    drawn = own.select(*keys, number.alias("x"), (F.col("a") - F.col("b")).alias("d"))
+    kinds = ", ".join(f"`{k}` {own.schema[k].dataType.simpleString()}" for k in keys)
+    sums = drawn.mapInArrow(_replicate_sums(replicates, salt, len(keys)), ", ".join(filter(None, [kinds, "w array<long>, s array<double>"])))
+    sums = sums.select(*keys, F.posexplode(F.arrays_zip("w", "s")).alias("replicate", "e")).groupBy(*keys, "replicate").agg(F.sum("e.w").alias("w"), F.sum("e.s").alias("s")).filter("w > 0")
+    interval = sums.groupBy(*keys).agg(F.expr("percentile(s / w, array(0.025, 0.975))").alias("i"), F.count("*").alias("replicates"))  # as many rows as replicates
     rows = interval.join(total, list(keys)) if keys else interval.join(F.broadcast(total))
     return with_reading(rows.select(*keys, "entities", "gain", "skill", F.col("i")[0].alias("low"), F.col("i")[1].alias("high"), "replicates"))
 
@@ -137,8 +178,7 @@ def calibration_curve(rows: DataFrame, score: str, positive: Column, n: int = 10
 
 def calibration_bins(rows: DataFrame, score: str, positive: Column, bins: int = 10) -> DataFrame:
     """Bins at quantiles of the score, equal edges dropped: rows, mean score, observed rate."""
-    marks = ", ".join(str(i / bins) for i in range(1, bins))
-    edges = rows.agg(F.array_distinct(F.expr(f"percentile({score}, array({marks}))")).alias("_e"))
+    edges = exact_quantiles(rows, score, [i / bins for i in range(1, bins)]).select(F.array_distinct("q").alias("_e"))
     binned = rows.join(F.broadcast(edges)).withColumn("bin", F.size(F.filter("_e", lambda e: e < F.col(score))))
     return binned.groupBy("bin").agg(F.count("*").alias("rows"), F.avg(score).alias("mean_score"), F.avg(positive.cast("double")).alias("rate"))
 
@@ -203,7 +243,9 @@ def deterioration(pairs: DataFrame, delta: str, worst: tuple[int, ...] = (1, 5,
     own = pairs.groupBy(*keys, "entity").agg(F.avg(delta).alias("d"))
     top = own.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, F.lit(0)).orderBy(F.desc("d"), "entity"))).filter(F.col("_n") <= max(worst))
     heads = top.groupBy(*keys).agg(*(F.sum(F.when((F.col("_n") <= k) & (F.col("d") > 0), F.col("d"))).alias(f"_w{k}") for k in worst))
-    whole = own.groupBy(*keys).agg(F.count("*").alias("entities"), F.sum(F.when(F.col("d") > 0, F.col("d"))).alias("_total"), F.expr("percentile(d, array(0.05, 0.5, 0.95))").alias("q"))
+    whole = own.groupBy(*keys).agg(F.count("*").alias("entities"), F.sum(F.when(F.col("d") > 0, F.col("d"))).alias("_total"))
+    spread = exact_quantiles(own, "d", [0.05, 0.5, 0.95], keys)
+    whole = whole.join(spread, list(keys)) if keys else whole.join(F.broadcast(spread))
     rows = whole.join(heads, list(keys)) if keys else whole.join(F.broadcast(heads))
     return rows.select(*keys, "entities", *(safe_ratio(F.col(f"_w{k}"), F.col("_total")).alias(f"worst_{k}_share") for k in worst), F.col("q")[0].alias("q05"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q95"))
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import log_density, log_group_survival, log_interval, log_normal_survival, log_survival, safe_ratio
 from ..sources.tables import shared_folder
 from .journey import EXACT, INTERVAL, RIGHT
+from .relational import exact_quantiles
 
 DAY = 86400.0
 SIGMA = (0.15, 4.5)
@@ -414,7 +415,8 @@ def duration_profile(steps: DataFrame, keys: list[str], timeout: float) -> DataF
     rows = steps.filter(F.col("eligible") & (F.col("censoring") == EXACT) & (F.col("dur_min") > 0))
     times = rows.groupBy(*keys, "dur_min").agg(F.count("*").alias("k"))
     modal = times.groupBy(*keys).agg(F.max_by("dur_min", F.struct("k", -F.col("dur_min"))).alias("modal_time"), F.max("k").alias("modal_n"), F.count("*").alias("distinct_times"))
-    stats = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg((F.abs(F.col("dur_min") - timeout) < 1).cast("double")).alias("share_at_timeout"), F.expr("percentile(dur_min, array(0.05, 0.5, 0.95))").alias("q"), F.stddev_pop(F.log("dur_min")).alias("sd_log"))
+    stats = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg((F.abs(F.col("dur_min") - timeout) < 1).cast("double")).alias("share_at_timeout"), F.stddev_pop(F.log("dur_min")).alias("sd_log"))
+    stats = stats.join(exact_quantiles(rows, "dur_min", [0.05, 0.5, 0.95], tuple(keys)), keys)
     return stats.join(modal, keys).select(*keys, "n", "modal_time", (F.col("modal_n") / F.col("n")).alias("modal_share"), "share_at_timeout", F.col("q")[0].alias("q05"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q95"), "sd_log", "distinct_times")
 
 

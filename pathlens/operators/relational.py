@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import safe_ratio
+from ..functions.columns import micros, safe_ratio
 
 
 def enrich(df: DataFrame, dimension: DataFrame, on: str | list[str]) -> DataFrame:
@@ -20,7 +20,48 @@ def with_constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.join(F.broadcast(one_row.limit(1)))
 
 
-def as_of(anchors: DataFrame, history: DataFrame, entity: str, anchor_ts: str, anchor_id: str, known_ts: str, entry_ts: str, record_id: str, columns: list[str]) -> DataFrame:
+#: Slices that a time line is cut into.
+SLICES = 32
+
+
+def in_slices(line: DataFrame, entity: list[str], t: str, slices: int = SLICES) -> DataFrame:
+    """A time line cut at quantiles of its times: with `_entity` (the keys as one value, which may hold nulls) and `_slice`.
+
+    An entity that has a large part of all rows is so spread over as many tasks as there are
+    slices; `running` carries what came before from slice to slice.
+    """
+    cuts = line.agg(F.percentile_approx(t, F.array(*(F.lit(i / slices) for i in range(1, slices))), 1000).alias("_cuts"))
+    placed = line.join(F.broadcast(cuts)).withColumn("_slice", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(t))), F.lit(0)))
+    return placed.withColumn("_entity", F.struct(*entity)).drop("_cuts")
+
+
+def running(line: DataFrame, order: list[str], values: dict[str, tuple[str, Column]]) -> DataFrame:
+    """running aggregates over each entity's rows so far, in the order given, which begins with the time of `in_slices`.
+
+    values: name -> (kind, column), kind one of sum, count, max, min, last (not null); with `_before`
+    appended (as in `max_before`) the row itself doesn't count. Slices run on their own; an
+    entity's totals by slice, one row each, are summed up before and joined back, so that no
+    task holds an entity. Rows are dealt by entity and slice once.
+    """
+    run = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}
+    both = {"sum": lambda a, b: F.coalesce(a + b, a, b), "count": lambda a, b: F.coalesce(a, F.lit(0)) + b, "max": F.greatest, "min": F.least, "last": lambda a, b: F.coalesce(b, a)}
+    rows = line.withColumns({f"_v_{name}": column for name, (_, column) in values.items()})
+    inside = Window.partitionBy("_entity", "_slice").orderBy(*order)
+    frames = {True: inside.rowsBetween(Window.unboundedPreceding, -1), False: inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)}
+    kinds = {name: kind.removesuffix("_before") for name, (kind, _) in values.items()}
+    rows = rows.withColumns({f"_w_{name}": run[kinds[name]](F.col(f"_v_{name}")).over(frames[kind.endswith("_before")]) for name, (kind, _) in values.items()})
+    # the last value of a slice is the one of its latest row that has any
+    latest = F.struct(*order)
+    whole = {name: F.max_by(f"_v_{name}", F.when(F.col(f"_v_{name}").isNotNull(), latest)) if kind == "last" else run[kind](f"_v_{name}") for name, kind in kinds.items()}
+    totals = rows.groupBy("_entity", "_slice").agg(*(e.alias(f"_t_{name}") for name, e in whole.items()))
+    earlier = Window.partitionBy("_entity").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    outer = run | {"count": F.sum}
+    before = totals.select("_entity", "_slice", *(outer[kind](F.col(f"_t_{name}")).over(earlier).alias(f"_p_{name}") for name, kind in kinds.items()))
+    joined = rows.join(before, ["_entity", "_slice"])
+    return joined.withColumns({name: both[kind](F.col(f"_p_{name}"), F.col(f"_w_{name}")) for name, kind in kinds.items()}).drop(*(f"_{x}_{name}" for x in "vwp" for name in kinds))
+
+
+def as_of(anchors: DataFrame, history: DataFrame, entity: str, anchor_ts: str, anchor_id: str, known_ts: str, entry_ts: str, record_id: str, columns: list[str], slices: int = SLICES) -> DataFrame:
     """Of each anchor the latest earlier record of its entity, or nulls.
 
     A record counts if it became known strictly before the anchor, is another record, and
@@ -28,46 +69,74 @@ def as_of(anchors: DataFrame, history: DataFrame, entity: str, anchor_ts: str, a
     time, entry time and id wins. Instead of joining all pairs of an entity, both tables are
     laid on one time line, records at the later of their two times, and the two largest so
     far are read off, the second where the first is the anchor itself; so that an entity of n
-    rows costs n.
+    rows costs n, and the line is cut into slices, so that it isn't one task's.
     """
     record = F.struct(F.col(known_ts).alias("known"), F.col(entry_ts).alias("entry"), F.col(record_id).alias("rid"), *(F.col(c).alias(f"h_{c}") for c in columns))
     past = history.filter(F.col(known_ts).isNotNull() & F.col(entry_ts).isNotNull())
     # at equal times records that were known before stand among the anchors in the order of ids, those known at that very time after all of them
     past = past.select(F.col(entity).alias("_e"), F.greatest(known_ts, entry_ts).alias("_t"), (F.col(known_ts) >= F.col(entry_ts)).alias("_after"), F.col(record_id).cast(anchors.schema[anchor_id].dataType).alias("_id"), F.lit(1).alias("_side"), record.alias("_record"))
     asked = anchors.select(F.col(entity).alias("_e"), F.col(anchor_ts).alias("_t"), F.lit(False).alias("_after"), F.col(anchor_id).alias("_id"), F.lit(0).alias("_side"), F.lit(None).cast(past.schema["_record"].dataType).alias("_record"))
-    order = Window.partitionBy("_e").orderBy("_t", "_after", "_id", "_side")
-    line = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = asked.unionByName(past).withColumn("_first", F.max("_record").over(line)).withColumn("_above", F.max("_record").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    line, order = in_slices(asked.unionByName(past), ["_e"], "_t", slices), ["_t", "_after", "_id", "_side"]
+    rows = running(line, order, {"_first": ("max", F.col("_record")), "_above": ("max_before", F.col("_record"))})
     lower = F.when(F.col("_record").isNotNull() & F.col("_above").isNotNull(), F.when(F.col("_record") < F.col("_above"), F.col("_record")).otherwise(F.col("_above")))
-    found = rows.withColumn("_second", F.max(lower).over(line)).filter("_side = 0")
+    found = running(rows, order, {"_second": ("max", lower)}).filter("_side = 0")
     found = found.withColumn("_latest", F.when(F.col("_first.rid") == F.col("_id"), F.col("_second")).otherwise(F.col("_first")))
     names = [F.col(f"_latest.h_{c}").alias(f"previous_{c}") for c in columns]
     return found.select(F.col("_id").alias(anchor_id), F.col("_latest.rid").alias("previous_id"), F.col("_latest.known").alias("previous_known"), *names, F.col("_latest").isNull().alias("no_history"))
 
 
-def history_before(anchors: DataFrame, history: DataFrame, entity: str, anchor_ts: str, anchor_id: str, ts: str, aggregates: dict[str, tuple[str, Column]]) -> DataFrame:
+def history_before(anchors: DataFrame, history: DataFrame, entity: str, anchor_ts: str, anchor_id: str, ts: str, aggregates: dict[str, tuple[str, Column]], slices: int = SLICES) -> DataFrame:
     """Running aggregates (sum, count, max, min, avg of a column) over an entity's rows strictly before each anchor.
 
-    One window over the union of both tables: linear in an entity's rows, where a range join would pair them all.
+    One time line of both tables, in slices: linear in an entity's rows, where a range join would pair them all.
     """
-    values = {name: expression.alias(f"_{name}") for name, (_, expression) in aggregates.items()}
+    plain: dict[str, tuple[str, Column]] = {}
+    for name, (kind, expression) in aggregates.items():
+        plain |= {f"{name}_sum": ("sum", expression), f"{name}_n": ("count", expression)} if kind == "avg" else {name: (kind, expression)}
+    values = {name: expression.alias(f"_x_{name}") for name, (_, expression) in plain.items()}
     past = history.select(F.col(entity).alias("_e"), F.col(ts).alias("_t"), F.lit(1).alias("_side"), *values.values())
-    nothing = [F.lit(None).cast(past.schema[f"_{name}"].dataType).alias(f"_{name}") for name in aggregates]
+    nothing = [F.lit(None).cast(past.schema[f"_x_{name}"].dataType).alias(f"_x_{name}") for name in plain]
     asked = anchors.select(F.col(entity).alias("_e"), F.col(anchor_ts).alias("_t"), F.lit(0).alias("_side"), *nothing, F.col(anchor_id).alias("_id"))
-    line = Window.partitionBy("_e").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min, "avg": F.avg}
     both = asked.unionByName(past.withColumn("_id", F.lit(None).cast(anchors.schema[anchor_id].dataType)))
-    out = both.select("_id", "_side", *(run[kind](f"_{name}").over(line).alias(name) for name, (kind, _) in aggregates.items()))
-    return out.filter("_side = 0").select(F.col("_id").alias(anchor_id), *aggregates)
+    out = running(in_slices(both, ["_e"], "_t", slices), ["_t", "_side"], {name: (kind, F.col(f"_x_{name}")) for name, (kind, _) in plain.items()}).filter("_side = 0")
+    means = {name: safe_ratio(F.col(f"{name}_sum"), F.col(f"{name}_n")) for name, (kind, _) in aggregates.items() if kind == "avg"}
+    return out.withColumns(means).select(F.col("_id").alias(anchor_id), *aggregates) if means else out.select(F.col("_id").alias(anchor_id), *aggregates)
+
+
+def distinct_before(anchors: DataFrame, history: DataFrame, entity: str, anchor_ts: str, anchor_id: str, ts: str, values: list[str], slices: int = SLICES) -> DataFrame:
+    """Of each anchor the number of different values (stores, products) that its entity had strictly before it, for each column; nulls don't count.
+
+    Only the first time that an entity has a value counts: these flags, not sets of values, are
+    summed along the time line.
+    """
+    firsts = []
+    for name in values:
+        own = history.filter(F.col(name).isNotNull()).groupBy(F.col(entity).alias("_h"), F.col(name).alias("_v")).agg(F.min(ts).alias("_first"))
+        firsts.append(own.select("_h", "_first", *(F.lit(1 if n == name else 0).alias(f"_n_{n}") for n in values)))
+    flags = reduce(DataFrame.unionByName, firsts)
+    asked = anchors.select(F.col(entity).alias("_h"), anchor_ts, anchor_id)
+    counted = history_before(asked, flags, "_h", anchor_ts, anchor_id, "_first", {f"distinct_{n}": ("sum", F.col(f"_n_{n}")) for n in values}, slices)
+    return counted.fillna(0, [f"distinct_{n}" for n in values])
+
+
+def next_event(cases: DataFrame, events: DataFrame, entity: str, start: str, ts: str, name: str, slices: int = SLICES) -> DataFrame:
+    """Cases with the time of their entity's first event at or after `start`, or null; linear in an entity's rows.
+
+    Cases and events lie on one line that is read backwards: the latest event passed is the next
+    one. Events without entity belong to no case.
+    """
+    own = F.struct(*(F.col(f"`{c}`") for c in cases.columns))
+    asked = cases.select(F.col(entity).alias("_e"), (-micros(start)).alias("_t"), F.lit(1).alias("_side"), own.alias("_case"), F.lit(None).cast("timestamp").alias("_at"))
+    there = events.filter(F.col(entity).isNotNull() & F.col(ts).isNotNull()).select(F.col(entity).alias("_e"), (-micros(ts)).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(asked.schema["_case"].dataType).alias("_case"), F.col(ts).cast("timestamp").alias("_at"))
+    rows = running(in_slices(asked.unionByName(there), ["_e"], "_t", slices), ["_t", "_side"], {"_next": ("last", F.col("_at"))}).filter("_side = 1")
+    found = F.when(F.col("_t").isNotNull() & F.col("_e").isNotNull(), F.col("_next"))
+    return rows.select("_case.*", found.alias(name))
 
 
 def any_event_between(cases: DataFrame, payments: DataFrame, entity: str, start: str, end: str, ts: str) -> DataFrame:
-    """Cases with `outcome`: whether the entity has an event in [start, end). Payments are reduced to those in the whole span first."""
-    span = cases.agg(F.min(start).alias("_low"), F.max(end).alias("_high"))
-    near = payments.select(F.col(entity), F.col(ts).alias("_ts")).distinct().join(F.broadcast(span)).filter((F.col("_ts") >= F.col("_low")) & (F.col("_ts") < F.col("_high"))).select(entity, "_ts")
-    times = near.groupBy(entity).agg(F.sort_array(F.collect_set("_ts")).alias("_times"))
-    inside = F.exists("_times", lambda t: (t >= F.col(start)) & (t < F.col(end)))
-    return cases.join(times, entity, "left").withColumn("outcome", F.coalesce(inside, F.lit(False)).cast("int")).drop("_times")
+    """Cases with `outcome`: whether the entity has an event in [start, end), which its next event decides."""
+    rows = next_event(cases, payments, entity, start, ts, "_next")
+    return rows.withColumn("outcome", F.coalesce(F.col("_next") < F.col(end), F.lit(False)).cast("int")).drop("_next")
 
 
 def member_of(df: DataFrame, sets: DataFrame, on: str, value: str, members: str, inside: bool = True) -> DataFrame:
@@ -111,10 +180,33 @@ def to_map(df: DataFrame, keys: list[str], key: str, value: str, name: str) -> D
     return df.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value)))).alias(name))
 
 
+def exact_quantiles(df: DataFrame, value: str, quantiles: list[float], keys: tuple[str, ...] = (), name: str = "q") -> DataFrame:
+    """(keys, q): the array of exact quantiles of a column, interpolated between neighbouring ranks; nulls don't count.
+
+    Values are counted first; the counts of distinct values are cut into pieces and summed up
+    piece by piece (see `running_by_score`), and of each quantile only the one or two values
+    that hold its rank are kept. So no task holds a group's values, however many it has. A
+    group without values has no row.
+    """
+    ranked = running_by_score(df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_value")), "_value", {"_n": F.count("*")}, keys)
+    marks = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("at")) for i, q in enumerate(quantiles))))
+    rows = ranked.withColumn("_m", marks).withColumn("_rank", F.col("_m.at") * (F.col("_n_total") - 1))
+    first, last = F.col("_n_total") - F.col("_n_before") - F.col("_n"), F.col("_n_total") - F.col("_n_before") - 1
+    below, above = F.floor("_rank"), F.ceil("_rank")
+    holds = lambda rank: (first <= rank) & (rank <= last)
+    rows = rows.filter(holds(below) | holds(above))
+    found = rows.groupBy(*keys, F.col("_m.i").alias("_i")).agg(F.max(F.when(holds(below), F.col("_value"))).alias("_low"), F.max(F.when(holds(above), F.col("_value"))).alias("_high"), F.max("_rank").alias("_rank"))
+    low, high = F.col("_low").cast("double"), F.col("_high").cast("double")
+    between = F.when(F.col("_low") == F.col("_high"), low).otherwise((F.ceil("_rank") - F.col("_rank")) * low + (F.col("_rank") - F.floor("_rank")) * high)
+    found = found.select(*keys, F.struct("_i", between.alias("v")).alias("_p"))
+    return found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("_p")), lambda p: p.v).alias(name))
+
+
 def pareto(df: DataFrame, value: str, quantiles: list[float]) -> DataFrame:
     """Share of the total of the rows at or above each exact quantile."""
-    cuts = df.agg(F.expr(f"percentile({value}, array({', '.join(map(str, quantiles))}))").alias("c"), F.sum(value).alias("total"))
-    cuts = cuts.select(F.posexplode("c").alias("_i", "threshold"), "total").withColumn("quantile", F.element_at(F.array(*(F.lit(q) for q in quantiles)), F.col("_i") + 1))
+    total = df.agg(F.sum(value).alias("total"))
+    cuts = total.join(F.broadcast(exact_quantiles(df, value, quantiles, name="c")), how="left").select(F.posexplode("c").alias("_i", "threshold"), "total")
+    cuts = cuts.withColumn("quantile", F.element_at(F.array(*(F.lit(q) for q in quantiles)), F.col("_i") + 1))
     rows = df.join(F.broadcast(cuts), F.col(value) >= F.col("threshold"), "right")  # as many rows as quantiles
     return rows.groupBy("quantile", "threshold", "total").agg(F.count(value).alias("rows"), F.coalesce(F.sum(value), F.lit(0)).alias("volume")).withColumn("share", safe_ratio(F.col("volume"), F.col("total")))
 

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from .audits import CASES, ORACLE_SQL, QUERIES, WALK
 from .operators import journey as J
 from .operators import models as K
+from .operators import propensity as P
+from .operators import relational as R
 from .operators import scoring as L
 from .oracles import FREQUENCIES, STEPS, TARGETS, sql
 from .plans import journeys as S
+from .plans import propensity as Q
 from .queries import query
 from .sources import tables as A
 
@@ -133,3 +136,68 @@ def memory_graph_scores(spark, d):
     edges, macros = K.checkpointed(edges), K.checkpointed(macros)
     found = L.macro_first_passage(L.macro_jumps(edges, macros), macros, S.TARGETS, S.CHANGES)
     return found.groupBy("src", "action").agg(F.round(F.sum("score"), 6).alias("score"))
+
+
+# ---- histories, quantiles, likelihoods
+
+
+@query("""with i as (select o_custkey, o_orderdate, o_orderkey, o_orderstatus, l_suppkey, l_partkey from orders join lineitem on l_orderkey = o_orderkey)
+    select a.o_orderkey, count(distinct i.o_orderkey) as previous, count(distinct i.o_orderkey) filter (i.o_orderstatus = 'F') as previous_closed, count(distinct l_suppkey) as distinct_l_suppkey, count(distinct l_partkey) as distinct_l_partkey
+    from orders a left join i on i.o_custkey = a.o_custkey and i.o_orderdate < a.o_orderdate where a.o_orderstatus = 'O' and a.o_orderdate >= timestamp '2000-01-01' group by a.o_orderkey""")
+def distinct_history(spark, d):
+    """Suppliers and parts that a customer had before each order."""
+    items = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_partkey").join(Q.orders(spark, d), "o_orderkey")
+    rows = P.history_features(Q.anchors(spark, d), items, "o_custkey", "o_orderdate", "o_orderkey", "o_orderdate", "o_orderkey", {"closed": "F"}, "o_orderstatus", ["l_suppkey", "l_partkey"])
+    return rows.select("o_orderkey", "previous", "previous_closed", "distinct_l_suppkey", "distinct_l_partkey")
+
+
+@query("""select l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.01), 6) as q01, round(quantile_cont(l_extendedprice, 0.5), 6) as median, round(quantile_cont(l_extendedprice, 0.99), 6) as q99 from lineitem group by all""")
+def price_quantiles(spark, d):
+    """Exact quantiles of groups that no task holds."""
+    rows = R.exact_quantiles(spark.read.parquet(f"{d}/lineitem.parquet"), "l_extendedprice", [0.01, 0.5, 0.99], ("l_returnflag", "l_linestatus"))
+    return rows.select("l_returnflag", "l_linestatus", *(F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q01", "median", "q99"))))
+
+
+@query("""select a.o_orderkey, min(b.o_orderdate) as next_paid from orders a left join orders b on b.o_custkey = a.o_custkey and b.o_orderstatus = 'F' and b.o_orderdate >= a.o_orderdate
+    where a.o_orderstatus = 'O' and a.o_orderdate >= timestamp '2000-01-01' group by a.o_orderkey""")
+def next_paid_order(spark, d):
+    """Each order's first paid order of the same customer from then on."""
+    paid = Q.orders(spark, d).filter("o_orderstatus = 'F'").select("o_custkey", F.col("o_orderdate").alias("paid_at"))
+    return R.next_event(Q.anchors(spark, d), paid, "o_custkey", "o_orderdate", "paid_at", "next_paid").select("o_orderkey", "next_paid")
+
+
+#: Newton steps in mu and ln sigma from moments, as often as suffices, each over all exact and right-censored steps.
+NEWTON = STEPS + """,
+du as (select state, censoring = 'exata' as exact, dur_min / 86400 as t, count(*) as w from st where eligible and not holdout and state is not null and dur_min > 0 and censoring in ('exata', 'direita') group by all),
+mo as (select state, sum(w * ln(t)) / sum(w) as m, sqrt(sum(w * ln(t) ** 2) / sum(w) - (sum(w * ln(t)) / sum(w)) ** 2) as s from du where exact group by state having sum(w) >= 2 and count(*) >= 2),
+it as (
+    select state, 'weibull' as family, m + 0.5772156649015329 * s * sqrt(6) / pi() as mu, ln(s * sqrt(6) / pi()) as ls, 0 as i from mo
+    union all select state, 'loglogistic', m, ln(s * sqrt(3) / pi()), 0 from mo
+    union all
+    select state, family, mu - greatest(-1, least(1, (hll * gm - hml * gl) / (hmm * hll - hml * hml))), ls - greatest(-1, least(1, (hmm * gl - hml * gm) / (hmm * hll - hml * hml))), i + 1 from (
+        select state, family, mu, ls, i, sum(w * -one / exp(ls)) as gm, sum(w * (-z * one - exact::int)) as gl, sum(w * two / exp(2 * ls)) as hmm, sum(w * (two * z + one) / exp(ls)) as hml, sum(w * (z * one + z * z * two)) as hll from (
+            select *, case when family = 'weibull' then exact::int - exp(z) else exact::int - (1 + exact::int) / (1 + exp(-z)) end as one,
+                   case when family = 'weibull' then -exp(z) else -(1 + exact::int) / (1 + exp(-z)) * (1 - 1 / (1 + exp(-z))) end as two
+            from (select it.*, exact, t, w, (ln(t) - mu) / exp(ls) as z from it join du using (state) where i < 25)
+        ) group by state, family, mu, ls, i
+    )
+),
+fin as (select * from it where i = 25),
+lk as (
+    select state, family, exp(-any_value(ls)) as p1, exp(any_value(mu)) as p2, sum(w)::bigint as n,
+           sum(w * case when family = 'weibull' then (case when exact then z - ls - ln(t) else 0 end) - exp(z) else (case when exact then z - ls - ln(t) else 0 end) - (1 + exact::int) * ln(1 + exp(z)) end) as ll
+    from (select fin.*, exact, t, w, (ln(t) - mu) / exp(ls) as z from fin join du using (state)) group by state, family
+),
+every as (
+    select * from lk union all
+    select state, 'exponential', 1.0, sum(w * t) / sum(w) filter (exact), sum(w)::bigint, -(sum(w) filter (exact)) * ln(sum(w * t) / sum(w) filter (exact)) - sum(w) filter (exact)
+    from du where state in (select state from mo) group by state
+)"""
+
+
+@query("with recursive" + sql(NEWTON, "select state, family, n, round(p1, 5) as p1, round(p2, 5) as p2, round(ll, 4) as log_likelihood, round(2 * if(family = 'exponential', 1, 2) - 2 * ll, 4) as aic from every")[4:])
+def likelihood_families(spark, d):
+    """Families at their maximum likelihood on exact and right-censored steps."""
+    rows = S.written_steps(spark, d).filter("not holdout and state is not null")
+    out = K.maximise_families(rows, ["state"], families=("exponential", "weibull", "loglogistic"))
+    return out.select("state", "family", "n", F.round("p1", 5).alias("p1"), F.round("p2", 5).alias("p2"), F.round("log_likelihood", 4).alias("log_likelihood"), F.round("aic", 4).alias("aic"))
