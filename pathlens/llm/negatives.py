@@ -20,7 +20,7 @@ from pyspark.sql.types import IntegralType
 from .shared import cut, distinct_ids, keep
 
 #: Candidates of a block and anchors of a tree, as powers of two: each pair of these is a task's work.
-BLOCK, TREE = 12, 9
+BLOCK, TREE = 11, 9
 #: Squared norms are this at most, so that all scores fit a long and five times a score does.
 LARGEST = float(1 << 60)
 #: Relative slack of bounds, far above rounding errors.
@@ -222,8 +222,14 @@ def hard_negatives(df: DataFrame, id_column: str = "vec_id", vector_column: str
 
     # blocks and trees hold neighbours in the order of labels: in a block of one label either positives or negatives are looked for
     def dealt(part: DataFrame, name: str, power: int) -> DataFrame:
-        ordered = part.orderBy("size", "label", F.xxhash64("row")).withColumn("place", F.monotonically_increasing_id())
-        return keep(ordered.withColumn(name, F.concat_ws(":", "size", F.shiftright("place", power).cast("string"))).drop("place"))
+        placed = F.monotonically_increasing_id()
+        ordered = part.orderBy("size", "label", F.xxhash64("row")).withColumn("part", F.shiftright(placed, 33)).withColumn("place", placed.bitwiseAND(F.lit((1 << 33) - 1)))
+        ordered = keep(ordered)
+        # places without gaps, whatever the number of partitions: a row a partition says how many rows lie before it
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = ordered.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        numbered = ordered.join(F.broadcast(cut(sizes.select("part", "before"))), "part")  # as many rows as partitions
+        return numbered.withColumn(name, F.concat_ws(":", "size", F.shiftright(F.col("place") + F.col("before"), power).cast("string"))).drop("place", "part", "before")
 
     candidates = dealt(rows.select("row", "id", "label", "size", "v"), "block", BLOCK)
     trees = dealt(rows.filter("chosen").select("row", "id", "label", "size", "v"), "tree", TREE)
