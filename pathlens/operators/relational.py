@@ -186,7 +186,7 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: list[float], keys: tup
     Values are counted first; the counts of distinct values are cut into pieces and summed up
     piece by piece (see `running_by_score`), and of each quantile only the one or two values
     that hold its rank are kept. So no task holds a group's values, however many it has. A
-    group without values has no row.
+    group without values has no row; without keys there is one row, of null if there are no values.
     """
     ranked = running_by_score(df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_value")), "_value", {"_n": F.count("*")}, keys)
     marks = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("at")) for i, q in enumerate(quantiles))))
@@ -199,7 +199,8 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: list[float], keys: tup
     low, high = F.col("_low").cast("double"), F.col("_high").cast("double")
     between = F.when(F.col("_low") == F.col("_high"), low).otherwise((F.ceil("_rank") - F.col("_rank")) * low + (F.col("_rank") - F.floor("_rank")) * high)
     found = found.select(*keys, F.struct("_i", between.alias("v")).alias("_p"))
-    return found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("_p")), lambda p: p.v).alias(name))
+    parts = F.array_sort(F.collect_list("_p"))
+    return found.groupBy(*keys).agg(F.when(F.size(parts) > 0, F.transform(parts, lambda p: p.v)).alias(name))
 
 
 def pareto(df: DataFrame, value: str, quantiles: list[float]) -> DataFrame:

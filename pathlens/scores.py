@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .audits import CASES, ORACLE_SQL, QUERIES, WALK
@@ -10,11 +12,12 @@ from .operators import models as K
 from .operators import propensity as P
 from .operators import relational as R
 from .operators import scoring as L
-from .oracles import FREQUENCIES, STEPS, TARGETS, sql
+from .oracles import RAW, STEPS, TARGETS, sql
 from .plans import journeys as S
 from .plans import propensity as Q
 from .queries import query
 from .sources import tables as A
+from .streaming import journeys as I
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -201,3 +204,54 @@ def likelihood_families(spark, d):
     rows = S.written_steps(spark, d).filter("not holdout and state is not null")
     out = K.maximise_families(rows, ["state"], families=("exponential", "weibull", "loglogistic"))
     return out.select("state", "family", "n", F.round("p1", 5).alias("p1"), F.round("p2", 5).alias("p2"), F.round("log_likelihood", 4).alias("log_likelihood"), F.round("aic", 4).alias("aic"))
+
+
+# ---- streams and versions
+
+
+def _batches(spark, d, folder: str, days: int = 7) -> None:
+    """The events as files of a stream: each comes up to two days late, so that files overlap and none is in order."""
+    late = F.pmod(F.xxhash64("entity", "ts", "state"), F.lit(172800))
+    rows = K.checkpointed(S.raw_events(spark, d).withColumn("batch", F.floor((F.unix_timestamp("ts") + late) / (86400 * days))))
+    for row in rows.select("batch").distinct().orderBy("batch").collect():  # a few weeks
+        rows.filter(F.col("batch") == row.batch).drop("batch").repartition(1).sortWithinPartitions(F.xxhash64("ts", "entity")).write.mode("append").parquet(folder)
+
+
+@query(ORACLE_SQL["streamed_states"])
+def disordered_states(spark, d):
+    """The events in batches that overlap in time; each entity's state after the last is what all events in order say."""
+    folder = f"{A.shared_folder(spark)}/{uuid.uuid4().hex}"
+    _batches(spark, d, f"{folder}/in")
+    stream = spark.readStream.schema("entity string, ts timestamp, state string, depth double").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    out = I.current_states(stream, S.TECHNICAL).writeStream.foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{folder}/out"))
+    out.outputMode("update").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{folder}/out").groupBy("entity").agg(F.max_by(F.struct("ts", "state", "memory", "ambiguous", "events"), "batch").alias("l")).select("entity", "l.*")
+    return last.select("entity", F.floor(F.unix_timestamp("ts")).alias("ts"), "state", "memory", "ambiguous", "events")
+
+
+@query(sql(RAW, """select entity, state, epoch(min(ts))::bigint as start_ts, epoch(max(ts))::bigint + 21600 as end_ts, count(*) as n_events, max(depth) as depth from (
+    select *, sum(fresh) over (partition by entity, state order by ts rows unbounded preceding) as block from (
+        select *, case when epoch(ts) - epoch(lag(ts) over (partition by entity, state order by ts)) <= 21600 then 0 else 1 end as fresh from raw)) group by entity, state, block"""))
+def streamed_sessions(spark, d):
+    """Sessions of the same disordered batches, as they stand after the last."""
+    folder = f"{A.shared_folder(spark)}/{uuid.uuid4().hex}"
+    _batches(spark, d, f"{folder}/in")
+    stream = spark.readStream.schema("entity string, ts timestamp, state string, depth double").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    out = I.sessions(stream, "6 hours").writeStream.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/out-{i % 2}"))
+    done = out.outputMode("complete").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    done.awaitTermination()
+    rows = spark.read.parquet(f"{folder}/out-{done.lastProgress['batchId'] % 2}")
+    return rows.select("entity", "state", *(F.unix_timestamp(c).alias(c) for c in ("start_ts", "end_ts")), "n_events", "depth")
+
+
+@query(sql(RAW, """select version, weekday, state, events + wrong as events from (select (dayofweek(ts) + 1)::int as weekday, state, count(*) as events from raw group by all),
+    (select 7 as version, 1 as wrong union all select 14, 0) union all select 1, 1, state, count(*) + 1 from raw where dayofweek(ts) = 0 group by state"""))
+def versioned_slices(spark, d):
+    """Every weekday's slice is published twice; the first version, the one between and the newest are read."""
+    folder = f"{A.shared_folder(spark)}/{uuid.uuid4().hex}"
+    rows = K.checkpointed(S.raw_events(spark, d).groupBy(F.dayofweek("ts").alias("weekday"), "state").agg(F.count("*").alias("events")))
+    for wrong in (1, 0):
+        for day in range(1, 8):
+            A.publish_slice(rows.filter(F.col("weekday") == day).withColumn("events", F.col("events") + wrong), folder, {"weekday": day})
+    read = [A.read_version(spark, folder, v).withColumn("version", F.lit(n)) for v, n in ((1, 1), (7, 7), (None, 14))]
+    return read[0].unionByName(read[1]).unionByName(read[2]).select("version", "weekday", "state", "events")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -154,9 +156,68 @@ def read_run(spark: SparkSession, path: str, run_id: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(path).filter(F.col("run_id") == run_id)
 
 
-def read_version(spark: SparkSession, path: str, version: int) -> DataFrame:
-    """A fixed version of a table, where its format keeps versions."""
-    return spark.read.format("delta").option("versionAsOf", version).load(path)
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of a versioned table's manifests, in order."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    return sorted(int(name) for f in files.listStatus(folder) if (name := f.getPath().getName()).isdigit())
+
+
+def read_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A fixed version of a versioned table, or the newest; see `publish_slice`.
+
+    A version is a list of data folders that nobody changes, so what is read stays the same
+    while newer versions are published.
+    """
+    known = _versions(spark, path)
+    chosen = known[-1] if version is None and known else version
+    if chosen not in known:
+        raise ValueError(f"no version {version} of {path}")
+    slices = spark.read.schema(SLICES).parquet(f"{path}/versions/{chosen:08d}").collect()  # a row a slice
+    return spark.read.parquet(*(f"{path}/data/{row.folder}" for row in sorted(slices, key=lambda row: row.keys)))
+
+
+SLICES = "keys string, folder string"
+
+
+def publish_slice(df: DataFrame, path: str, keys: Mapping[str, object], attempts: int = 10) -> int:
+    """Put a slice in the place of the one with the same key values; returns the number of the version that has it.
+
+    The rows go to a new folder; then a manifest, the last version's with this slice's folder
+    exchanged, is written aside and renamed to the next number. So a reader sees the whole old
+    slice or the whole new one; a write that fails before the rename changes nothing; and of two
+    writers at once the second, which finds the number taken, goes on from the first's version.
+    Refuses empty input, rows of other slices and another schema.
+    """
+    spark = df.sparkSession
+    outside = reduce(lambda c, item: c | ~F.col(item[0]).eqNullSafe(F.lit(item[1])), keys.items(), F.lit(False))
+    folder = uuid.uuid4().hex
+    df.write.parquet(f"{path}/data/{folder}")
+    written = spark.read.parquet(f"{path}/data/{folder}")
+    counts = written.agg(F.count("*").alias("rows"), F.count_if(outside).alias("outside")).first()
+    if not counts.rows or counts.outside:
+        raise ValueError(f"{counts.rows} rows, {counts.outside} of them outside the slice")
+    own = json.dumps({k: str(v) for k, v in keys.items()}, sort_keys=True)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for _ in range(attempts):
+        known = _versions(spark, path)
+        slices = [tuple(row) for row in spark.read.schema(SLICES).parquet(f"{path}/versions/{known[-1]:08d}").collect() if row.keys != own] if known else []
+        if slices and {f.name: f.dataType for f in spark.read.parquet(f"{path}/data/{slices[0][1]}").schema} != {f.name: f.dataType for f in written.schema}:
+            raise ValueError("the schema differs from the table's")
+        version = known[-1] + 1 if known else 1
+        aside = hadoop.Path(f"{path}/aside/{uuid.uuid4().hex}")
+        spark.createDataFrame([*slices, (own, folder)], SLICES).coalesce(1).write.parquet(aside.toString())
+        place = hadoop.Path(f"{path}/versions/{version:08d}")
+        files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(place.getParent())
+        if not files.exists(place) and files.rename(aside, place):
+            lost = hadoop.Path(place, aside.getName())  # where the other writer's manifest came between, ours went below it
+            if not files.exists(lost):
+                return version
+            files.delete(lost, True)
+    raise RuntimeError(f"{attempts} other writers came first")
 
 
 def create_only(df: DataFrame, path: str) -> None:

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-CURRENT = "entity string, ts timestamp, state string, memory string, ambiguous boolean, events long, late long"
-STATE = "ts timestamp, state string, memory string, ambiguous boolean, depth double, events long, late long"
+CURRENT = "entity string, ts timestamp, state string, memory string, ambiguous boolean, events long"
+STATE = "ts timestamp, state string, memory string, ambiguous boolean, events long, waiting_ts array<timestamp>, waiting_state array<string>, waiting_depth array<double>"
 
 
 def with_cut(events: DataFrame, lag: str = "72 hours") -> DataFrame:
@@ -29,39 +29,47 @@ def sessions(events: DataFrame, timeout: str = "30 minutes", lag: str = "72 hour
 
 
 def current_states(events: DataFrame, technical: list[str], service: str = "atendimento", lag: str = "72 hours") -> DataFrame:
-    """Each entity's last state with its memory, updated with every batch.
+    """Each entity's last state with its memory, updated with every batch, whatever order the events come in.
 
-    Of several states at one time the deepest counts, a tie is ambiguous and a barrier: memory
-    starts anew after it. Events older than the state's time are late: they are counted and don't change it.
+    Events wait in the state, with a timer, until the watermark has passed them, so that none
+    can come before them any more; then they are applied in the order of their time. What is
+    shown after each batch is that state with the waiting events applied to it, so it is what
+    the events seen so far say. Events behind the watermark are dropped. Of several states at
+    one time the deepest counts, a tie is ambiguous and a barrier: memory starts anew after it.
     """
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ts, last, memory, ambiguous, depth, events_seen, late = state.get if state.exists else (None, None, None, False, -1.0, 0, 0)
-        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-        rows["depth"] = rows["depth"].fillna(-1.0)
-        for at, group in rows.groupby("ts", sort=True):
-            if ts is not None and at < ts:
-                late += len(group)
-                continue
-            events_seen += len(group)
-            top = group["depth"].max()
-            names = set(group.loc[group["depth"] == top, "state"])
-            if ts is not None and at == ts:
-                if depth > top:
-                    continue
-                if depth == top:
-                    names |= {last} if last is not None else set()
-            ambiguous_now = len(names) != 1 or (at == ts and depth == top and ambiguous)
-            if ambiguous or ambiguous_now:
-                memory = None
-            last, ambiguous, depth, ts = (None if ambiguous_now else names.pop()), ambiguous_now, float(top), at
+    def applied(now: tuple, rows: pd.DataFrame) -> tuple:
+        ts, last, memory, ambiguous, seen = now
+        # the states of each time that are deepest then, one row a time
+        best = rows[rows["depth"] == rows.groupby("ts")["depth"].transform("max")].groupby("ts").agg(state=("state", "first"), kinds=("state", "nunique"))
+        for at, state, kinds in best.sort_index().itertuples():
+            was, ts, ambiguous = ambiguous, at, kinds != 1
+            last = None if ambiguous else state
+            memory = None if was or ambiguous else memory
             family = None if last is None else last.split(":::")[0]
             if family is not None and family != service and family not in technical:
                 memory = family
-        state.update((ts, last, memory, ambiguous, depth, events_seen, late))
-        yield pd.DataFrame({"entity": [key[0]], "ts": [ts], "state": [last], "memory": [memory], "ambiguous": [ambiguous], "events": [events_seen], "late": [late]})
+        return ts, last, memory, ambiguous, seen + len(rows)
 
-    return with_cut(events, lag).groupBy("entity").applyInPandasWithState(update, CURRENT, STATE, "update", GroupStateTimeout.NoTimeout)
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, waiting = (None, None, None, False, 0), []
+        if state.exists:
+            ts, last, memory, ambiguous, seen, *kept = state.get
+            now, waiting = (ts, last, memory, ambiguous, seen), [pd.DataFrame(dict(zip(("ts", "state", "depth"), map(list, kept), strict=True)))]
+        waiting += [frame[["ts", "state", "depth"]] for frame in frames]
+        rows = pd.concat([w for w in waiting if len(w)]) if any(map(len, waiting)) else pd.DataFrame({"ts": pd.to_datetime([]), "state": [], "depth": []})
+        rows["ts"], rows["depth"] = pd.to_datetime(rows["ts"]), rows["depth"].fillna(-1.0).astype(float)
+        passed = rows["ts"] <= pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+        now, rows = applied(now, rows[passed]), rows[~passed]
+        shown = applied(now, rows)
+        ts, last, memory, ambiguous, seen = now
+        state.update((ts, last, memory, ambiguous, seen, [t.to_pydatetime() for t in rows["ts"]], rows["state"].tolist(), rows["depth"].tolist()))
+        if len(rows):
+            state.setTimeoutTimestamp(int(rows["ts"].min().value // 1_000_000) + 1)
+        ts, last, memory, ambiguous, seen = shown
+        yield pd.DataFrame({"entity": [key[0]], "ts": [ts], "state": [last], "memory": [memory], "ambiguous": [ambiguous], "events": [seen]})
+
+    return with_cut(events, lag).groupBy("entity").applyInPandasWithState(update, CURRENT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def future_events(events: DataFrame, now: str) -> DataFrame:
