@@ -134,3 +134,23 @@ def operational_audit(people: DataFrame, lists: DataFrame) -> DataFrame:
     size = people.agg(F.countDistinct("entity").alias("audience"))
     spread = lists.agg(F.countDistinct("entity").alias("with_list"), F.stddev_pop("score").alias("score_sd"), F.countDistinct(F.when(F.col("rank") == 1, F.col("action"))).alias("first_actions"))
     return size.join(F.broadcast(missing)).join(F.broadcast(spread))
+
+
+def list_shapes(lists: DataFrame, k: int = 5) -> DataFrame:
+    """How many lists have which shape: rows, different ranks and actions, first and last rank, scores that are null, NaN or
+    outside [0, 1], rising scores; and whether the shape is an anomaly for lists of k."""
+    above = F.lag("score").over(Window.partitionBy("entity").orderBy("rank"))
+    invalid = F.col("score").isNull() | F.isnan("score") | (F.col("score") < 0) | (F.col("score") > 1)
+    own = lists.withColumn("_above", above).groupBy("entity").agg(
+        F.count("*").alias("rows"), F.countDistinct("rank").alias("ranks"), F.countDistinct("action").alias("actions"), F.min("rank").alias("first_rank"), F.max("rank").alias("last_rank"),
+        F.count_if(invalid).alias("invalid_scores"), F.count_if(F.col("score") > F.col("_above")).alias("rising_scores"),
+    )
+    odd = (F.col("rows") != k) | (F.col("ranks") != k) | (F.col("actions") != k) | (F.col("first_rank") != 1) | (F.col("last_rank") != k) | (F.col("invalid_scores") > 0) | (F.col("rising_scores") > 0)
+    return own.groupBy(*own.columns[1:]).agg(F.count("*").alias("lists")).withColumn("anomaly", odd)
+
+
+def variation_by_state(people: DataFrame, lists: DataFrame) -> DataFrame:
+    """Of each state the entities, their different contexts and first actions, and the spread of the first scores; entities without a list count too."""
+    top = lists.filter("rank = 1").select("entity", "action", "score")
+    rows = people.filter("state is not null").select("entity", "state", "context").dropDuplicates(["entity"]).join(top, "entity", "left")
+    return rows.groupBy("state").agg(F.count("*").alias("entities"), F.countDistinct("context").alias("contexts"), F.countDistinct("action").alias("first_actions"), F.countDistinct(F.round("score", 6)).alias("scores"), F.stddev_pop("score").alias("score_sd"))

@@ -76,6 +76,11 @@ def _moments(prefix: str = "") -> list[Column]:
     return [F.sum("w").alias(f"{prefix}n"), F.sum(F.col("w") * x).alias(f"{prefix}s1"), F.sum(F.col("w") * x * x).alias(f"{prefix}s2")]
 
 
+def _with_upper_bound(steps: DataFrame) -> DataFrame:
+    """Steps without interval censoring need no `dur_max`."""
+    return steps if "dur_max" in steps.columns else steps.withColumn("dur_max", F.lit(None).cast("double"))
+
+
 def _tails(low: str, high: str) -> tuple[Column, Column]:
     """ln of the two tails whose difference is P(low < Z <= high) for standard normal Z, the larger one first; a null bound is infinite.
 
@@ -105,6 +110,7 @@ def fit_competing_lognormal(steps: DataFrame, groups: DataFrame, keys: list[str]
     lineage, a row an origin and group each, or after `iterations`. Also whether sigma lies at a bound.
     """
     known = groups.withColumn("shift", F.when(F.col("dest").startswith(silence), F.lit(float(timeout))).otherwise(0.0) if timeout is not None else F.lit(0.0))
+    steps = _with_upper_bound(steps)
     kept = F.col("eligible") & ((F.col("dur_min") > 0) | (F.col("censoring") == INTERVAL))
     rows = steps.filter(kept).withColumn("w", F.col(weight).cast("double") if weight else F.lit(1.0)).filter("w > 0")
     exact = rows.filter(F.col("censoring") == EXACT).join(known.select(*keys, "dest", "grp", "shift"), [*keys, "dest"])
@@ -172,7 +178,7 @@ def fit_competing_lognormal(steps: DataFrame, groups: DataFrame, keys: list[str]
 
 def log_likelihood(steps: DataFrame, groups: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
     """Of each origin the log-likelihood of exact, right- and interval-censored steps under the parameters."""
-    rows = steps.filter(F.col("eligible") & ((F.col("dur_min") > 0) | (F.col("censoring") == INTERVAL)))
+    rows = _with_upper_bound(steps).filter(F.col("eligible") & ((F.col("dur_min") > 0) | (F.col("censoring") == INTERVAL)))
     p = params.select(*keys, "grp", "pi", "mu", "sigma", *(F.col(c) if c in params.columns else F.lit(0.0).alias(c) for c in ("shift", "atom")))
     survival = lambda c: F.exp(log_group_survival(F.col(c), F.lit("lognormal"), F.col("mu"), F.col("sigma"), F.col("shift"), F.col("atom")))
     exact = rows.filter(F.col("censoring") == EXACT).join(groups.select(*keys, "dest", "grp", "r"), [*keys, "dest"]).join(p, [*keys, "grp"])

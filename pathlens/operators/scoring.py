@@ -134,6 +134,25 @@ def first_passage(edges: DataFrame, is_target: Column, steps: int) -> DataFrame:
     return rows.withColumn("lost", 1 - F.col("reached") - F.col("surviving"))
 
 
+def first_passage_by_age(first_step: DataFrame, edges: DataFrame, is_target: Column, steps: int, case: list[str]) -> DataFrame:
+    """(case, reached, surviving, lost) within so many transitions, of which the first knows the case's age.
+
+    first_step: case, dest, q (see `conditioned`); `is_target` speaks of the column dst. Later
+    transitions start on arrival, at age 0, and are walked once a state. Mass that comes to a
+    state without model is lost, as is what q lacks to 1; at the last transition it still survives.
+    """
+    named = first_step.select(*case, F.col("dest").alias("dst"), "q").withColumn("hit", is_target)
+    if steps > 1:
+        later = first_passage(edges, is_target, steps - 1).select(F.col("start").alias("dst"), F.col("reached").alias("on"), F.col("surviving").alias("left"))
+        named = named.join(later, "dst", "left")
+    else:
+        named = named.withColumn("on", F.lit(0.0)).withColumn("left", F.lit(1.0))
+    gained = F.when(F.col("hit"), F.col("q")).otherwise(F.col("q") * F.coalesce("on", F.lit(0.0)))
+    kept = F.when(F.col("hit"), 0.0).otherwise(F.col("q") * F.coalesce("left", F.lit(0.0)))
+    out = named.groupBy(*case).agg(F.sum(gained).alias("reached"), F.sum(kept).alias("surviving"))
+    return out.withColumn("lost", 1 - F.col("reached") - F.col("surviving"))
+
+
 def first_action(edges: DataFrame, actions: DataFrame, steps: int, suppress: DataFrame | None = None) -> DataFrame:
     """(start, action, score, best_step) of the first relevant action within so many transitions.
 

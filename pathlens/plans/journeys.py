@@ -77,6 +77,14 @@ def censored_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return dests, fits.select("state", "grp", "family", F.col("mu").alias("p1"), F.col("sigma").alias("p2"), "pi")
 
 
+def silence_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks and silences as steps with durations: an action that a silence follows ends at its last event and the timeout."""
+    rows = B.with_holdout(J.with_silence(sessions(spark, sf_dir), TIMEOUT, CUT)).withColumnRenamed("next_state", "dest")
+    known = F.col("dest").isNotNull() & ~F.coalesce("next_ambiguous", F.lit(True))
+    rows = rows.withColumn("dur_min", J.seconds_between("ts", "end_ts")).withColumn("censoring", F.when(F.col("ambiguous"), J.BARRIER).when(known, J.EXACT).otherwise(J.RIGHT))
+    return rows.withColumn("dest", F.when(known, F.col("dest"))).withColumn("eligible", ~F.col("ambiguous") & (F.col("dur_min") > 0))
+
+
 def edges(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Transition edges between states."""
     p = K.transition_frequencies((steps(spark, sf_dir) if rows is None else rows).filter("not holdout"))
