@@ -233,15 +233,15 @@ def fit_families(steps: DataFrame, keys: list[str]) -> DataFrame:
 
 
 #: Families in location and scale: z = (ln t - mu) / sigma. ln S, ln of the density of z, its slope and bend, slope and bend of ln S.
-def _standard(family: str, z: Column) -> dict[str, Column]:
+def _standard(family: str, z: Column, tail: Column) -> dict[str, Column]:
+    """`tail` is ln P(Z > z) of a normal, which the log-normal alone needs: a column of its own, so that its polynomial is in the code once."""
     e = F.exp(F.least(z, F.lit(700.0)))
     if family in ("weibull", "exponential"):
         return {"log_s": -e, "log_g": z - e, "s1": 1 - e, "s2": -e, "r1": -e, "r2": -e}
     if family == "loglogistic":
         p = 1 / (1 + F.exp(F.least(-z, F.lit(700.0))))
-        tail = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
-        return {"log_s": -tail, "log_g": z - 2 * tail, "s1": 1 - 2 * p, "s2": -2 * p * (1 - p), "r1": -p, "r2": -p * (1 - p)}
-    tail = log_normal_survival(z)
+        over = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
+        return {"log_s": -over, "log_g": z - 2 * over, "s1": 1 - 2 * p, "s2": -2 * p * (1 - p), "r1": -p, "r2": -p * (1 - p)}
     log_g = -z * z / 2 - 0.9189385332046727
     hazard = F.exp(log_g - tail)
     return {"log_s": tail, "log_g": log_g, "s1": -z, "s2": F.lit(-1.0), "r1": -hazard, "r2": -hazard * (hazard - z)}
@@ -257,7 +257,9 @@ def _terms(grouped: DataFrame, params: DataFrame, keys: list[str], family: str)
     z = lambda c: F.when(F.col(c) > 0, (F.log(F.col(c) / DAY) - F.col("mu")) / F.exp("ls"))
     rows = rows.withColumn("z1", z("dur_min")).withColumn("z2", F.when(F.col("censoring") == INTERVAL, z("dur_max")))
     for c in ("z1", "z2"):
-        rows = rows.select("*", F.struct(*(e.alias(n) for n, e in _standard(family, F.col(c)).items())).alias(f"f{c[1]}"))
+        rows = rows.withColumn(f"tail_{c}", log_normal_survival(F.col(c)) if family == "lognormal" else F.lit(None).cast("double"))
+        of = F.struct(*(e.alias(n) for n, e in _standard(family, F.col(c), F.col(f"tail_{c}")).items()))
+        rows = rows.select("*", F.when(F.col(c).isNotNull(), of).alias(f"f{c[1]}"))  # least and greatest would pass over a null
     sigma, exact, right = F.exp("ls"), F.col("censoring") == EXACT, F.col("censoring") == RIGHT
     one, bend = F.when(exact, F.col("f1.s1")).otherwise(F.col("f1.r1")), F.when(exact, F.col("f1.s2")).otherwise(F.col("f1.r2"))
     point = {

@@ -17,7 +17,7 @@ def steps_of(spark, rows):
     return spark.createDataFrame([("s", d, kind, float(low), None if high is None else float(high), True, f"u{i}", False) for i, (d, kind, low, high) in enumerate(rows)], STEPS)
 
 
-def simulated(n=6000, seed=3):
+def simulated(n=4000, seed=3):
     """Two groups of log-normal durations, cut off at random times, some only known to lie between two visits."""
     rng = np.random.default_rng(seed)
     rows = []
@@ -41,7 +41,7 @@ def test_intervals_and_right_censoring_recover_the_parameters(spark):
     steps = steps_of(spark, rows).cache()
     groups = spark.createDataFrame([("s", "x", 1, 1.0), ("s", "y", 2, 1.0)], "state string, dest string, grp int, r double")
     likelihoods = []
-    for iterations in (1, 2, 4, 40):
+    for iterations in (1, 3, 30):
         fit = K.fit_competing_lognormal(steps, groups, ["state"], iterations=iterations, alpha=0.0, shrink=0.0).cache()
         likelihoods.append(K.log_likelihood(steps, groups, fit, ["state"]).first().log_likelihood)
     assert all(b >= a - 1e-6 for a, b in zip(likelihoods, likelihoods[1:], strict=False))
@@ -129,7 +129,7 @@ def family_likelihood(rows, family, p1, p2):
 def test_newton_finds_the_maximum_of_each_family(spark):
     rng = np.random.default_rng(8)
     rows = []
-    for _ in range(1500):
+    for _ in range(800):
         t, end = rng.weibull(0.7) * 2 * DAY, rng.exponential(5.0) * DAY
         kind = rng.random()
         rows.append((None, "direita", end, None) if t > end else (None, "exata", t, t) if kind < 0.5 else (None, "intervalo", t // 50000 * 50000, t // 50000 * 50000 + 50000))
@@ -142,7 +142,7 @@ def test_newton_finds_the_maximum_of_each_family(spark):
             assert family_likelihood(rows, name, r.p1, r.p2 + dp) < best
             if name != "exponential":
                 assert family_likelihood(rows, name, r.p1 + dp, r.p2) < best
-    assert fits["weibull"].delta_aic == 0.0 and fits["weibull"].p1 == pytest.approx(0.7, abs=0.05)
+    assert fits["weibull"].delta_aic == 0.0 and fits["weibull"].p1 == pytest.approx(0.7, abs=0.08)
 
 
 def test_families_without_two_exact_durations_have_no_rows(spark):
@@ -156,58 +156,78 @@ MODELS = {"p": {"l1": 1.0}, "b": {"l1": 1.0}, "l1": {"l2": 1.0}, "l2": {"ls": 1.
 CHILD = {("ls", "pix"): {"p": 0.9, "b": 0.1}, ("ls", "boleto"): {"p": 0.2, "b": 0.8}}
 
 
-def step_rows(spark, models, child, targets, k, start, terminals=()):
-    """Scores and masses of one node of the memory graph, from one group for each of its destinations."""
+def scenario(models=None, child=None, targets=("pix", "boleto"), k=2, state="l1", memory=None, terminals=()):
+    return {"models": MODELS | (models or {}), "child": child or {}, "targets": targets, "k": k, "state": state, "memory": memory, "terminals": terminals}
+
+
+#: Each is a part of one graph, so that its closure is made once for all.
+SCENARIOS = {
+    "A": scenario(child=CHILD, state="p", memory="pix"),
+    "B": scenario(child=CHILD, state="b", memory="boleto"),
+    "C": scenario(child=CHILD, k=1, state="p", memory="pix"),
+    "D": scenario(child=CHILD, k=1, memory="boleto"),
+    "E": scenario({"l1": {"m": 1.0}}, targets=("pix",), k=1),
+    "F": scenario({"l1": {"m": 1.0}}, targets=("pix",)),
+    "G": scenario({"l1": {"m": 1.0}}, targets=("outra",)),
+    "H": scenario({"l1": {"l2": 1.0}, "l2": {"l1": 1.0}}, targets=("pix",), k=3),
+    "I": scenario({"l1": {"l1": 0.8, "p": 0.2}}, targets=("pix",), k=1),
+    "J": scenario({"l1": {"m": 0.4, "p": 0.6}}, targets=("boleto",), k=3, terminals=("m",)),
+}
+
+
+@pytest.fixture(scope="module")
+def walked(spark):
+    """Of each scenario's start the scores and masses, and the arrays of them."""
     from pathlens.operators.journey import BASE, NO_MEMORY
 
-    states = spark.createDataFrame([(s, f, f or s, f == "login") for s, f in CONFIG], "state string, funnel string, macro string, technical boolean")
-    dests = [(s, BASE, d, p) for s, m in models.items() for d, p in m.items()] + [(s, c, d, p) for (s, c), m in child.items() for d, p in m.items()]
-    dests = spark.createDataFrame(dests, "state string, context string, dest string, p double")
-    edges, macros = L.memory_graph(dests, states, spark.createDataFrame([(NO_MEMORY,)], "memory string"))
-    edges, macros = edges.cache(), macros.cache()
-    ends = spark.createDataFrame([(t,) for t in terminals], "node string") if terminals else None
-    passage = L.passage_by_step(L.macro_jumps(edges, macros), macros, targets, k, ends)
+    states = [(n + s, f and n + f, n + (f or s), f == "login") for n in SCENARIOS for s, f in CONFIG]
+    dests = [(n + s, BASE, n + d, p) for n, x in SCENARIOS.items() for s, m in x["models"].items() for d, p in m.items()]
+    dests += [(n + s, n + c, n + d, p) for n, x in SCENARIOS.items() for (s, c), m in x["child"].items() for d, p in m.items()]
+    states = spark.createDataFrame(states, "state string, funnel string, macro string, technical boolean").cache()
+    dests = spark.createDataFrame(dests, "state string, context string, dest string, p double").cache()
+    edges, macros = (K.checkpointed(df) for df in L.memory_graph(dests, states, spark.createDataFrame([(NO_MEMORY,)], "memory string")))
+    targets = [n + t for n, x in SCENARIOS.items() for t in x["targets"]]
+    ends = macros.filter(F.col("state").isin([n + t for n, x in SCENARIOS.items() for t in x["terminals"]])).select("node")
+    passage = K.checkpointed(L.passage_by_step(L.macro_jumps(edges, macros), macros, targets, 3, ends))
     own = macros.select(F.col("node").alias("src"), F.col("macro").alias("own"))
-    table = edges.filter(F.col("src") == start).join(own, "src").select(F.col("src").alias("node"), F.col("dst").alias("dest"), F.lit(1).alias("grp"), F.col("p").alias("r"), "own")
-    rows = L.step_coefficients(passage, table, macros, targets, ["node"], F.col("dest"), k, F.col("own"), ends)
-    weights = spark.createDataFrame([("e", start, 1, 1.0)], "entity string, node string, grp int, weight double")
-    scores = L.step_scores(weights, rows, ["node"], ["entity"])
-    out = {(r.kind, r.action, r.change): r.score for r in scores.collect()}
-    assert sum(out.values()) == pytest.approx(1.0, abs=1e-9)
-    return out, scores
+    out, arrays = {}, {}
+    for k in (1, 2, 3):
+        starts = {f"{n}{x['state']}|{n + x['memory'] if x['memory'] else NO_MEMORY}": n for n, x in SCENARIOS.items() if x["k"] == k}
+        table = edges.filter(F.col("src").isin(list(starts))).join(own, "src").select(F.col("src").alias("node"), F.col("dst").alias("dest"), F.lit(1).alias("grp"), F.col("p").alias("r"), "own")
+        rows = L.step_coefficients(passage, table, macros, targets, ["node"], F.col("dest"), k, F.col("own"), ends)
+        weights = spark.createDataFrame([(n, node, 1, 1.0) for node, n in starts.items()], "entity string, node string, grp int, weight double")
+        scores = K.checkpointed(L.step_scores(weights, rows, ["node"], ["entity"]))
+        for r in scores.collect():
+            out.setdefault(r.entity, {})[r.kind, r.action and r.action[1:], r.change] = r.score
+        for r in L.score_arrays(scores, ["entity"], k).collect():
+            arrays[r.entity, r.action and r.action[1:]] = r
+    return out, arrays
 
 
-def test_memory_decides_what_follows_a_technical_step(spark):
-    out, scores = step_rows(spark, MODELS, CHILD, ["pix", "boleto"], 2, "p|pix")
-    assert out == {("target", "pix", 2): pytest.approx(0.9), ("target", "boleto", 2): pytest.approx(0.1)}
-    arrays = {r.action: r for r in L.score_arrays(scores, ["entity"], 2).collect()}
-    assert arrays["pix"].by_change == [0.0, pytest.approx(0.9)] and arrays["pix"].best_change == 2 and arrays["pix"].step_limit == 0.0
-    out, _ = step_rows(spark, MODELS, CHILD, ["pix", "boleto"], 2, "b|boleto")
-    assert out["target", "boleto", 2] == pytest.approx(0.8)
+def test_scores_and_masses_add_up_to_one(walked):
+    assert set(walked[0]) == set(SCENARIOS)
+    for rows in walked[0].values():
+        assert sum(rows.values()) == pytest.approx(1.0, abs=1e-9)
 
 
-def test_one_change_reaches_what_is_one_change_away(spark):
-    assert step_rows(spark, MODELS, CHILD, ["pix", "boleto"], 1, "p|pix")[0] == {("step_limit", None, 1): 1.0}
-    out, _ = step_rows(spark, MODELS, CHILD, ["pix", "boleto"], 1, "l1|boleto")
-    assert out == {("target", "boleto", 1): pytest.approx(0.8), ("target", "pix", 1): pytest.approx(0.2)}
+def test_memory_decides_what_follows_a_technical_step(walked):
+    out, arrays = walked
+    assert out["A"] == {("target", "pix", 2): pytest.approx(0.9), ("target", "boleto", 2): pytest.approx(0.1)} and out["B"]["target", "boleto", 2] == pytest.approx(0.8)
+    assert arrays["A", "pix"].by_change == [0.0, pytest.approx(0.9)] and arrays["A", "pix"].best_change == 2 and arrays["A", "pix"].step_limit == 0.0
 
 
-@pytest.mark.parametrize(
-    ("changed", "targets", "k", "kind"),
-    [({"l1": {"m": 1.0}}, ["pix"], 1, "step_limit"), ({"l1": {"m": 1.0}}, ["pix"], 2, "no_model"), ({"l1": {"m": 1.0}}, ["outra"], 2, "target"), ({"l1": {"l2": 1.0}, "l2": {"l1": 1.0}}, ["pix"], 5, "retained"), ({"l1": {"l1": 0.8, "p": 0.2}}, ["pix"], 1, "target")],
-)
-def test_all_mass_has_a_name(spark, changed, targets, k, kind):
-    from pathlens.operators.journey import NO_MEMORY
+def test_one_change_reaches_what_is_one_change_away(walked):
+    assert walked[0]["C"] == {("step_limit", None, 1): 1.0}
+    assert walked[0]["D"] == {("target", "boleto", 1): pytest.approx(0.8), ("target", "pix", 1): pytest.approx(0.2)}
 
-    out, _ = step_rows(spark, MODELS | changed, {}, targets, k, f"l1|{NO_MEMORY}")
-    assert sum(v for (name, _, _), v in out.items() if name == kind) == pytest.approx(1.0, abs=1e-8)
 
+def test_all_mass_has_a_name(walked):
+    for name, kind in {"E": "step_limit", "F": "no_model", "G": "target", "H": "retained", "I": "target"}.items():
+        assert sum(v for (found, _, _), v in walked[0][name].items() if found == kind) == pytest.approx(1.0, abs=1e-8)
 
-def test_terminal_states_end_the_walk(spark):
-    from pathlens.operators.journey import NO_MEMORY
 
-    out, _ = step_rows(spark, MODELS | {"l1": {"m": 0.4, "p": 0.6}}, {}, ["boleto"], 3, f"l1|{NO_MEMORY}", ["m|outra"])
-    assert out["terminal", None, 1] == pytest.approx(0.4) and ("no_model", None, 2) not in out
+def test_terminal_states_end_the_walk(walked):
+    assert walked[0]["J"]["terminal", None, 1] == pytest.approx(0.4) and ("no_model", None, 2) not in walked[0]["J"]
 
 
 def test_every_route_scores_with_its_model(spark):
