@@ -375,7 +375,7 @@ def score_arrays(scores: DataFrame, keys: list[str], k: int) -> DataFrame:
     masses = scores.filter("kind <> 'target'").groupBy(*keys).agg(*(F.coalesce(F.sum(F.when(F.col("kind") == name, F.col("score"))), F.lit(0.0)).alias(name) for name in MASSES))
     actions = scores.filter("kind = 'target'").groupBy(*keys, "action").agg(steps.alias("by_change"), F.sum("score").alias("score"))
     best = F.array_position("by_change", F.array_max("by_change")).cast("int")
-    return actions.withColumn("best_change", best).join(masses, keys, "full")
+    return actions.withColumn("best_change", best).join(masses, keys, "full").fillna(0.0, list(MASSES))
 
 
 MASSES = ("no_model", "terminal", "retained", "unresolved", "step_limit")
