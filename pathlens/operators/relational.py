@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import micros, safe_ratio
+from ..sources.tables import shared_folder
 
 
 def enrich(df: DataFrame, dimension: DataFrame, on: str | list[str]) -> DataFrame:
@@ -20,19 +21,23 @@ def with_constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.join(F.broadcast(one_row.limit(1)))
 
 
-#: Slices that a time line is cut into.
-SLICES = 32
+#: Slices that a time line is cut into: one costs least; 32 or so where an entity may have a large part of all rows.
+SLICES = 1
 
 
 def in_slices(line: DataFrame, entity: list[str], t: str, slices: int = SLICES) -> DataFrame:
     """A time line cut at quantiles of its times: with `_entity` (the keys as one value, which may hold nulls) and `_slice`.
 
     An entity that has a large part of all rows is so spread over as many tasks as there are
-    slices; `running` carries what came before from slice to slice.
+    slices; `running` carries what came before from slice to slice. It reads the line more than
+    once, so the line is written here.
     """
+    if slices == 1:
+        return line.withColumn("_entity", F.col(entity[0]) if len(entity) == 1 else F.struct(*entity))
     cuts = line.agg(F.percentile_approx(t, F.array(*(F.lit(i / slices) for i in range(1, slices))), 1000).alias("_cuts"))
     placed = line.join(F.broadcast(cuts)).withColumn("_slice", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(t))), F.lit(0)))
-    return placed.withColumn("_entity", F.struct(*entity)).drop("_cuts")
+    shared_folder(line.sparkSession)
+    return placed.withColumn("_entity", F.struct(*entity)).drop("_cuts").checkpoint()
 
 
 def running(line: DataFrame, order: list[str], values: dict[str, tuple[str, Column]]) -> DataFrame:
@@ -46,10 +51,13 @@ def running(line: DataFrame, order: list[str], values: dict[str, tuple[str, Colu
     run = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}
     both = {"sum": lambda a, b: F.coalesce(a + b, a, b), "count": lambda a, b: F.coalesce(a, F.lit(0)) + b, "max": F.greatest, "min": F.least, "last": lambda a, b: F.coalesce(b, a)}
     rows = line.withColumns({f"_v_{name}": column for name, (_, column) in values.items()})
-    inside = Window.partitionBy("_entity", "_slice").orderBy(*order)
+    sliced = "_slice" in line.columns
+    inside = Window.partitionBy("_entity", *(["_slice"] if sliced else [])).orderBy(*order)
     frames = {True: inside.rowsBetween(Window.unboundedPreceding, -1), False: inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)}
     kinds = {name: kind.removesuffix("_before") for name, (kind, _) in values.items()}
     rows = rows.withColumns({f"_w_{name}": run[kinds[name]](F.col(f"_v_{name}")).over(frames[kind.endswith("_before")]) for name, (kind, _) in values.items()})
+    if not sliced:
+        return rows.withColumns({name: F.col(f"_w_{name}") for name in kinds}).drop(*(f"_{x}_{name}" for x in "vw" for name in kinds))
     # the last value of a slice is the one of its latest row that has any
     latest = F.struct(*order)
     whole = {name: F.max_by(f"_v_{name}", F.when(F.col(f"_v_{name}").isNotNull(), latest)) if kind == "last" else run[kind](f"_v_{name}") for name, kind in kinds.items()}
