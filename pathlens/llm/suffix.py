@@ -185,44 +185,70 @@ def thinned_repeats(keyed: DataFrame, threshold: int, seed: int) -> DataFrame:
     return repeats
 
 
-def doubled_repeats(keyed: DataFrame, threshold: int) -> DataFrame:
-    """The same by prefix doubling of every position, in Spark: a row a byte of the corpus in the first rounds.
+def _named(keyed: DataFrame, length: int, found=None) -> DataFrame:
+    """(did, pos, rank) of all strings of `length` bytes whose name is in the bitmap; rank alone, of all strings, without one."""
 
-    The first ranks are strings of eight bytes. Each round joins a position's rank with the
-    one at the offset, sorts the pairs, and gives those that occur more than once their place
-    as the new rank; others go. The last offset is what lacks to the threshold.
-    """
-    length = min(8, threshold)
-
-    def first(batches):
+    def run(batches):
         for batch in slices(batches, "text"):
             data, rows = buffers(batch.column(1))
-            whole = np.concatenate([data, np.zeros(8, np.uint8)])
-            ranks = np.ndarray(len(data), "<i8", whole, 0, (1,)) & ((1 << 8 * length) - 1 if length < 8 else -1)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(rows))
-            pos = np.arange(len(data)) - rows[row]
-            use = pos + length <= np.diff(rows)[row]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[use])), pa.array(pos[use]), pa.array(ranks[use])], ["did", "pos", "rank"])
-
-    ranked, groups = keyed.select("did", "text").mapInArrow(first, "did long, pos long, rank long"), None
+            did = batch.column(0).to_numpy()
+            for begin in range(0, len(data) - length + 1, STEP):
+                rank = doubled_names(data[begin : begin + STEP + length - 1], length).view(np.int64)
+                at = np.arange(begin, begin + len(rank))
+                row = np.searchsorted(rows, at, "right") - 1
+                use = at + length <= rows[row + 1]
+                if found is not None:
+                    bits, mask = found
+                    use &= in_bitmap(bits.value, rank & mask)
+                    at, row = at[use], row[use]
+                    yield pa.RecordBatch.from_arrays([pa.array(did[row]), pa.array(at - rows[row]), pa.array(rank[use])], ["did", "pos", "rank"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(rank[use])], ["rank"])
+
+    return keyed.select("did", "text").mapInArrow(run, "rank long" if found is None else "did long, pos long, rank long")
+
+
+def doubled_repeats(keyed: DataFrame, threshold: int, seed: int = SEED) -> DataFrame:
+    """The same by prefix doubling of every position, in Spark.
+
+    The first ranks are names of `seed` bytes (a power of two), doubled inside a task; of
+    them only those that occur more than once leave it. Each round joins a position's rank
+    with the one at the offset, sorts the pairs, and gives those that occur more than once
+    their place as the new rank; others go. The last offset is what lacks to the threshold.
+    A round's tables are removed when the next is written.
+    """
+    length = 1 << min(threshold, seed).bit_length() - 1
+    shared = cut(_named(keyed, length).groupBy("rank").count().filter("count > 1").select("rank"))
+    release(keyed.sparkSession)
+    named = _named(keyed, length, bitmap(shared, "rank", spread=False))
+    ranked = keep(named.join(shared, "rank", "left_semi").select("did", "pos", "rank"))
+    first = F.min(F.struct("did", "pos")).alias("earliest")
+    if length == threshold:
+        groups = keep(ranked.groupBy("rank").agg(first))
+        done = keep(ranked.join(groups, "rank"))
+        discard(ranked, groups)
+        ranked = done
     while length < threshold:
         offset = min(length, threshold - length)
         second = ranked.select("did", (F.col("pos") - offset).alias("pos"), F.col("rank").alias("then"))
         pairs = keep(ranked.select("did", "pos", "rank").join(second, ["did", "pos"]))
-        groups = pairs.groupBy("rank", "then").agg(F.count("*").alias("n"), F.min(F.struct("did", "pos")).alias("earliest")).filter("n > 1")
+        discard(ranked)
+        groups = pairs.groupBy("rank", "then").agg(F.count("*").alias("n"), first).filter("n > 1")
         groups = keep(groups.orderBy("rank", "then").withColumn("place", F.monotonically_increasing_id()))
-        ranked = pairs.join(groups, ["rank", "then"]).select("did", "pos", F.col("place").alias("rank"), "earliest")
+        ranked = keep(pairs.join(groups, ["rank", "then"]).select("did", "pos", F.col("place").alias("rank"), "earliest"))
+        discard(pairs, groups)
+        release(keyed.sparkSession)
         length += offset
-    if groups is None:
-        ranked = ranked.join(ranked.groupBy("rank").agg(F.min(F.struct("did", "pos")).alias("earliest")), "rank")
-    return ranked.filter(F.struct("did", "pos") != F.col("earliest")).select("did", "pos", F.lit(1).alias("windows"))
+    repeats = keep(ranked.filter(F.struct("did", "pos") != F.col("earliest")).select("did", "pos", F.lit(1).alias("windows")))
+    discard(ranked)
+    return repeats
 
 
 def _with_repeats(docs: DataFrame, id_column: str, text_column: str, threshold: int, seed: int, every: bool, finish, columns: list[str], schema) -> DataFrame:
     """What `finish` makes of record batches (columns, text, spans) of all rows: `spans` (start, windows) of what repeats an
     earlier string, null where nothing does. Texts without repeats aren't shuffled and pass one Python worker only."""
     keyed = _keyed(docs, id_column, text_column)
-    repeats = keep(doubled_repeats(keyed, threshold)) if every else thinned_repeats(keyed, threshold, seed)
+    repeats = doubled_repeats(keyed, threshold, seed) if every else thinned_repeats(keyed, threshold, seed)
     bits, mask = found = bitmap(repeats, "did")
     spans = _by_document(repeats, "windows")
 
