@@ -89,6 +89,15 @@ def exported_csv(spark, d):
     return spark.read.schema("state string, steps long").option("header", True).csv(folder)
 
 
+@query(sql(STEPS, "select state, steps, row_number() over (order by steps desc, state) as line from (select state, count(*)::bigint as steps from st where state is not null group by state)"))
+def ordered_report(spark, d):
+    """The lines of an exported report stand in the order asked for, as numbered when its one file is read."""
+    folder = _folder(spark)
+    rows = S.steps(spark, d).filter("state is not null").groupBy("state").agg(F.count("*").alias("steps"))
+    A.export_csv(rows.orderBy(F.desc("steps"), "state"), folder, 10_000)
+    return spark.read.schema("state string, steps long").option("header", True).csv(folder).withColumn("line", F.monotonically_increasing_id() + 1)
+
+
 @query(sql(FREQUENCIES, "select state, 'changed' as change, count(*) as rows from freq where state like 'view%' group by state"))
 def refitted_parameters(spark, d):
     """Only refitted origins' parameters may change."""

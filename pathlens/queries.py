@@ -105,9 +105,12 @@ def split_reconciliation(spark, d):
     return B.count_reconciliation({"train": rows.filter("not holdout"), "holdout": rows.filter("holdout")}, ["state"], {"n": F.count("*")})
 
 
-@query()
+@query(f"""with {RAW},
+hashed as (select sha256('{{"depth":' || coalesce(depth::varchar, 'null') || ',"entity":"' || entity || '","state":"' || state || '","ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.000Z') || '"}}') as h from raw)
+select count(*) as rows, sum(('0x' || h[1:16])::ubigint)::varchar as sum_0, sum(('0x' || h[17:32])::ubigint)::varchar as sum_1, sum(('0x' || h[33:48])::ubigint)::varchar as sum_2, sum(('0x' || h[49:64])::ubigint)::varchar as sum_3 from hashed""")
 def content_signature(spark, d):
-    return A.signature(S.raw_events(spark, d))
+    found = A.signature(S.raw_events(spark, d))
+    return found.select("rows", *(F.col(f"sum_{i}").cast("string").alias(f"sum_{i}") for i in range(4)))
 
 
 @query(sql(STEPS, "select state, 'changed' as change from (select state, count(*) as n, count(*) filter (not holdout) as m from st where state is not null group by state) where n <> m and m > 0 union all select state, 'removed' from (select state, count(*) filter (not holdout) as m from st where state is not null group by state) where m = 0"))
@@ -669,10 +672,16 @@ def paired_bootstrap(spark, d):
     return M.bootstrap(rows, "brier", "log_loss").select("entities", F.round("gain", 7).alias("gain"), F.round("low", 7).alias("low"), F.round("high", 7).alias("high"), "replicates")
 
 
-@query()
+@query(sql(HITS + """,
+tops as (select age, outcome as best from (select *, row_number() over (partition by age order by p desc, outcome) as place from base where outcome <> '__none__') where place = 1 and p > 0),
+gr as (select m.age, m.entity, b.outcome as target, b.p, coalesce(m.action = b.outcome and m.label_status = 'ALVO_OBSERVADO', false) as real, coalesce(t.best = b.outcome, false) as first, m.rank_real
+       from mt m join base b on b.age = m.age and b.outcome <> '__none__' left join tops t on t.age = m.age where m.label_status <> 'CENSURADO_ANTES_HORIZONTE'),
+own as (select age, target, entity, avg((p - real::int) ** 2) as brier, avg(case when real then coalesce(rank_real <= 1, false)::int end) as recall1, avg(case when real then coalesce(rank_real <= 5, false)::int end) as recall5, avg(case when first then real::int end) as precision1, count(*) filter (real) as hits from gr group by all)""",
+"select age, target, round(avg(brier), 9) as brier, count(brier) as brier_entities, round(avg(recall1), 9) as recall1, count(recall1) as recall1_entities, round(avg(recall5), 9) as recall5, count(recall5) as recall5_entities, round(avg(precision1), 9) as precision1, count(precision1) as precision1_entities, sum(hits)::bigint as support, count(*) filter (hits > 0) as support_entities from own group by age, target"))
 def action_summary(spark, d):
     rows, targets = _evaluated(spark, d)
-    return M.action_summary(rows, targets.withColumnRenamed("action", "target"), ["age"])
+    found = M.action_summary(rows, targets.withColumnRenamed("action", "target"), ["age"])
+    return found.withColumns({name: F.round(name, 9) for name in ("brier", "recall1", "recall5", "precision1")})
 
 
 LIFT = """
