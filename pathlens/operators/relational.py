@@ -21,23 +21,40 @@ def with_constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.join(F.broadcast(one_row.limit(1)))
 
 
-#: Slices that a time line is cut into: one costs least; 32 or so where an entity may have a large part of all rows.
-SLICES = 1
+#: An entity with more rows than this on a time line is cut into slices of about as many.
+SLICE_ROWS = 1_000_000
+#: Cuts of hot entities that may be broadcast (8 MB); beyond, they are joined.
+FEW_CUTS = 1_000_000
 
 
-def in_slices(line: DataFrame, entity: list[str], t: str, slices: int = SLICES) -> DataFrame:
-    """A time line cut at quantiles of its times: with `_entity` (the keys as one value, which may hold nulls) and `_slice`.
+def in_slices(line: DataFrame, entity: list[str], t: str, slices: int | None = None) -> DataFrame:
+    """A time line with `_entity` (the keys as one value, which may hold nulls) and, where it is cut, `_slice`.
 
-    An entity that has a large part of all rows is so spread over as many tasks as there are
-    slices; `running` carries what came before from slice to slice. It reads the line more than
-    once, so the line is written here.
+    Rows are counted by entity first. Those of an entity that has more than `SLICE_ROWS` are
+    cut at quantiles of its own times and so spread over many tasks; `running` carries what
+    came before from slice to slice. Other entities stay whole. A given number of slices cuts
+    all entities at quantiles of the whole line, 1 cuts none and counts nothing. Rows of equal
+    times stay together. A cut line is read more than once, so it is written here.
     """
-    if slices == 1:
-        return line.withColumn("_entity", F.col(entity[0]) if len(entity) == 1 else F.struct(*entity))
-    cuts = line.agg(F.percentile_approx(t, F.array(*(F.lit(i / slices) for i in range(1, slices))), 1000).alias("_cuts"))
-    placed = line.join(F.broadcast(cuts)).withColumn("_slice", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(t))), F.lit(0)))
+    whole = line.withColumn("_entity", F.col(entity[0]) if len(entity) == 1 else F.struct(*entity))
+    keyed = line.withColumn("_entity", F.struct(*entity))
+    at = lambda n: F.percentile_approx(t, F.array(*(F.lit(i / n) for i in range(1, n))), max(1000, 10 * n)).alias("_cuts")
+    if slices is None:
+        hot = keyed.groupBy("_entity").count().filter(F.col("count") > SLICE_ROWS)
+        found = hot.agg(F.count("*").alias("entities"), F.max("count").alias("most")).first()
+        if not found.entities:
+            return whole
+        slices = -(-found.most // SLICE_ROWS)
+        few = F.broadcast if found.entities * slices <= FEW_CUTS else lambda df: df
+        cuts = keyed.join(few(hot.select("_entity")), "_entity").groupBy("_entity").agg(at(slices))
+        placed = keyed.join(few(cuts), "_entity", "left")
+    elif slices == 1:
+        return whole
+    else:
+        placed = keyed.join(F.broadcast(line.agg(at(slices))))
+    place = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(t))))
     shared_folder(line.sparkSession)
-    return placed.withColumn("_entity", F.struct(*entity)).drop("_cuts").checkpoint()
+    return placed.withColumn("_slice", place).drop("_cuts").checkpoint()
 
 
 def running(line: DataFrame, order: list[str], values: dict[str, tuple[str, Column]]) -> DataFrame:
@@ -69,7 +86,7 @@ def running(line: DataFrame, order: list[str], values: dict[str, tuple[str, Colu
     return joined.withColumns({name: both[kind](F.col(f"_p_{name}"), F.col(f"_w_{name}")) for name, kind in kinds.items()}).drop(*(f"_{x}_{name}" for x in "vwp" for name in kinds))
 
 
-def as_of(anchors: DataFrame, history: DataFrame, entity: str, anchor_ts: str, anchor_id: str, known_ts: str, entry_ts: str, record_id: str, columns: list[str], slices: int = SLICES) -> DataFrame:
+def as_of(anchors: DataFrame, history: DataFrame, entity: str, anchor_ts: str, anchor_id: str, known_ts: str, entry_ts: str, record_id: str, columns: list[str], slices: int | None = None) -> DataFrame:
     """Of each anchor the latest earlier record of its entity, or nulls.
 
     A record counts if it became known strictly before the anchor, is another record, and
@@ -77,7 +94,7 @@ def as_of(anchors: DataFrame, history: DataFrame, entity: str, anchor_ts: str, a
     time, entry time and id wins. Instead of joining all pairs of an entity, both tables are
     laid on one time line, records at the later of their two times, and the two largest so
     far are read off, the second where the first is the anchor itself; so that an entity of n
-    rows costs n, and the line is cut into slices, so that it isn't one task's.
+    rows costs n, and a hot entity's line is cut into slices, so that it isn't one task's.
     """
     record = F.struct(F.col(known_ts).alias("known"), F.col(entry_ts).alias("entry"), F.col(record_id).alias("rid"), *(F.col(c).alias(f"h_{c}") for c in columns))
     past = history.filter(F.col(known_ts).isNotNull() & F.col(entry_ts).isNotNull())
@@ -93,7 +110,7 @@ def as_of(anchors: DataFrame, history: DataFrame, entity: str, anchor_ts: str, a
     return found.select(F.col("_id").alias(anchor_id), F.col("_latest.rid").alias("previous_id"), F.col("_latest.known").alias("previous_known"), *names, F.col("_latest").isNull().alias("no_history"))
 
 
-def history_before(anchors: DataFrame, history: DataFrame, entity: str, anchor_ts: str, anchor_id: str, ts: str, aggregates: dict[str, tuple[str, Column]], slices: int = SLICES) -> DataFrame:
+def history_before(anchors: DataFrame, history: DataFrame, entity: str, anchor_ts: str, anchor_id: str, ts: str, aggregates: dict[str, tuple[str, Column]], slices: int | None = None) -> DataFrame:
     """Running aggregates (sum, count, max, min, avg of a column) over an entity's rows strictly before each anchor.
 
     One time line of both tables, in slices: linear in an entity's rows, where a range join would pair them all.
@@ -111,7 +128,7 @@ def history_before(anchors: DataFrame, history: DataFrame, entity: str, anchor_t
     return out.withColumns(means).select(F.col("_id").alias(anchor_id), *aggregates) if means else out.select(F.col("_id").alias(anchor_id), *aggregates)
 
 
-def distinct_before(anchors: DataFrame, history: DataFrame, entity: str, anchor_ts: str, anchor_id: str, ts: str, values: list[str], slices: int = SLICES) -> DataFrame:
+def distinct_before(anchors: DataFrame, history: DataFrame, entity: str, anchor_ts: str, anchor_id: str, ts: str, values: list[str], slices: int | None = None) -> DataFrame:
     """Of each anchor the number of different values (stores, products) that its entity had strictly before it, for each column; nulls don't count.
 
     Only the first time that an entity has a value counts: these flags, not sets of values, are
@@ -127,7 +144,7 @@ def distinct_before(anchors: DataFrame, history: DataFrame, entity: str, anchor_
     return counted.fillna(0, [f"distinct_{n}" for n in values])
 
 
-def next_event(cases: DataFrame, events: DataFrame, entity: str, start: str, ts: str, name: str, slices: int = SLICES) -> DataFrame:
+def next_event(cases: DataFrame, events: DataFrame, entity: str, start: str, ts: str, name: str, slices: int | None = None) -> DataFrame:
     """Cases with the time of their entity's first event at or after `start`, or null; linear in an entity's rows.
 
     Cases and events lie on one line that is read backwards: the latest event passed is the next
