@@ -209,22 +209,29 @@ def likelihood_families(spark, d):
 # ---- streams and versions
 
 
-def _batches(spark, d, folder: str, days: int = 7) -> None:
-    """The events as files of a stream: each comes up to two days late, so that files overlap and none is in order."""
+def _batches(spark, d, folder: str, started, days: int = 7):
+    """The events as batches of a stream: each comes up to two days late, so that batches overlap and none is in order.
+
+    A batch is as many files as there are tasks; `started` starts the query anew when it is
+    written, from the checkpoint of the one before. Returns the last one.
+    """
     late = F.pmod(F.xxhash64("entity", "ts", "state"), F.lit(172800))
-    rows = K.checkpointed(S.raw_events(spark, d).withColumn("batch", F.floor((F.unix_timestamp("ts") + late) / (86400 * days))))
+    rows = K.checkpointed(S.raw_events(spark, d).filter(F.col("ts").isNotNull()).withColumn("batch", F.floor((F.unix_timestamp("ts") + late) / (86400 * days))))
+    done = None
     for row in rows.select("batch").distinct().orderBy("batch").collect():  # a few weeks
-        rows.filter(F.col("batch") == row.batch).drop("batch").repartition(1).sortWithinPartitions(F.xxhash64("ts", "entity")).write.mode("append").parquet(folder)
+        rows.filter(F.col("batch") == row.batch).drop("batch").sortWithinPartitions(F.xxhash64("ts", "entity")).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("entity string, ts timestamp, state string, depth double").parquet(f"{folder}/in")
+        done = started(stream)
+        done.awaitTermination()
+    return done
 
 
 @query(ORACLE_SQL["streamed_states"])
 def disordered_states(spark, d):
     """The events in batches that overlap in time; each entity's state after the last is what all events in order say."""
     folder = f"{A.shared_folder(spark)}/{uuid.uuid4().hex}"
-    _batches(spark, d, f"{folder}/in")
-    stream = spark.readStream.schema("entity string, ts timestamp, state string, depth double").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    out = I.current_states(stream, S.TECHNICAL).writeStream.foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{folder}/out"))
-    out.outputMode("update").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    sink = lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{folder}/out")
+    _batches(spark, d, folder, lambda stream: I.current_states(stream, S.TECHNICAL).writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start())
     last = spark.read.parquet(f"{folder}/out").groupBy("entity").agg(F.max_by(F.struct("ts", "state", "memory", "ambiguous", "events"), "batch").alias("l")).select("entity", "l.*")
     return last.select("entity", F.floor(F.unix_timestamp("ts")).alias("ts"), "state", "memory", "ambiguous", "events")
 
@@ -235,11 +242,8 @@ def disordered_states(spark, d):
 def streamed_sessions(spark, d):
     """Sessions of the same disordered batches, as they stand after the last."""
     folder = f"{A.shared_folder(spark)}/{uuid.uuid4().hex}"
-    _batches(spark, d, f"{folder}/in")
-    stream = spark.readStream.schema("entity string, ts timestamp, state string, depth double").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    out = I.sessions(stream, "6 hours").writeStream.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/out-{i % 2}"))
-    done = out.outputMode("complete").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
-    done.awaitTermination()
+    sink = lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/out-{i % 2}")
+    done = _batches(spark, d, folder, lambda stream: I.sessions(stream, "6 hours").writeStream.foreachBatch(sink).outputMode("complete").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start())
     rows = spark.read.parquet(f"{folder}/out-{done.lastProgress['batchId'] % 2}")
     return rows.select("entity", "state", *(F.unix_timestamp(c).alias(c) for c in ("start_ts", "end_ts")), "n_events", "depth")
 
