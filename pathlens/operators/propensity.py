@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import clean_number, safe_ratio
-from .relational import any_event_between, average_percent_rank, distinct_before, history_before
+from ..sources.tables import shared_folder
+from .relational import any_event_between, average_percent_rank, first_values, history_before
 
 # Upper ends of the percent-rank bands and their names.
 BANDS = [(0.01, "Top 1%"), (0.05, "Top 5%"), (0.10, "Top 10%"), (0.20, "Top 20%"), (0.30, "Top 30%"), (0.50, "Top 50%"), (1.0, "Bottom 50%")]
@@ -55,14 +56,20 @@ def history_features(anchors: DataFrame, history: DataFrame, entity: str, anchor
     flag, and of each column in `distinct` (stores, products) the number of different values.
 
     Records are distinct by id, so counting them is counting proposals; different values count over all rows of history.
+    Records and first values stand on one time line, which is written before its rows are
+    counted, so that what `history` was joined from is worked out for it once.
     """
     plain = history.select(entity, ts, record_id, status).dropDuplicates([record_id])
-    wanted = {"previous": ("count", F.col(record_id)), "first_ts": ("min", F.col(ts)), "last_ts": ("max", F.col(ts))}
+    wanted = {"previous": ("count", F.col(record_id)), "first_ts": ("min", F.col("_record_ts") if distinct else F.col(ts)), "last_ts": ("max", F.col("_record_ts") if distinct else F.col(ts))}
     wanted |= {f"previous_{name}": ("sum", (F.col(status) == value).cast("long")) for name, value in statuses.items()}
-    rows = anchors.join(history_before(anchors, plain, entity, anchor_ts, anchor_id, ts, wanted), anchor_id)
-    rows = rows.fillna(0, ["previous", *(f"previous_{n}" for n in statuses)])
+    names = [f"distinct_{n}" for n in distinct]
     if distinct:
-        rows = rows.join(distinct_before(anchors, history, entity, anchor_ts, anchor_id, ts, list(distinct)), anchor_id)
+        plain = plain.withColumn("_record_ts", F.col(ts)).unionByName(first_values(history, entity, ts, list(distinct), names), allowMissingColumns=True)
+        shared_folder(anchors.sparkSession)
+        plain = plain.checkpoint()
+        wanted |= {n: ("sum", F.col(n)) for n in names}
+    rows = anchors.join(history_before(anchors, plain, entity, anchor_ts, anchor_id, ts, wanted), anchor_id)
+    rows = rows.fillna(0, ["previous", *(f"previous_{n}" for n in statuses), *names])
     days = lambda a, b: F.datediff(b, a)
     return rows.withColumn("days_since_last", days(F.col("last_ts"), F.col(anchor_ts))).withColumn("history_days", days(F.col("first_ts"), F.col(anchor_ts))).withColumn("no_history", (F.col("previous") == 0).cast("int")).drop("first_ts", "last_ts")
 

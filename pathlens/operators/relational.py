@@ -128,20 +128,30 @@ def history_before(anchors: DataFrame, history: DataFrame, entity: str, anchor_t
     return out.withColumns(means).select(F.col("_id").alias(anchor_id), *aggregates) if means else out.select(F.col("_id").alias(anchor_id), *aggregates)
 
 
+def first_values(history: DataFrame, entity: str, ts: str, values: list[str], names: list[str]) -> DataFrame:
+    """(entity, ts, *names): the number of values of each column that an entity has for the first time then; nulls don't count.
+
+    The history is read once for all columns. What comes first at one time is summed up there,
+    so that a time line gets no row for each value.
+    """
+    own = history.select(F.col(entity).alias("_h"), F.col(ts).alias("_first"), *(F.col(v).alias(f"_v{i}") for i, v in enumerate(values)))
+    sets = [["_h", f"_v{i}"] for i in range(len(values))]
+    which = [(F.grouping(f"_v{i}") == 0).cast("int").alias(f"_is{i}") for i in range(len(values))]
+    firsts = own.groupingSets(sets, "_h", *(f"_v{i}" for i in range(len(values)))).agg(F.min("_first").alias("_first"), *which)
+    flags = [F.sum((F.col(f"_v{i}").isNotNull() & (F.col(f"_is{i}") == 1)).cast("long")).alias(n) for i, n in enumerate(names)]
+    rows = firsts.groupBy("_h", "_first").agg(*flags)
+    return rows.select(F.col("_h").alias(entity), F.col("_first").alias(ts), *names)
+
+
 def distinct_before(anchors: DataFrame, history: DataFrame, entity: str, anchor_ts: str, anchor_id: str, ts: str, values: list[str], slices: int | None = None) -> DataFrame:
     """Of each anchor the number of different values (stores, products) that its entity had strictly before it, for each column; nulls don't count.
 
-    Only the first time that an entity has a value counts: these flags, not sets of values, are
+    Only the first time that an entity has a value counts: these numbers, not sets of values, are
     summed along the time line.
     """
-    firsts = []
-    for name in values:
-        own = history.filter(F.col(name).isNotNull()).groupBy(F.col(entity).alias("_h"), F.col(name).alias("_v")).agg(F.min(ts).alias("_first"))
-        firsts.append(own.select("_h", "_first", *(F.lit(1 if n == name else 0).alias(f"_n_{n}") for n in values)))
-    flags = reduce(DataFrame.unionByName, firsts)
-    asked = anchors.select(F.col(entity).alias("_h"), anchor_ts, anchor_id)
-    counted = history_before(asked, flags, "_h", anchor_ts, anchor_id, "_first", {f"distinct_{n}": ("sum", F.col(f"_n_{n}")) for n in values}, slices)
-    return counted.fillna(0, [f"distinct_{n}" for n in values])
+    names = [f"distinct_{n}" for n in values]
+    counted = history_before(anchors, first_values(history, entity, ts, values, names), entity, anchor_ts, anchor_id, ts, {n: ("sum", F.col(n)) for n in names}, slices)
+    return counted.fillna(0, names)
 
 
 def next_event(cases: DataFrame, events: DataFrame, entity: str, start: str, ts: str, name: str, slices: int | None = None) -> DataFrame:
