@@ -137,7 +137,7 @@ class UnitEncoder:
     def _joinable(self, text: str) -> bool:
         if self.leading:
             return text[0] in BLANKS and text[-1] not in BLANKS and (text.isascii() or not WIDE.search(text))
-        return text.lower().isalpha()
+        return text.isalpha() if text.isascii() else text.lower().isalpha()
 
     def _split(self, ids: np.ndarray, texts: list[str]) -> np.ndarray | None:
         """Where each joined text's ids end."""
@@ -153,7 +153,8 @@ class UnitEncoder:
         found: dict[bytes, bytes] = {}
         single: list[int] = []
         texts = [key.decode() for key in keys]
-        joined = [i for i, text in enumerate(texts) if self._joinable(text)]
+        joinable = self._joinable
+        joined = [i for i, text in enumerate(texts) if joinable(text)]
         if len(joined) < len(texts):
             chosen = set(joined)
             single = [i for i in range(len(texts)) if i not in chosen]
@@ -174,8 +175,8 @@ class UnitEncoder:
         return found
 
     def _remember(self, found: dict[bytes, bytes]) -> None:
-        short = {key: ids for key, ids in found.items() if len(key) <= LONGEST}
-        size = sum(ENTRY + len(key) + len(ids) for key, ids in short.items())
+        short = found if max(map(len, found), default=0) <= LONGEST else {key: ids for key, ids in found.items() if len(key) <= LONGEST}
+        size = ENTRY * len(short) + sum(map(len, short)) + sum(map(len, short.values()))
         if self.size + size > REMEMBERED:
             self.known.clear()
             self.size = 0
@@ -224,7 +225,7 @@ class UnitEncoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the column's texts one after the other, and the offsets of its rows."""
-        words = Words(column, lower=not self.leading)
+        words = Words(column, lower=not self.leading, named=False)
         rows = words.rows
         data = words.data
         starts, ends = self._whole_rows(data, data if self.leading else buffers(column)[0], rows, *self._units(words))
